@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,21 +158,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     # From here on one row per group and bin, whatever the size of the group.
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = per_bin.withColumn("_upto", F.sum("_in_bin").over(upto)).withColumn(
-        "_total", F.sum("_in_bin").over(group)
-    )
-
-    def rank(p: float, up: bool) -> Column:
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        return (F.ceil(position) if up else F.floor(position)).cast("bigint")
-
-    wanted = [rank(p, up) for p in probs.values() for up in (False, True)]
-    holds = reduce(
-        lambda a, b: a | b,
-        [(r >= F.col("_upto") - F.col("_in_bin")) & (r < F.col("_upto")) for r in wanted],
-    )
-    targets = placed.where(holds).select(
-        *keys, "_bin", (F.col("_upto") - F.col("_in_bin")).alias("_before"), "_total"
+    places = [f"(_total - 1) * {float(p)!r}D" for p in probs.values()]
+    ranks = ", ".join(f"bigint(floor({x})), bigint(ceil({x}))" for x in places)
+    targets = (
+        per_bin.select(
+            *keys, "_bin", "_in_bin", F.sum("_in_bin").over(upto).alias("_upto"), F.sum("_in_bin").over(group).alias("_total")
+        )
+        .where(f"exists(array({ranks}), r -> r >= _upto - _in_bin AND r < _upto)")
+        .select(*keys, "_bin", F.expr("_upto - _in_bin").alias("_before"), "_total")
     )
     counted = (
         rows.join(targets, [*keys, "_bin"])
@@ -184,20 +175,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = counted.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-
-    def at(p: float, up: bool) -> Column:
-        r = rank(p, up)
-        return F.max(F.when((r >= F.col("_end") - F.col("_n")) & (r < F.col("_end")), F.col("_v")))
-
-    picks = []
-    for name, p in probs.items():
-        picks += [at(p, False).alias(f"_{name}_lo"), at(p, True).alias(f"_{name}_hi")]
-    picked = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-
-    def interpolate(name: str, p: float) -> Column:
-        part = (F.col("_total") - 1) * F.lit(float(p)) - rank(p, False)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        return (lo * (1 - part) + hi * part).alias(name)
-
-    return picked.select(*keys, *[interpolate(n, p) for n, p in probs.items()])
+    ranked = counted.select(*keys, "_total", "_v", "_n", (F.col("_before") + F.sum("_n").over(inside)).alias("_end"))
+    hits = ranked.select(
+        *keys,
+        "_total",
+        "_v",
+        F.expr(f"explode(filter(array_distinct(array({ranks})), r -> r >= _end - _n AND r < _end))").alias("_rank"),
+    )
+    ends = [
+        F.expr(f"max(CASE WHEN _rank = bigint({side}({x})) THEN _v END)").alias(f"_{name}_{side}")
+        for name, x in zip(probs, places)
+        for side in ("floor", "ceil")
+    ]
+    picked = hits.groupBy(*keys, "_total").agg(*ends)
+    return picked.select(
+        *keys,
+        *[
+            F.expr(f"_{n}_floor * (1 - ({x} - floor({x}))) + _{n}_ceil * ({x} - floor({x}))").alias(n)
+            for n, x in zip(probs, places)
+        ],
+    )

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from baseloom.operators.ranking import exact_quantiles
+from baseloom.session import stored
 
 _QUANTILES = {"median": 0.5, "q05": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95}
 
@@ -36,7 +39,8 @@ def distribution(
         (F.sum(F.col("v") * weight) / F.sum(weight)).alias("weighted_mean"),
         spread.alias("var"),
     )
-    quantiles = exact_quantiles(long, by, "v", _QUANTILES)
+    # One row per key and metric, read by three later steps: written once.
+    quantiles = stored(exact_quantiles(long, by, "v", _QUANTILES))
     centred = long.join(quantiles.select(*by, "median"), by).select(*by, F.abs(F.col("v") - F.col("median")).alias("v"))
     mad = exact_quantiles(centred, by, "v", {"mad": 0.5})
     return (
@@ -126,11 +130,9 @@ def ols_by(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
-def _t_tail(t, freedom):
+@F.pandas_udf(DoubleType())
+def _t_tail(t: pd.Series, freedom: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t on the fitted rows (one row per key)."""
-    import pandas as pd
-
     return pd.Series(
         [None if pd.isna(a) or pd.isna(f) or f <= 0 else _beta_fraction(f / (f + a * a), f / 2.0, 0.5) for a, f in zip(t, freedom)],
         dtype="float64",
