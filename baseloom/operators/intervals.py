@@ -54,8 +54,8 @@ def join_pieces(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 
 def known_sequences(chunks: DataFrame) -> DataFrame:
-    """Sequences that have bases, with their length."""
-    return chunks.groupBy(*SITE).agg(F.sum(F.length("bases")).cast("bigint").alias("sequence_bp"))
+    """Sequences that have bases: each has exactly one first chunk."""
+    return chunks.where(F.col("chunk_no") == 0).select(*SITE)
 
 
 def slice_intervals(chunks: DataFrame, intervals: DataFrame, chunk_bp: int, keys: list[str]) -> DataFrame:
@@ -67,7 +67,7 @@ def slice_intervals(chunks: DataFrame, intervals: DataFrame, chunk_bp: int, keys
     given = [*keys, *SITE, "strand", "start", "end"]
     pieces = slice_pieces(chunks, intervals.select(*given), chunk_bp)
     glued = join_pieces(pieces, keys, ["chunk_no"])
-    located = intervals.select(*given).join(known_sequences(chunks).select(*SITE), SITE, "left_semi")
+    located = intervals.select(*given).join(known_sequences(chunks), SITE, "left_semi")
     return located.join(glued, keys, "left").withColumn(
         "seq", orient(F.coalesce("seq", F.lit("")), F.col("strand"))
     )
@@ -92,7 +92,7 @@ def extract_cds(models: DataFrame, chunks: DataFrame, chunk_bp: int) -> DataFram
     chosen = models.where(F.col("status") == "Single")
     if "valid" in models.columns:
         chosen = chosen.where("valid")
-    located = chosen.join(known_sequences(chunks).select(*SITE), SITE, "left_semi")
+    located = chosen.join(known_sequences(chunks), SITE, "left_semi")
     pieces = slice_pieces(chunks, explode_exons(located).select(*key, *SITE, "exon_no", "start", "end"), chunk_bp)
     glued = join_pieces(pieces, key, ["exon_no", "chunk_no"])
     return (
@@ -157,7 +157,7 @@ def intron_counts(introns: DataFrame, chunks: DataFrame, chunk_bp: int, empty_gc
     unknown sequences are left out.
     """
     key = ["genome_pk", "intron_id"]
-    located = introns.join(known_sequences(chunks).select(*SITE), SITE, "left_semi")
+    located = introns.join(known_sequences(chunks), SITE, "left_semi")
     pieces = slice_pieces(chunks, located.select(*key, *SITE, "start", "end"), chunk_bp)
     counted = located.join(_count_pieces(pieces, key), key, "left").fillna(0, ADDITIVE_COUNTS)
     acgt = F.col("a_count") + F.col("c_count") + F.col("g_count") + F.col("t_count")
@@ -217,7 +217,7 @@ def extract_flanks(models: DataFrame, chunks: DataFrame, chunk_bp: int) -> DataF
     Strands need no text here: GC is the same on both.
     """
     key = ["genome_pk", "gene", "flank_set_pk"]
-    located = flank_intervals(models).join(known_sequences(chunks).select(*SITE), SITE, "left_semi")
+    located = flank_intervals(models).join(known_sequences(chunks), SITE, "left_semi")
     sides = located.select(
         *key,
         *SITE[1:],
