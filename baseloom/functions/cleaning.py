@@ -103,7 +103,7 @@ def to_integer(col: Column) -> Column:
 def file_token(col: Column) -> Column:
     """Text that is safe in a file name."""
     text = F.regexp_replace(F.trim(col.cast("string")), "[^A-Za-z0-9._-]+", "_")
-    text = F.trim(F.lit("_"), F.regexp_replace(text, "_+", "_"))
+    text = F.trim(F.regexp_replace(text, "_+", "_"), F.lit("_"))
     return F.when(text == "", F.lit("unknown")).otherwise(text)
 
 

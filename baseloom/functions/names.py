@@ -28,7 +28,7 @@ def _full(text: Column) -> Column:
     text = F.regexp_replace(text, r"\([^)]*\)", " ")
     text = F.regexp_replace(F.translate(text, "-.", "  "), r"[^A-Za-z0-9_\s]", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", "_"), "_+", "_")
-    return F.lower(F.trim(F.lit("_"), text))
+    return F.lower(F.trim(text, F.lit("_")))
 
 
 def _taxon(text: Column, drop_brackets: bool) -> Column:
@@ -36,14 +36,14 @@ def _taxon(text: Column, drop_brackets: bool) -> Column:
     if drop_brackets:
         text = F.regexp_replace(text, r"\[[^\]]*\]", " ")
     text = F.regexp_replace(text, r"[^A-Za-z×\s.\-]", " ")
-    words = F.transform(F.split(F.trim(text), r"\s+"), lambda t: F.lower(F.trim(F.lit("."), t)))
+    words = F.transform(F.split(F.trim(text), r"\s+"), lambda t: F.lower(F.trim(t, F.lit("."))))
     return F.filter(words, lambda t: (t != "") & ~t.isin(QUALIFIERS + HYBRID_MARKS))
 
 
 def _label(text: Column) -> Column:
     text = F.regexp_replace(text, "['\"]", "")
     text = F.regexp_replace(text, r"\[.*?\]|\(.*?\)", "")
-    return F.lower(F.trim(F.lit("_"), F.regexp_replace(text, "[^A-Za-z0-9]+", "_")))
+    return F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", "_"), F.lit("_")))
 
 
 def normalize_species(col: Column, mode: str = "taxon") -> Column:

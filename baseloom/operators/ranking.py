@@ -59,10 +59,10 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str, bucket
     offsets = totals.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        parted.withColumn("_before", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        parted.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_offset") + F.col("_before"))
-        .drop("_range", "_before", "_offset")
+        .withColumn(name, F.col("_offset") + F.col("_inside"))
+        .drop("_range", "_inside", "_offset")
     )
 
 
