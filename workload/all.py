@@ -2,8 +2,10 @@
 
 from workload import (  # noqa: F401
     alignment_queries,
+    catalog_queries,
     divergence_queries,
     feature_queries,
+    source_queries,
     trait_queries,
     window_queries,
 )
