@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from baseloom.functions.kernels import base_counts
+
 # IUPAC nucleotide codes and their complements, both cases.
 IUPAC = "ACGTRYSWKMBDHVNacgtryswkmbdhvn"
 IUPAC_COMPLEMENT = "TGCAYRSWMKVHDBNtgcayrswmkvhdbn"
@@ -35,8 +37,8 @@ def count_char(seq: Column, char: str) -> Column:
 
 
 def count_chars(seq: Column, chars: str) -> Column:
-    """Occurrences of any of the characters."""
-    return (F.length(seq) - F.length(F.translate(seq, chars, ""))).cast("long")
+    """Occurrences of any of the (literal) characters."""
+    return F.regexp_count(seq, F.lit("[" + chars.replace("-", "\\-") + "]")).cast("long")
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -113,18 +115,9 @@ def translate_dna(seq: Column) -> Column:
     return translate_codons(codons(F.upper(seq)))
 
 
-def base_count_columns(seq: Column) -> dict[str, Column]:
-    """Counts of one upper-cased sequence; additive over its pieces."""
-    up = F.upper(seq)
-    return {
-        "a_count": count_char(up, "A"),
-        "c_count": count_char(up, "C"),
-        "g_count": count_char(up, "G"),
-        "t_count": count_char(up, "T"),
-        "n_count": count_char(up, "N"),
-        "gap_bp": count_char(up, "-"),
-        "total_bp": F.length(up).cast("long"),
-    }
+def with_base_counts(df, seq: Column):
+    """Add the additive counts of one sequence column."""
+    return df.withColumn("_n", base_counts(seq)).select(*df.columns, "_n.*")
 
 
 # The additive part of a base count, in column order.

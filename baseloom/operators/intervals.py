@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from baseloom.functions.sequence import (
-    ADDITIVE_COUNTS,
-    base_count_columns,
-    gc_fraction,
-    orient,
-)
+from baseloom.functions.sequence import ADDITIVE_COUNTS, gc_fraction, orient, with_base_counts
 
 SITE = ["genome_pk", "sequence_id"]
 
@@ -131,12 +126,8 @@ def infer_introns(models: DataFrame) -> DataFrame:
 
 def _count_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """Base counts per interval by adding up its pieces; no text is joined."""
-    counts = base_count_columns(F.col("piece"))
-    return (
-        pieces.select(*keys, *[counts[c].alias(c) for c in ADDITIVE_COUNTS])
-        .groupBy(*keys)
-        .agg(*[F.sum(c).alias(c) for c in ADDITIVE_COUNTS])
-    )
+    counted = with_base_counts(pieces.select(*keys, "piece"), F.col("piece"))
+    return counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ADDITIVE_COUNTS])
 
 
 def _swap_on_minus(df: DataFrame) -> DataFrame:
@@ -228,10 +219,9 @@ def extract_flanks(models: DataFrame, chunks: DataFrame, chunk_bp: int) -> DataF
             )
         ),
     )
-    counts = base_count_columns(F.col("piece"))
-    acgt = counts["a_count"] + counts["c_count"] + counts["g_count"] + counts["t_count"]
-    pieces = slice_pieces(chunks, sides, chunk_bp).select(
-        *key, "side", (counts["g_count"] + counts["c_count"]).alias("gc"), acgt.alias("acgt")
+    gc = F.col("g_count") + F.col("c_count")
+    pieces = with_base_counts(slice_pieces(chunks, sides, chunk_bp).select(*key, "side", "piece"), F.col("piece")).select(
+        *key, "side", gc.alias("gc"), (gc + F.col("a_count") + F.col("t_count")).alias("acgt")
     )
 
     def total(name: str, side: str | None = None) -> Column:

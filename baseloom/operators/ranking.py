@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from baseloom.session import stored
+
 
 def _buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -33,9 +35,11 @@ def assign_pk(df: DataFrame, order: list[str], pk: str, start: int = 1, buckets:
     """Consecutive numbers in the order of ``order`` (which must be a key).
 
     Rows are ranked inside key ranges; the ranges' counts (one row per range)
-    give the offsets. No task sees more than its range.
+    give the offsets. No task sees more than its range. Three passes read the
+    rows, so they are written once before.
     """
     buckets = buckets or _buckets(df)
+    df = stored(df)
     parted = df.withColumn("_range", _range_bucket(df, order, buckets))
     totals = parted.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,6 +57,7 @@ def assign_pk(df: DataFrame, order: list[str], pk: str, start: int = 1, buckets:
 def running_total(df: DataFrame, order: list[str], value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Sum of ``value`` over the rows before each row, in the order of ``order``."""
     buckets = buckets or _buckets(df)
+    df = stored(df)
     parted = df.withColumn("_range", _range_bucket(df, order, buckets))
     totals = parted.groupBy("_range").agg(F.sum(value).alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baseloom.functions.sequence import (
-    ADDITIVE_COUNTS,
-    base_count_columns,
-    derived_count_columns,
-)
+from baseloom.functions.kernels import window_counter
+from baseloom.functions.sequence import ADDITIVE_COUNTS, derived_count_columns
 from baseloom.operators.stats import distribution, widen
 
 
@@ -43,10 +40,10 @@ def tile_windows(
 ) -> DataFrame:
     """Base counts of all windows of all sequences.
 
-    Windows that fit whole into chunks (no overlap, size divides the chunk)
-    are cut and counted where the chunk lies, without a shuffle; the default
-    sizes all divide the default chunk. Others are cut into one piece per
-    chunk and their counts added up.
+    Each chunk gives the counts of the windows it meets. Windows that lie whole
+    on chunks (no overlap, size divides the chunk) are done with that, without
+    a shuffle; the default sizes all divide the default chunk. The counts of
+    others are added up over their chunks.
     """
     pairs = pair_steps(sizes, steps)
     offset = max(0, start_offset)
@@ -54,9 +51,11 @@ def tile_windows(
     across = [(s, step) for s, step in pairs if not (s == step and s in inside)]
     parts = []
     if inside:
-        parts.append(_windows_inside_chunks(chunks, inside, chunk_bp, keys))
+        parts.append(_chunk_windows(chunks, [(s, s) for s in inside], 0, chunk_bp, keys))
     if across:
-        parts.append(_windows_across_chunks(chunks, across, offset, chunk_bp, keys))
+        by = [*keys, "standard_window_size_bp", "step_size_bp", "window_rank0"]
+        pieces = _chunk_windows(chunks, across, offset, chunk_bp, keys)
+        parts.append(pieces.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ADDITIVE_COUNTS]))
     counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     for name, column in derived_count_columns().items():
         counted = counted.withColumn(name, column)
@@ -73,70 +72,12 @@ def tile_windows(
     )
 
 
-def _windows_inside_chunks(chunks: DataFrame, sizes: list[int], chunk_bp: int, keys) -> DataFrame:
-    cut = F.array(
-        *[
-            F.struct(
-                F.lit(s).cast("bigint").alias("size"),
-                F.regexp_extract_all(F.col("bases"), F.lit(f"(?s).{{1,{s}}}"), F.lit(0)).alias("pieces"),
-            )
-            for s in sizes
-        ]
-    )
-    windows = (
-        chunks.select(*keys, "chunk_no", F.inline(cut))
-        .select(*keys, "chunk_no", "size", F.posexplode("pieces").alias("place", "piece"))
-        .withColumn("window_rank0", F.col("chunk_no") * (F.lit(chunk_bp) / F.col("size")).cast("bigint") + F.col("place"))
-    )
-    counts = base_count_columns(F.col("piece"))
-    return windows.select(
-        *keys,
-        F.col("size").alias("standard_window_size_bp"),
-        F.col("size").alias("step_size_bp"),
-        "window_rank0",
-        *[counts[c].alias(c) for c in ADDITIVE_COUNTS],
-    )
-
-
-def _windows_across_chunks(chunks: DataFrame, pairs, offset: int, chunk_bp: int, keys) -> DataFrame:
-    pair = F.array(
-        *[
-            F.struct(F.lit(s).cast("bigint").alias("size"), F.lit(t).cast("bigint").alias("step"))
-            for s, t in pairs
-        ]
-    )
-    left = F.col("chunk_no") * chunk_bp
-    right = left + F.length("bases")
-    size, step = F.col("size"), F.col("step")
-    first = F.greatest(F.lit(0), F.floor((left - offset - size) / step) + 1)
-    last = F.floor((right - 1 - offset) / step)
-    begin = F.lit(offset) + F.col("window_rank0") * step
-    piece = F.expr("substring(bases, int(greatest(_b, _l) - _l + 1), int(least(_b + size, _r) - greatest(_b, _l)))")
-    pieces = (
-        chunks.select(*keys, "chunk_no", "bases", F.inline(pair))
-        .withColumn("_l", left)
-        .withColumn("_r", right)
-        .withColumn("_first", first)
-        .withColumn("_last", last)
-        .where(F.col("_last") >= F.col("_first"))
-        .withColumn("window_rank0", F.explode(F.sequence("_first", "_last")))
-        .withColumn("_b", begin)
-        .where(F.least(F.col("_b") + size, F.col("_r")) > F.greatest(F.col("_b"), F.col("_l")))
-        .withColumn("piece", piece)
-    )
-    counts = base_count_columns(F.col("piece"))
-    by = [*keys, "standard_window_size_bp", "step_size_bp", "window_rank0"]
-    return (
-        pieces.select(
-            *keys,
-            size.alias("standard_window_size_bp"),
-            step.alias("step_size_bp"),
-            F.col("window_rank0").cast("bigint").alias("window_rank0"),
-            *[counts[c].alias(c) for c in ADDITIVE_COUNTS],
-        )
-        .groupBy(*by)
-        .agg(*[F.sum(c).alias(c) for c in ADDITIVE_COUNTS])
-    )
+def _chunk_windows(chunks: DataFrame, pairs, offset: int, chunk_bp: int, keys) -> DataFrame:
+    kinds = dict(chunks.dtypes)
+    schema = [f"{k} {kinds[k]}" for k in keys]
+    schema += [f"{c} bigint" for c in ["standard_window_size_bp", "step_size_bp", "window_rank0", *ADDITIVE_COUNTS]]
+    run = window_counter(list(keys), pairs, offset, chunk_bp)
+    return chunks.select(*keys, "chunk_no", "bases").mapInArrow(run, ", ".join(schema))
 
 
 _SUMMARY = {

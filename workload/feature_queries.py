@@ -12,7 +12,7 @@ from baseloom.session import stored
 from workload import inputs as I
 from workload.registry import query, rounded
 
-C = I.CHUNK_BP
+C = I.SLICE_BP
 REVCOMP = f"reverse(translate({{0}}, '{S.IUPAC}', '{S.IUPAC_COMPLEMENT}'))"
 
 
@@ -58,15 +58,10 @@ def cds_composition(spark, d):
   length(bases) - length(translate(bases, 'GC', '')) AS gc_bp, round({gc_sql('bases')}, 6) AS gc_prop FROM dna""",
 )
 def base_counts(spark, d):
-    df = I.dna(spark, d)
-    df = df.select("doc_id", *[c.alias(n) for n, c in S.base_count_columns(F.col("bases")).items()])
+    wanted = ("other_count", "callable_bp", "gc_bp", "gc_prop")
+    df = S.with_base_counts(I.dna(spark, d), F.col("bases"))
     derived = S.derived_count_columns()
-    return rounded(
-        df.select(
-            "doc_id", "a_count", "c_count", "g_count", "t_count", "n_count", "gap_bp",
-            *[derived[n].alias(n) for n in ("other_count", "callable_bp", "gc_bp", "gc_prop")],
-        )
-    )
+    return rounded(df.withColumns({n: derived[n] for n in wanted}).drop("bases", "total_bp"))
 
 
 QC_SQL = f"""qc AS (SELECT *, sequence_length % 3 = 0 AS passes_length_mod_3,
@@ -149,7 +144,7 @@ _SLICED = f"""{I.DNA_SQL}, {I.MODELS_SQL}"""
     FROM models JOIN dna USING (doc_id) WHERE bases <> '')""",
 )
 def slice_intervals(spark, d):
-    return IV.slice_intervals(I.chunks(spark, d), I.models(spark, d), C, ["genome_pk", "gene"]).select(
+    return IV.slice_intervals(I.chunks(spark, d, C), I.models(spark, d), C, ["genome_pk", "gene"]).select(
         "gene", "genome_pk", "seq"
     )
 
@@ -164,7 +159,7 @@ CDS_OF_GENES = f"""gene_cds AS (SELECT genome_pk, gene, sequence_id, strand,
 
 @query("j10_extract_cds", f"WITH {_SLICED}, {CDS_OF_GENES} SELECT * FROM gene_cds")
 def extract_cds(spark, d):
-    return IV.extract_cds(I.models(spark, d), I.chunks(spark, d), C)
+    return IV.extract_cds(I.models(spark, d), I.chunks(spark, d, C), C)
 
 
 INTRONS_SQL = """introns AS (SELECT genome_pk, gene, sequence_id, doc_id, status, strand, s AS "start", e AS "end", e - s + 1 AS length,
@@ -197,7 +192,7 @@ INTRON_SEQ = f"""intron_seq AS (SELECT i.*, CASE WHEN strand = '-' THEN {REVCOMP
 )
 def extract_introns(spark, d):
     introns = IV.infer_introns(I.models(spark, d).where("status = 'Single'"))
-    out = IV.extract_introns(introns, I.chunks(spark, d), C)
+    out = IV.extract_introns(introns, I.chunks(spark, d, C), C)
     return rounded(out.drop("sequence_id", "gene", "status", "strand", "intron_no"))
 
 
@@ -219,7 +214,7 @@ FLANKS_SQL = f"""flank_at AS (SELECT m.*, k AS flank_set_pk, bases,
   round(gc, 6) AS gc, length, round(upstream_gc, 6) AS upstream_gc, round(downstream_gc, 6) AS downstream_gc FROM flanks""",
 )
 def extract_flanks(spark, d):
-    out = IV.extract_flanks(I.models(spark, d), I.chunks(spark, d), C)
+    out = IV.extract_flanks(I.models(spark, d), I.chunks(spark, d, C), C)
     return rounded(out.drop("sequence_id", "status", "strand", "start", "end"))
 
 
@@ -227,7 +222,7 @@ def reported_introns(spark, d):
     """Introns as a file may report them: some with a wrong length or base."""
     introns = IV.infer_introns(I.models(spark, d))
     key = ["genome_pk", "intron_id"]
-    texts = IV.slice_intervals(I.chunks(spark, d), introns, C, key).select(*key, "seq")
+    texts = IV.slice_intervals(I.chunks(spark, d, C), introns, C, key).select(*key, "seq")
     return stored(
         introns.join(texts, key)
         .withColumn("length", F.when(F.col("start") % 10 == 0, F.col("length") + 1).otherwise(F.col("length")))
@@ -250,7 +245,7 @@ REPORTED = f"""checked AS (SELECT genome_pk, intron_id, "start", "end", strand,
   substring(bases, greatest(1, "end" - 4), "end" + 5 - greatest(1, "end" - 4) + 1) AS right_boundary_sequence FROM checked""",
 )
 def validate_introns(spark, d):
-    return IV.validate_introns(reported_introns(spark, d), I.chunks(spark, d), C, boundary=5)
+    return IV.validate_introns(reported_introns(spark, d), I.chunks(spark, d, C), C, boundary=5)
 
 
 @query(
@@ -260,13 +255,13 @@ def validate_introns(spark, d):
   count(*) FILTER (length(got) = expected_length) AS n_sequence_length_match, count(*) FILTER (got <> want) AS n_mismatch FROM checked""",
 )
 def validation_summary(spark, d):
-    return IV.validation_summary(IV.validate_introns(reported_introns(spark, d), I.chunks(spark, d), C))
+    return IV.validation_summary(IV.validate_introns(reported_introns(spark, d), I.chunks(spark, d, C), C))
 
 
 def orthologs(spark, d):
     """Quality, sequences and models of all genes; some genes lack one of them."""
     models = I.models(spark, d)
-    cds = IV.extract_cds(models, I.chunks(spark, d), C)
+    cds = IV.extract_cds(models, I.chunks(spark, d, C), C)
     number = F.substring("gene", 2, 20).cast("bigint")
     quality = FT.cds_quality(cds.where(number % 9 != 4)).where("passes_raw_cds_qc IS NOT NULL")
     return stored(FT.assemble_orthologs(quality, cds.where(number % 9 != 5), models.where(number % 9 != 6)))
@@ -351,7 +346,7 @@ _FEATURE_STATS = _select_stats(_stats_sql("gc", "gc", "length"))
 )
 def intron_summary(spark, d):
     introns = IV.infer_introns(I.models(spark, d).where("status = 'Single'"))
-    counted = stored(IV.intron_counts(introns, I.chunks(spark, d), C))
+    counted = stored(IV.intron_counts(introns, I.chunks(spark, d, C), C))
     return rounded(FT.intron_summary(counted, I.genomes(spark, d)))
 
 
@@ -368,7 +363,7 @@ def intron_summary(spark, d):
     FROM flanks WHERE status = 'Single' GROUP BY genome_pk, flank_set_pk) s ON s.genome_pk = g.genome_pk AND s.flank_set_pk = k""",
 )
 def flank_summary(spark, d):
-    flanks = stored(IV.extract_flanks(I.models(spark, d).where("status = 'Single'"), I.chunks(spark, d), C))
+    flanks = stored(IV.extract_flanks(I.models(spark, d).where("status = 'Single'"), I.chunks(spark, d, C), C))
     return rounded(FT.flank_summary(flanks, I.genomes(spark, d)))
 
 

@@ -7,12 +7,16 @@ regions, nations and suppliers become a tree.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from baseloom.session import spread
 
-CHUNK_BP = 1200
+# Chunks of the window queries and of the interval queries.
+CHUNK_BP = 6000
+SLICE_BP = 240
 SIZES = [600, 300]
 LETTERS, BASES = "BDEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTN"
 N_GENOMES = 20
@@ -22,8 +26,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def dna_of(text):
-    return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), LETTERS, BASES)
+_BASE_OF = {**{c: c for c in "ACGTN"}, **dict(zip(LETTERS, BASES))}
+_BYTES = bytes(ord(_BASE_OF[chr(b).upper()]) if chr(b).upper() in _BASE_OF else b for b in range(256))
+_OTHER = bytes(b for b in range(256) if not (chr(b).isascii() and chr(b).isalpha()))
+
+
+@F.arrow_udf(StringType())
+def dna_of(text: pa.Array) -> pa.Array:
+    """Letters to bases by a byte table; all other bytes are dropped."""
+    return pa.array([t.as_buffer().to_pybytes().translate(_BYTES, _OTHER).decode("ascii") for t in text], pa.string())
 
 
 def dna(spark, d) -> DataFrame:
