@@ -108,3 +108,137 @@ def _window_batch(batch, keys, part, local, left, begin, size, step, offset):
     arrays += [pa.array(a) for a in [*fixed, rank.astype(np.int64), *counts, (hi - lo).astype(np.int64)]]
     names = [*keys, "standard_window_size_bp", "step_size_bp", "window_rank0", *COUNT_NAMES, "total_bp"]
     return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+# Two-base prefixes of the four-fold degenerate families.
+FOURFOLD_PREFIXES = ["GT", "CC", "AC", "GC", "GG", "CT", "CG", "TC"]
+_CODE = np.full(256, 4, np.int64)
+for _i, _c in enumerate("ACGT"):
+    _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
+_FAMILY = np.full(25, 255, np.int64)
+for _i, _p in enumerate(FOURFOLD_PREFIXES):
+    _FAMILY[_CODE[ord(_p[0])] * 5 + _CODE[ord(_p[1])]] = _i
+# Ambiguous nucleotide codes.
+_AMBIGUOUS = np.zeros(256, bool)
+_AMBIGUOUS[[ord(c) for c in "NRYSWKMBDHV"]] = True
+
+
+def _codons(data: np.ndarray, rows: np.ndarray):
+    """Row, number in the row and first position of all complete codons."""
+    many = np.diff(rows) // 3
+    row = np.repeat(np.arange(len(many)), many)
+    number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return many, row, number, rows[row] + number * 3
+
+
+def _upper(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= ord("a")) & (data <= ord("z")), data - 32, data)
+
+
+CDS_FIELDS = [
+    "length", "internal_stops", "last_stop", "a", "c", "g", "t", "n", "ambiguous", "gc3", "valid3", "gc4", "valid4",
+]
+CDS_TYPE = StructType([StructField(n, LongType()) for n in CDS_FIELDS])
+
+
+@F.arrow_udf(CDS_TYPE)
+def cds_counts(seq: pa.Array) -> pa.Array:
+    """Counts behind the quality and composition of coding sequences.
+
+    Gaps are left out first. ``gc3`` and ``gc4`` (with their valid bases) are
+    over the codons before a stop at the end.
+    """
+    data, rows = _text_buffer(seq.fill_null(""))
+    data = _upper(data[rows[0] : rows[-1]])
+    rows = rows - rows[0]
+    kept = data != ord("-")
+    rows = np.concatenate([[0], np.cumsum(kept)])[rows]
+    data = data[kept]
+    n_rows = len(rows) - 1
+    many, row, number, at = _codons(data, rows)
+    one, two, three = (_CODE[data[at + i]] for i in range(3))
+    stop = (one == 3) & (((two == 0) & ((three == 0) | (three == 2))) | ((two == 2) & (three == 0)))
+    last = number == many[row] - 1
+    body = ~(last & stop)
+    fourfold = body & (_FAMILY[one * 5 + two] < 255)
+
+    def per_row(hits: np.ndarray) -> np.ndarray:
+        return np.bincount(row[hits], minlength=n_rows).astype(np.int64)
+
+    def whole(hits: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(hits, dtype=np.int64)])
+        return total[rows[1:]] - total[rows[:-1]]
+
+    gc, base = (three == 1) | (three == 2), three < 4
+    columns = [
+        np.diff(rows),
+        per_row(stop & ~last),
+        per_row(stop & last),
+        *[whole(data == ord(c)) for c in "ACGTN"],
+        whole(_AMBIGUOUS[data]),
+        per_row(body & gc),
+        per_row(body & base),
+        per_row(fourfold & gc),
+        per_row(fourfold & base),
+    ]
+    return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], CDS_FIELDS)
+
+
+WORD_FIELDS = ["word", "n_codons", "s1", "s2", "s3", "fourfold", "f0", "f1", "f2"]
+
+
+def word_type():
+    from pyspark.sql.types import ArrayType
+
+    return ArrayType(StructType([StructField(n, LongType()) for n in WORD_FIELDS]))
+
+
+def codon_words(invalid: str):
+    """Codon flags of an aligned sequence, 64 codons to a word.
+
+    Per word: is each site valid, has the codon a four-fold prefix, and the
+    three bits of the prefix family. Words of an alignment's sequences are
+    combined by ``bit_and`` and ``bit_or``.
+    """
+    wrong = np.zeros(256, bool)
+    wrong[[ord(c) for c in invalid]] = True
+
+    @F.arrow_udf(word_type())
+    def words(seq: pa.Array) -> pa.Array:
+        data, rows = _text_buffer(seq.fill_null(""))
+        data = _upper(data)
+        many, row, number, at = _codons(data, rows)
+        sites = [data[at + i] for i in range(3)]
+        family = _FAMILY[_CODE[sites[0]] * 5 + _CODE[sites[1]]]
+        flags = [~wrong[s] for s in sites] + [family < 255] + [(family >> b) & 1 == 1 for b in range(3)]
+        per_row = (many + 63) // 64
+        offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
+        begins = np.flatnonzero(number % 64 == 0)
+        bit = (number % 64).astype(np.uint64)
+        packed = [
+            np.bitwise_or.reduceat(f.astype(np.uint64) << bit, begins).view(np.int64) if len(begins) else np.zeros(0, np.int64)
+            for f in flags
+        ]
+        columns = [number[begins] // 64, np.minimum(64, many[row[begins]] - number[begins]), *packed]
+        values = pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], WORD_FIELDS)
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+    return words
+
+
+THIRD_FIELDS = ["g_gc4", "c_gc4", "a_gc4", "t_gc4", "n_gc4"]
+THIRD_TYPE = StructType([StructField(n, LongType()) for n in THIRD_FIELDS])
+
+
+@F.arrow_udf(THIRD_TYPE)
+def kept_thirds(seq: pa.Array, kept: pa.Array) -> pa.Array:
+    """Bases at the third sites of the kept codons (words of 64 bits)."""
+    data, rows = _text_buffer(seq.fill_null(""))
+    data = _upper(data)
+    many, row, number, at = _codons(data, rows)
+    starts = kept.offsets.to_numpy().astype(np.int64)
+    words = kept.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    use = (words[starts[:-1][row] + number // 64] >> (number % 64).astype(np.uint64)) & np.uint64(1) == 1
+    third = data[at + 2]
+    columns = [np.bincount(row[use & (third == ord(c))], minlength=len(many)).astype(np.int64) for c in "GCATN"]
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], THIRD_FIELDS)

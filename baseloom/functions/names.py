@@ -21,7 +21,8 @@ def _tokens(text: Column) -> Column:
 
 
 def _first_two(tokens: Column, empty: str | None) -> Column:
-    return F.when(F.size(tokens) == 0, F.lit(empty)).otherwise(F.array_join(F.slice(tokens, 1, 2), "_"))
+    # The tokens are named once, so that they are built once per row.
+    return F.coalesce(F.nullif(F.array_join(F.slice(tokens, 1, 2), "_"), F.lit("")), F.lit(empty))
 
 
 def _full(text: Column) -> Column:

@@ -12,21 +12,6 @@ from baseloom.functions.kernels import base_counts
 # IUPAC nucleotide codes and their complements, both cases.
 IUPAC = "ACGTRYSWKMBDHVNacgtryswkmbdhvn"
 IUPAC_COMPLEMENT = "TGCAYRSWMKVHDBNtgcayrswmkvhdbn"
-# Ambiguous nucleotide codes.
-AMBIGUOUS = "NRYSWKMBDHV"
-# Stop codons of the standard code.
-STOP_CODONS = ["TAA", "TAG", "TGA"]
-# Two-base prefixes of the four-fold degenerate families.
-FOURFOLD_FAMILIES = {
-    "GT": "Val",
-    "CC": "Pro",
-    "AC": "Thr",
-    "GC": "Ala",
-    "GG": "Gly",
-    "CT": "Leu",
-    "CG": "Arg",
-    "TC": "Ser",
-}
 # Amino acids of the standard code, codons in T, C, A, G order.
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
@@ -50,56 +35,16 @@ def orient(seq: Column, strand: Column) -> Column:
     return F.when(strand == "-", reverse_complement(seq)).otherwise(seq)
 
 
-def ungapped(seq: Column) -> Column:
-    return F.replace(F.upper(seq), F.lit("-"), F.lit(""))
-
-
 def codons(seq: Column) -> Column:
     """Complete codons as an array, in one pass over the text."""
     return F.regexp_extract_all(seq, F.lit("(?s)..."), F.lit(0))
 
 
-def is_stop(codon: Column) -> Column:
-    return codon.isin(STOP_CODONS)
-
-
-def has_terminal_stop(seq: Column) -> Column:
-    """The last three bases form a stop, whatever the length."""
-    return (F.length(seq) >= 3) & is_stop(F.substring(seq, -3, 3))
-
-
-def without_terminal_stop(seq: Column) -> Column:
-    return F.when(has_terminal_stop(seq), F.left(seq, F.length(seq) - 3)).otherwise(seq)
-
-
-def internal_stops(codon_array: Column) -> Column:
-    """Stop codons before the last codon."""
-    head = F.slice(codon_array, 1, F.greatest(F.size(codon_array) - 1, F.lit(0)))
-    return F.size(F.filter(head, is_stop)).cast("long")
-
-
-def third_bases(codon_array: Column) -> Column:
-    return F.transform(codon_array, lambda c: F.substring(c, 3, 1))
-
-
-def fourfold_codons(codon_array: Column) -> Column:
-    return F.filter(codon_array, lambda c: F.substring(c, 1, 2).isin(list(FOURFOLD_FAMILIES)))
-
-
 def gc_fraction(gc: Column, callable_bp: Column) -> Column:
     """GC over callable bases, NULL when there is none."""
     return F.when(callable_bp > 0, gc / callable_bp)
 
 
-def gc_of(seq: Column) -> Column:
-    return gc_fraction(count_chars(seq, "GC"), count_chars(seq, "ACGT"))
-
-
-def gc_of_bases(bases: Column) -> Column:
-    """GC of an array of single bases."""
-    return gc_of(F.array_join(bases, ""))
-
-
 def translate_codons(codon_array: Column) -> Column:
     """Amino acids by the standard code; unknown codons give X."""
     pairs = []

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from baseloom.functions.sequence import FOURFOLD_FAMILIES, codons, count_char, count_chars
+from baseloom.functions.kernels import THIRD_FIELDS, codon_words, kept_thirds
+from baseloom.functions.sequence import count_char
 from baseloom.operators.ranking import dense_rank_desc, exact_quantiles, running_total
 
 # Characters that make an alignment site incomplete.
@@ -36,36 +37,35 @@ def require_valid_alignments(aln: DataFrame, shown: int = 20) -> DataFrame:
 
 
 def _codon_masks(aln: DataFrame, invalid: str, same_family: bool) -> DataFrame:
-    """Per alignment: site and codon counts and the numbers of retained codons.
+    """Per alignment: site and codon counts and the bits of the retained codons.
 
-    Each sequence gives one small row per codon; these are combined before the
-    shuffle. The result is no wider than one aligned sequence.
+    Each sequence gives one row per 64 codons; these are combined by bit
+    operations before the shuffle. The result is no wider than a sequence.
     """
-    flag = {i: count_chars(F.substring("codon", i, 1), invalid) == 0 for i in (1, 2, 3)}
-    family = F.substring("codon", 1, 2)
-    fourfold = family.isin(list(FOURFOLD_FAMILIES))
-    per_codon = (
-        aln.select("alignment", F.posexplode(codons(F.col("seq"))).alias("codon_no", "codon"))
-        .groupBy("alignment", "codon_no")
-        .agg(
-            *[F.bool_and(flag[i]).alias(f"_s{i}") for i in (1, 2, 3)],
-            F.bool_and(fourfold).alias("_fourfold"),
-            (F.min(family) == F.max(family)).alias("_one_family"),
-        )
+    sites, family = ["s1", "s2", "s3", "fourfold"], ["f0", "f1", "f2"]
+    words = aln.select("alignment", F.inline(codon_words(invalid)(F.col("seq")))).groupBy("alignment", "word").agg(
+        F.max("n_codons").alias("n_codons"),
+        *[F.bit_and(c).alias(c) for c in sites],
+        *[F.bit_and(c).alias(f"{c}_all") for c in family],
+        *[F.bit_or(c).alias(f"{c}_any") for c in family],
     )
-    complete = F.col("_s1") & F.col("_s2") & F.col("_s3")
-    candidate = complete & F.col("_fourfold")
-    mixed = candidate & ~F.col("_one_family") if same_family else F.lit(False)
-    kept = candidate & ~mixed
-    sites = sum((F.col(f"_s{i}").cast("int") for i in (1, 2, 3)), F.lit(0))
-    return per_codon.groupBy("alignment").agg(
-        F.count(F.lit(1)).alias("total_codons"),
-        F.sum(sites).alias("complete_sites_nt"),
-        F.count_if(complete).alias("complete_codons"),
-        F.count_if(candidate).alias("candidate_gc4_codons_all_sequences"),
-        F.count_if(mixed).alias("dropped_mixed_gc4_family"),
-        F.count_if(kept).alias("retained_gc4_codons"),
-        F.array_sort(F.collect_list(F.when(kept, F.col("codon_no")))).alias("_kept"),
+    differs = " | ".join(f"({c}_all ^ {c}_any)" for c in family)
+    marked = words.withColumn("_complete", F.expr("s1 & s2 & s3")).withColumn("_candidate", F.expr("_complete & fourfold"))
+    marked = marked.withColumn("_mixed", F.expr(f"_candidate & ({differs})") if same_family else F.lit(0).cast("bigint"))
+    marked = marked.withColumn("_kept", F.expr("_candidate & ~_mixed"))
+
+    def bits(column: str) -> Column:
+        return F.sum(F.bit_count(column)).cast("bigint")
+
+    words_in_order = F.array_sort(F.collect_list(F.struct("word", "_kept")))
+    return marked.groupBy("alignment").agg(
+        F.sum("n_codons").alias("total_codons"),
+        (bits("s1") + bits("s2") + bits("s3")).alias("complete_sites_nt"),
+        bits("_complete").alias("complete_codons"),
+        bits("_candidate").alias("candidate_gc4_codons_all_sequences"),
+        bits("_mixed").alias("dropped_mixed_gc4_family"),
+        bits("_kept").alias("retained_gc4_codons"),
+        F.transform(words_in_order, lambda w: w["_kept"]).alias("_kept"),
     )
 
 
@@ -86,16 +86,13 @@ def gc4_alignment(aln: DataFrame, invalid: str = INVALID, same_family: bool = Fa
         F.sum(count_char(F.col("seq"), "N")).alias("invalid_char_N"),
     )
     joined = up.join(masks, "alignment").join(whole, "alignment")
-    thirds = F.transform("_kept", lambda i: F.substring(F.get(F.col("_codons"), i), 3, 1))
-    text = joined.withColumn("_codons", codons(F.col("seq"))).withColumn("_third", F.array_join(thirds, ""))
-    counts = {f"{b.lower()}_gc4": count_char(F.col("_third"), b) for b in "GCATN"}
-    out = text.withColumns(counts)
+    out = joined.withColumn("_third", kept_thirds(F.col("seq"), F.col("_kept"))).select("*", "_third.*")
     valid = F.col("g_gc4") + F.col("c_gc4") + F.col("a_gc4") + F.col("t_gc4")
     return out.select(
         "alignment",
         "sequence_id",
         F.when(valid > 0, (F.col("g_gc4") + F.col("c_gc4")) / valid).otherwise(0.0).alias("gc4"),
-        *counts,
+        *THIRD_FIELDS,
         valid.alias("valid_gc4_bases"),
         F.col("retained_gc4_codons").alias("retained_gc4_sites"),
         "retained_gc4_codons",

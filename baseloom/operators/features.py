@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baseloom.functions import sequence as S
+from baseloom.functions.kernels import cds_counts
 from baseloom.operators.stats import distribution, widen
 
 
@@ -16,39 +17,35 @@ def cds_composition(df: DataFrame, seq: str = "seq") -> DataFrame:
     gc4 is NULL when the length without the last stop is no multiple of three,
     stops inside do not matter.
     """
-    whole = S.ungapped(F.col(seq))
-    out = df.withColumn("_whole", whole).withColumn("_open", S.without_terminal_stop(F.col("_whole")))
-    in_frame = (F.length("_whole") % 3 == 0) & (S.internal_stops(S.codons(F.col("_whole"))) == 0)
-    thirds = S.third_bases(S.codons(F.col("_open")))
-    fourfold = S.third_bases(S.fourfold_codons(S.codons(F.col("_open"))))
+    n = df.withColumn("_n", cds_counts(F.col(seq)))
+    in_frame = F.col("_n.length") % 3 == 0
+    acgt = F.col("_n.a") + F.col("_n.c") + F.col("_n.g") + F.col("_n.t")
+    clean = in_frame & (F.col("_n.internal_stops") == 0)
     return (
-        out.withColumn("gc", S.gc_of(F.col("_whole")))
-        .withColumn("gc3", F.when(in_frame, S.gc_of_bases(thirds)))
-        .withColumn("gc4", F.when(F.length("_open") % 3 == 0, S.gc_of_bases(fourfold)))
-        .drop("_whole", "_open")
+        n.withColumn("gc", S.gc_fraction(F.col("_n.g") + F.col("_n.c"), acgt))
+        .withColumn("gc3", F.when(clean, S.gc_fraction(F.col("_n.gc3"), F.col("_n.valid3"))))
+        .withColumn("gc4", F.when(in_frame, S.gc_fraction(F.col("_n.gc4"), F.col("_n.valid4"))))
+        .drop("_n")
     )
 
 
 def cds_quality(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Quality columns of raw coding sequences with ordered failure reasons."""
     kept = [c for c in df.columns if c != seq]
-    text = df.withColumn("_s", S.ungapped(F.col(seq))).withColumn("_codons", S.codons(F.col("_s")))
-    s = F.col("_s")
-    bases = {f"{b.lower()}_count": S.count_char(s, b) for b in "ATGCN"}
-    length = F.length(s).cast("bigint")
-    last_stop = F.coalesce(S.is_stop(F.try_element_at("_codons", F.lit(-1))), F.lit(False))
-    protein = F.floor((length - F.when(last_stop, 3).otherwise(0)) / 3).cast("bigint")
-    counted = text.select(
+    counts = df.withColumn("_n", cds_counts(F.col(seq)))
+    acgt = F.col("_n.a") + F.col("_n.c") + F.col("_n.g") + F.col("_n.t")
+    length = F.col("_n.length")
+    counted = counts.select(
         *kept,
         length.alias("sequence_length"),
         (length % 3).alias("length_mod_3"),
-        S.internal_stops(F.col("_codons")).alias("internal_stop_count"),
-        last_stop.alias("terminal_stop"),
-        protein.alias("protein_length"),
-        *[c.alias(n) for n, c in bases.items()],
-        S.count_chars(s, S.AMBIGUOUS).alias("ambiguous_count"),
-        (length - S.count_chars(s, S.AMBIGUOUS + "ACGT")).alias("invalid_count"),
-        S.count_chars(s, "ACGT").alias("total_valid_bases"),
+        F.col("_n.internal_stops").alias("internal_stop_count"),
+        (F.col("_n.last_stop") > 0).alias("terminal_stop"),
+        F.floor((length - 3 * F.col("_n.last_stop")) / 3).cast("bigint").alias("protein_length"),
+        *[F.col(f"_n.{b}").alias(f"{b}_count") for b in "atgcn"],
+        F.col("_n.ambiguous").alias("ambiguous_count"),
+        (length - F.col("_n.ambiguous") - acgt).alias("invalid_count"),
+        acgt.alias("total_valid_bases"),
     )
 
     def fraction(name: str):

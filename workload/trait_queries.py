@@ -9,7 +9,7 @@ from baseloom.functions.names import normalize_species
 from baseloom.operators import ranking as R
 from baseloom.operators import stats as ST
 from baseloom.operators import traits as TR
-from baseloom.session import stored
+from baseloom.session import spread, stored
 from workload import inputs as I
 from workload.registry import query, rounded
 
@@ -230,7 +230,7 @@ def thermal_source(spark, d):
     letters = F.translate((F.col("l_suppkey") % 97).cast("string"), "0123456789", "abcdefghij")
     more = F.translate((F.col("l_suppkey") % 131).cast("string"), "0123456789", "klmnopqrst")
     return (
-        I.table(spark, d, "lineitem")
+        spread(I.table(spark, d, "lineitem"))
         .select(
             F.concat(F.lit("Genus"), letters).alias("genus"),
             F.concat(F.lit("spec"), more).alias("species"),
