@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 # Counted characters, in the order of the count columns.
 COUNTED = "ACGTN-"
@@ -68,6 +68,19 @@ def base_counts(seq: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c) for c in columns], [f.name for f in COUNT_TYPE])
 
 
+# IUPAC nucleotide codes and their complements, both cases.
+IUPAC = "ACGTRYSWKMBDHVNacgtryswkmbdhvn"
+IUPAC_COMPLEMENT = "TGCAYRSWMKVHDBNtgcayrswmkvhdbn"
+_COMPLEMENT = bytes.maketrans(IUPAC.encode(), IUPAC_COMPLEMENT.encode())
+
+
+@F.arrow_udf(StringType())
+def reverse_complement(seq: pa.Array) -> pa.Array:
+    """Complement by a byte table, then reversed; case is kept."""
+    turned = [None if t.as_py() is None else t.as_buffer().to_pybytes().translate(_COMPLEMENT)[::-1] for t in seq]
+    return pa.array([None if t is None else t.decode("ascii") for t in turned], pa.string())
+
+
 def window_counter(keys: list[str], pairs: list[tuple[int, int]], offset: int, chunk_bp: int):
     """A function for ``mapInArrow``: counts of each window's part on each chunk.
 
@@ -187,10 +200,7 @@ def cds_counts(seq: pa.Array) -> pa.Array:
 WORD_FIELDS = ["word", "n_codons", "s1", "s2", "s3", "fourfold", "f0", "f1", "f2"]
 
 
-def word_type():
-    from pyspark.sql.types import ArrayType
-
-    return ArrayType(StructType([StructField(n, LongType()) for n in WORD_FIELDS]))
+WORD_TYPE = ArrayType(StructType([StructField(n, LongType()) for n in WORD_FIELDS]))
 
 
 def codon_words(invalid: str):
@@ -203,7 +213,7 @@ def codon_words(invalid: str):
     wrong = np.zeros(256, bool)
     wrong[[ord(c) for c in invalid]] = True
 
-    @F.arrow_udf(word_type())
+    @F.arrow_udf(WORD_TYPE)
     def words(seq: pa.Array) -> pa.Array:
         data, rows = _text_buffer(seq.fill_null(""))
         data = _upper(data)

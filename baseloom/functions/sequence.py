@@ -1,4 +1,4 @@
-"""Column expressions on nucleotide strings; all stay inside the JVM."""
+"""Column expressions on nucleotide strings."""
 
 from __future__ import annotations
 
@@ -7,11 +7,8 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from baseloom.functions.kernels import base_counts
+from baseloom.functions.kernels import base_counts, reverse_complement
 
-# IUPAC nucleotide codes and their complements, both cases.
-IUPAC = "ACGTRYSWKMBDHVNacgtryswkmbdhvn"
-IUPAC_COMPLEMENT = "TGCAYRSWMKVHDBNtgcayrswmkvhdbn"
 # Amino acids of the standard code, codons in T, C, A, G order.
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
@@ -21,15 +18,6 @@ def count_char(seq: Column, char: str) -> Column:
     return (F.length(seq) - F.length(F.replace(seq, F.lit(char), F.lit("")))).cast("long")
 
 
-def count_chars(seq: Column, chars: str) -> Column:
-    """Occurrences of any of the (literal) characters."""
-    return F.regexp_count(seq, F.lit("[" + chars.replace("-", "\\-") + "]")).cast("long")
-
-
-def reverse_complement(seq: Column) -> Column:
-    return F.reverse(F.translate(seq, IUPAC, IUPAC_COMPLEMENT))
-
-
 def orient(seq: Column, strand: Column) -> Column:
     """The sequence as read on its strand; only ``-`` is turned round."""
     return F.when(strand == "-", reverse_complement(seq)).otherwise(seq)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from baseloom.functions import kernels as K
 from baseloom.functions import sequence as S
 from baseloom.operators import features as FT
 from baseloom.operators import intervals as IV
@@ -13,7 +14,7 @@ from workload import inputs as I
 from workload.registry import query, rounded
 
 C = I.SLICE_BP
-REVCOMP = f"reverse(translate({{0}}, '{S.IUPAC}', '{S.IUPAC_COMPLEMENT}'))"
+REVCOMP = f"reverse(translate({{0}}, '{K.IUPAC}', '{K.IUPAC_COMPLEMENT}'))"
 
 
 def gc_sql(s: str) -> str:
