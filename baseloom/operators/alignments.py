@@ -376,32 +376,33 @@ def partitions(aln: DataFrame) -> DataFrame:
 
 
 def concatenate(aln: DataFrame, parts: DataFrame) -> DataFrame:
-    """Joined matrix as blocks: per taxon in column order, gaps for missing genes.
+    """Joined matrix as blocks per taxon: ``start, end`` and ``seq``, NULL for a gap.
 
-    Missing genes are filled in by the gap to the taxon's block before, so no
-    taxon-by-gene product is built; a matrix row is never one value.
+    A run of missing genes is one gap block, found from the taxon's block
+    before it, so no taxon-by-gene product is built and no matrix row is ever
+    one value.
     """
     placed = aln.join(parts, "alignment").select("sequence_id", "alignment", "start", "end")
     taxon = Window.partitionBy("sequence_id").orderBy("start")
-    spans = placed.withColumn("_from", F.coalesce(F.lag("end").over(taxon), F.lit(0)) + 1)
     width = parts.agg(F.max("end")).scalar()
-    tails = (
-        placed.groupBy("sequence_id")
-        .agg(F.max("end").alias("_end"))
-        .withColumn("_width", width)
-        .where(F.col("_end") < F.col("_width"))
-        .select(
-            "sequence_id",
-            (F.col("_end") + 1).alias("start"),
-            F.col("_width").alias("end"),
-            F.repeat(F.lit("-"), (F.col("_width") - F.col("_end")).cast("int")).alias("seq"),
-        )
+    before = F.coalesce(F.lag("end").over(taxon), F.lit(0)) + 1
+    gaps = placed.select("sequence_id", before.alias("_from"), (F.col("start") - 1).alias("_to"))
+    tails = placed.groupBy("sequence_id").agg((F.max("end") + 1).alias("_from")).withColumn("_to", width)
+    empty = gaps.unionByName(tails).where("_to >= _from").select(
+        "sequence_id", F.col("_from").cast("bigint").alias("start"), F.col("_to").cast("bigint").alias("end"), F.lit(None).cast("string").alias("seq")
     )
-    lead = F.repeat(F.lit("-"), (F.col("start") - F.col("_from")).cast("int"))
-    blocks = spans.join(aln, ["sequence_id", "alignment"]).select(
-        "sequence_id", F.col("_from").alias("start"), "end", F.concat(lead, F.col("seq")).alias("seq")
+    blocks = aln.join(parts, "alignment").select("sequence_id", "start", "end", "seq")
+    return blocks.unionByName(empty)
+
+
+def matrix_lines(blocks: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """Blocks as text pieces of bounded width, gaps written out."""
+    piece = F.least(F.col("end") - F.col("_at") + 1, F.lit(width)).cast("int")
+    cut = F.when(F.col("seq").isNull(), F.repeat(F.lit("-"), piece)).otherwise(
+        F.substring("seq", (F.col("_at") - F.col("start") + 1).cast("int"), piece)
     )
-    return blocks.unionByName(tails)
+    spread_out = blocks.withColumn("_at", F.explode(F.sequence("start", "end", F.lit(width).cast("bigint"))))
+    return spread_out.select("sequence_id", F.col("_at").alias("start"), cut.alias("text"))
 
 
 def required_genomes(n: int, threshold: float) -> int:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from baseloom.functions.cleaning import FASTA_PATH_COLUMNS, is_genomic_fasta, to_integer
 from baseloom.functions.names import accession_root, accession_version, normalize_species
-from baseloom.operators.ranking import dedupe_first, dedupe_last
+from baseloom.operators.ranking import dedupe_first, dedupe_last, running_total
+from baseloom.session import stored
 
 
 def with_accession_parts(df: DataFrame, column: str = "accession") -> DataFrame:
@@ -264,19 +265,33 @@ def apply_updates(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def supersession_events(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """One event per row that a new accession supersedes, as the update log has it."""
-    first = new.groupBy("species_key", "accession").agg(F.min("seq").alias("seq"))
-    before = (
-        existing.select("species_key", "accession", F.lit(-1).cast("bigint").alias("seq"))
-        .unionByName(first.select("species_key", "accession", F.col("seq").cast("bigint").alias("seq")))
-        .groupBy("species_key", F.col("accession").alias("old_accession"))
-        .agg(F.min("seq").alias("_since"))
+    """One event per new accession, with the number of rows it supersedes.
+
+    These are all rows its species has at that time but its own. Which ones
+    follows from the order; listing them per event would grow with the square
+    of a species' rows. The running counts are kept over key ranges, so one
+    species may hold most of the rows.
+    """
+    key = ["species_key", "accession"]
+    old = existing.select(*key).distinct()
+    known = old.withColumn("_old", F.lit(1))
+    first = new.groupBy(*key).agg(F.min("seq").alias("_first"))
+    rows = (
+        new.select(*key, F.col("seq").cast("bigint").alias("seq"))
+        .join(known, key, "left")
+        .join(first, key)
+        .withColumn("_adds", F.when(F.col("_old").isNull() & (F.col("seq") == F.col("_first")), 1).otherwise(0))
+        .withColumn("_own", F.when(F.col("_old").isNotNull() | (F.col("seq") > F.col("_first")), 1).otherwise(0))
     )
+    running = stored(running_total(rows, ["species_key", "seq"], "_adds", "_before"))
+    starts = running.groupBy("species_key").agg(F.min("_before").alias("_start"))
+    present = old.groupBy("species_key").agg(F.count(F.lit(1)).alias("_present"))
+    n = F.coalesce("_present", F.lit(0)) + F.col("_before") - F.col("_start") - F.col("_own")
     return (
-        new.select("species_key", F.col("accession").alias("new_accession"), "seq")
-        .join(before, "species_key")
-        .where((F.col("_since") < F.col("seq")) & (F.col("old_accession") != F.col("new_accession")))
-        .select("species_key", "old_accession", "new_accession", "seq")
+        running.join(starts, "species_key")
+        .join(present, "species_key", "left")
+        .select("species_key", F.col("accession").alias("new_accession"), "seq", n.cast("bigint").alias("n_superseded"))
+        .where("n_superseded > 0")
     )
 
 

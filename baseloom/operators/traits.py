@@ -399,17 +399,17 @@ def resolve_labels(left: DataFrame, right: DataFrame, substring: bool = False) -
     tiers = [("exact", "exact_normalized"), ("species", "species_key")]
     if substring:
         open_rows = out.where(F.col("_exact").isNull() & F.col("_species").isNull() & (F.col("norm") != "")).select("label", "norm")
-        inside = _substrings(open_rows.select("label", "norm"), "norm").join(
-            rights.select(F.col("norm").alias("_part"), "candidate", "row_idx"), "_part"
-        )
-        around = _substrings(rights.select("candidate", "row_idx", "norm"), "norm").join(
-            open_rows.select("label", F.col("norm").alias("_part")), "_part"
-        )
-        columns = ["label", "candidate", "row_idx"]
-        pairs = inside.select(*columns).unionByName(around.select(*columns)).distinct()
-        out = out.join(
-            _first_candidate(pairs, ["label"]).withColumnRenamed("_first", "_sub").withColumnRenamed("_n", "_sub_n"), "label", "left"
-        )
+        # Candidates are reduced to the first and their number per normal form
+        # or substring before they meet the labels: no label-candidate pairs.
+        by_norm = _first_candidate(rights, ["norm"]).withColumnRenamed("norm", "_part")
+        inside = _substrings(open_rows, "norm").join(by_norm, "_part").select("label", "_first", "_n")
+        wanted = open_rows.select(F.col("norm").alias("_part")).distinct()
+        parts = _substrings(rights.select("candidate", "row_idx", "norm"), "norm").join(wanted, "_part", "left_semi")
+        around = _first_candidate(parts, ["_part"]).join(open_rows.withColumnRenamed("norm", "_part"), "_part")
+        # An open label equals no normal form, so no candidate is in both.
+        both = inside.unionByName(around.select("label", "_first", "_n"))
+        found = both.groupBy("label").agg(F.min("_first").alias("_sub"), F.sum("_n").alias("_sub_n"))
+        out = out.join(found, "label", "left")
         tiers.append(("sub", "substring_normalized"))
     method = F.lit("unmatched")
     resolved: Column = F.lit(None).cast("string")
@@ -436,10 +436,10 @@ def _substrings(df: DataFrame, column: str) -> DataFrame:
 
 
 def candidates_of(left: DataFrame, right: DataFrame, tier: str = "label_key") -> DataFrame:
-    """All candidates per label for the ambiguity report, one row each."""
-    a = left.select("label").distinct().withColumn("_k", normalize_species(F.col("label"), tier))
-    b = right.select(F.col("label").alias("candidate"), normalize_species(F.col("label"), tier).alias("_k"))
-    return a.join(b, "_k").drop("_k")
+    """Candidates per key for the ambiguity report, for keys that labels ask for."""
+    asked = left.select(normalize_species(F.col("label"), tier).alias("key")).distinct()
+    rows = right.select(normalize_species(F.col("label"), tier).alias("key"), F.col("label").alias("candidate"), "row_idx")
+    return rows.join(asked, "key", "left_semi")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

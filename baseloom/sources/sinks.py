@@ -44,7 +44,8 @@ def write_chunks(df: DataFrame, root: str, table: str, columns: list[str]) -> Da
         "by_accession", file_token(F.col("accession_id"))
     )
     folders = [*[f"by_{k}" for k in keys], "by_accession"]
-    writer = _formatted(parts, [*columns, *folders]).write.partitionBy(*folders)
+    # Rebalancing gathers a folder's rows in few files and splits large folders.
+    writer = _formatted(parts, [*columns, *folders]).hint("rebalance", *folders).write.partitionBy(*folders)
     writer.option("sep", "\t").option("header", True).option("nullValue", "\\N").option("compression", "gzip").csv(path)
     written = df.sparkSession.read.option("sep", "\t").option("header", True).option("nullValue", "\\N").csv(path)
     return written.groupBy(
@@ -120,7 +121,8 @@ def load_report(target: DataFrame, new: DataFrame, keys: list[str], mode: str) -
 def write_fasta(df: DataFrame, path: str, group: str, name: str, seq: str = "seq") -> None:
     """FASTA text in one folder per group (gene)."""
     record = F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq))
-    df.select(F.col(group).alias("group"), record.alias("value")).write.partitionBy("group").text(path)
+    rows = df.select(F.col(group).alias("group"), record.alias("value")).hint("rebalance", "group")
+    rows.write.partitionBy("group").text(path)
 
 
 def write_nested_json(df: DataFrame, path: str, child: str, parent: str, value: str) -> None:

@@ -298,15 +298,24 @@ def partitions(spark, d):
     return A.partitions(I.alignments(spark, d))
 
 
+_BLOCKS = f"""{I.ALN_SQL}, {_PARTS}, placed AS (SELECT sequence_id, seq, "start" AS s, "end" AS e, lag("end", 1, 0) OVER (PARTITION BY sequence_id ORDER BY "start") AS b
+    FROM aln JOIN parts USING (alignment)), tails AS (SELECT sequence_id, max(e) AS b, (SELECT max("end") FROM parts) AS w FROM placed GROUP BY sequence_id),
+  blocks AS (SELECT sequence_id, s, e, seq FROM placed UNION ALL SELECT sequence_id, b + 1, s - 1, NULL FROM placed WHERE s > b + 1
+    UNION ALL SELECT sequence_id, b + 1, w, NULL FROM tails WHERE b < w)"""
+
+
+@query("a33_concatenate", f'WITH {_BLOCKS} SELECT sequence_id, s::BIGINT AS "start", e::BIGINT AS "end", seq FROM blocks')
+def concatenate(spark, d):
+    aln = I.alignments(spark, d)
+    return A.concatenate(aln, stored(A.partitions(aln)))
+
+
 @query(
-    "a33_concatenate",
-    f"""WITH {I.ALN_SQL}, {_PARTS}, placed AS (SELECT sequence_id, seq, "start" AS s, "end" AS e, lag("end", 1, 0) OVER (PARTITION BY sequence_id ORDER BY "start") AS b
-    FROM aln JOIN parts USING (alignment)), tails AS (SELECT sequence_id, max(e) AS m FROM placed GROUP BY sequence_id)
-  SELECT sequence_id, (b + 1)::BIGINT AS "start", e::BIGINT AS "end", (e - b)::BIGINT AS width, md5(repeat('-', (s - b - 1)::BIGINT) || seq) AS digest FROM placed
-  UNION ALL SELECT sequence_id, (m + 1)::BIGINT, w::BIGINT, (w - m)::BIGINT, md5(repeat('-', (w - m)::BIGINT))
-  FROM tails, (SELECT max("end") AS w FROM parts) WHERE m < w""",
+    "a33_matrix_lines",
+    f"""WITH {_BLOCKS}, cut AS (SELECT sequence_id, s, e, seq, unnest(range(s::BIGINT, e::BIGINT + 1, 5000)) AS pos FROM blocks)
+  SELECT sequence_id, pos AS "start", md5(coalesce(substring(seq, (pos - s + 1)::BIGINT, 5000), repeat('-', least(e - pos + 1, 5000)::BIGINT))) AS digest FROM cut""",
 )
-def concatenate(spark, d):
+def matrix_lines(spark, d):
     aln = I.alignments(spark, d)
-    blocks = A.concatenate(aln, stored(A.partitions(aln)))
-    return blocks.select("sequence_id", "start", "end", F.length("seq").cast("bigint").alias("width"), F.md5("seq").alias("digest"))
+    lines = A.matrix_lines(A.concatenate(aln, stored(A.partitions(aln))), 5000)
+    return lines.select("sequence_id", "start", F.md5("text").alias("digest"))

@@ -237,7 +237,7 @@ def apply_updates(spark, d):
 @query(
     "w04_supersession_events",
     f"""WITH {_UPDATES}, b AS (SELECT species_key, accession, min(seq) AS since FROM (SELECT species_key, accession, -1 AS seq FROM olds UNION ALL SELECT species_key, accession, row_idx FROM news) GROUP BY ALL)
-  SELECT n.species_key, b.accession AS old_accession, n.accession AS new_accession, n.row_idx AS seq FROM news n JOIN b ON b.species_key = n.species_key AND b.accession <> n.accession AND b.since < n.row_idx""",
+  SELECT n.species_key, n.accession AS new_accession, n.row_idx AS seq, count(*) AS n_superseded FROM news n JOIN b ON b.species_key = n.species_key AND b.accession <> n.accession AND b.since < n.row_idx GROUP BY ALL""",
 )
 def events(spark, d):
     return C.supersession_events(*_updates(spark, d))

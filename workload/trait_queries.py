@@ -681,7 +681,7 @@ def resolve(spark, d):
     return TR.resolve_labels(*_resolve_sides(spark, d), substring=True)
 
 
-@query("j16_candidates", f"WITH {_RES} SELECT label, cand AS candidate FROM l2 JOIN r2 ON kl = kr")
+@query("j16_candidates", f"WITH {_RES} SELECT kr AS key, cand AS candidate, i AS row_idx FROM r2 WHERE kr IN (SELECT kl FROM l2)")
 def candidates(spark, d):
     return TR.candidates_of(*_resolve_sides(spark, d))
 
