@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +41,23 @@ def _codon_masks(aln: DataFrame, invalid: str, same_family: bool) -> DataFrame:
     operations before the shuffle. The result is no wider than a sequence.
     """
     sites, family = ["s1", "s2", "s3", "fourfold"], ["f0", "f1", "f2"]
-    words = aln.select("alignment", F.inline(codon_words(invalid)(F.col("seq")))).groupBy("alignment", "word").agg(
+    # Counts of a whole sequence ride on its first word.
+    whole = {
+        "n_sequences_in_alignment": F.lit(1),
+        "invalid_char_gap": count_char(F.col("seq"), "-"),
+        "invalid_char_frameshift": count_char(F.col("seq"), "!"),
+        "invalid_char_N": count_char(F.col("seq"), "N"),
+    }
+    counted = aln.select(
+        "alignment",
+        F.length("seq").cast("bigint").alias("alignment_length_nt"),
+        *[c.alias(n) for n, c in whole.items()],
+        F.inline(codon_words(invalid)(F.col("seq"))),
+    )
+    words = counted.groupBy("alignment", "word").agg(
         F.max("n_codons").alias("n_codons"),
+        F.max("alignment_length_nt").alias("alignment_length_nt"),
+        *[F.sum(F.when(F.col("word") == 0, F.col(n))).alias(n) for n in whole],
         *[F.bit_and(c).alias(c) for c in sites],
         *[F.bit_and(c).alias(f"{c}_all") for c in family],
         *[F.bit_or(c).alias(f"{c}_any") for c in family],
@@ -65,6 +78,8 @@ def _codon_masks(aln: DataFrame, invalid: str, same_family: bool) -> DataFrame:
         bits("_candidate").alias("candidate_gc4_codons_all_sequences"),
         bits("_mixed").alias("dropped_mixed_gc4_family"),
         bits("_kept").alias("retained_gc4_codons"),
+        F.max("alignment_length_nt").alias("alignment_length_nt"),
+        *[F.sum(n).cast("bigint").alias(n) for n in whole],
         F.transform(words_in_order, lambda w: w["_kept"]).alias("_kept"),
     )
 
@@ -78,14 +93,7 @@ def gc4_alignment(aln: DataFrame, invalid: str = INVALID, same_family: bool = Fa
     """
     up = aln.withColumn("seq", F.upper("seq"))
     masks = _codon_masks(up, invalid.upper(), same_family)
-    whole = up.groupBy("alignment").agg(
-        F.count(F.lit(1)).alias("n_sequences_in_alignment"),
-        F.max(F.length("seq")).cast("bigint").alias("alignment_length_nt"),
-        F.sum(count_char(F.col("seq"), "-")).alias("invalid_char_gap"),
-        F.sum(count_char(F.col("seq"), "!")).alias("invalid_char_frameshift"),
-        F.sum(count_char(F.col("seq"), "N")).alias("invalid_char_N"),
-    )
-    joined = up.join(masks, "alignment").join(whole, "alignment")
+    joined = up.join(masks, "alignment")
     out = joined.withColumn("_third", kept_thirds(F.col("seq"), F.col("_kept"))).select("*", "_third.*")
     valid = F.col("g_gc4") + F.col("c_gc4") + F.col("a_gc4") + F.col("t_gc4")
     return out.select(
@@ -403,8 +411,3 @@ def matrix_lines(blocks: DataFrame, width: int = 1_000_000) -> DataFrame:
     )
     spread_out = blocks.withColumn("_at", F.explode(F.sequence("start", "end", F.lit(width).cast("bigint"))))
     return spread_out.select("sequence_id", F.col("_at").alias("start"), cut.alias("text"))
-
-
-def required_genomes(n: int, threshold: float) -> int:
-    """Genomes a gene must be single in, for reports."""
-    return max(1, math.ceil(n * threshold))

@@ -407,9 +407,8 @@ def write_phylip(spark, d):
     path = scratch_path(spark, "phylip")
     docs = I.table(spark, d, "documents").select(F.concat(F.lit("src_"), "lang").alias("alignment"), F.concat(F.lit("d"), "doc_id").alias("sequence_id"), F.lpad(F.hex("doc_id"), 5, "0").alias("seq"))
     SK.write_phylip(docs, path)
-    lines = TB.read_lines(spark, path).join(
-        spark.read.text(path).select("alignment").distinct(), F.contains(F.col("file"), F.concat(F.lit("alignment="), "alignment", F.lit("/")))
-    )
+    folder = F.regexp_extract("file", "alignment=([^/]*)/", 1)
+    lines = TB.read_lines(spark, path).withColumn("alignment", folder)
     return lines.groupBy("alignment").agg(F.count(F.lit(1)).alias("n_lines"), F.min(F.struct("file", "line_no", "value")).getField("value").alias("first_line"))
 
 
