@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from baseloom.functions.cleaning import is_critical_limit, to_number
 from baseloom.functions.names import UNKNOWN, extract_accession, genus_of, normalize_species
-from baseloom.operators.ranking import assign_pk, collapse_first, dedupe_first, first_value
+from baseloom.operators.ranking import assign_pk, collapse_first, dedupe_first
 from baseloom.operators.ranking import exact_quantiles
 from baseloom.operators.validate import join_validated
 
@@ -20,10 +20,17 @@ def standardize_trait(df: DataFrame, name: str, value: str, out: str, mode: str
 
     ``df`` has ``row_idx`` as its row order.
     """
-    rows = df.select(
-        normalize_species(F.col(name), mode).alias("species_normalized"), to_number(F.col(value)).alias(out), "row_idx"
-    ).where(F.col(out).isNotNull() & (F.col("species_normalized") != UNKNOWN))
-    return dedupe_first(rows, ["species_normalized"], ["row_idx"]).drop("row_idx")
+    # Raw names repeat: each is reduced to its first row before it is normalised.
+    number = to_number(F.col(value))
+    firsts = (
+        df.select(F.col(name).alias("_raw"), number.alias(out), "row_idx")
+        .where(F.col(out).isNotNull())
+        .groupBy("_raw")
+        .agg(F.min(F.struct("row_idx", out)).alias("_f"))
+    )
+    keyed = firsts.select(normalize_species(F.col("_raw"), mode).alias("species_normalized"), "_f")
+    best = keyed.groupBy("species_normalized").agg(F.min("_f").alias("_f"))
+    return best.where(F.col("species_normalized") != UNKNOWN).select("species_normalized", F.col(f"_f.{out}").alias(out))
 
 
 def audit_names(df: DataFrame, name: str, source: str, mode: str = "taxon") -> DataFrame:
@@ -46,27 +53,31 @@ def standardize_thermal(df: DataFrame, mode: str = "taxon") -> DataFrame:
 
     ``df`` has ``genus, species, tmax, max_metric, tmin, min_metric, row_idx``.
     """
-    rows = df.select(
-        normalize_species(F.concat_ws(" ", F.coalesce("genus", F.lit("nan")), F.coalesce("species", F.lit("nan"))), mode).alias(
-            "species_normalized"
-        ),
-        F.when(is_critical_limit(F.col("max_metric"), "max"), to_number(F.col("tmax"))).alias("ct_max"),
-        F.when(is_critical_limit(F.col("min_metric"), "min"), to_number(F.col("tmin"))).alias("ct_min"),
-        "max_metric",
-        "min_metric",
-        "row_idx",
-    ).where(F.col("species_normalized") != UNKNOWN)
     order = F.col("row_idx")
 
-    def metric(value: str, label: str) -> Column:
-        return F.coalesce(first_value(F.when(F.col(value).isNotNull(), F.col(label)), order), F.lit(""))
+    def first(kind: str, value: str, label: str) -> Column:
+        number = F.when(is_critical_limit(F.col(label), kind), to_number(F.col(value)))
+        row = F.struct(order.alias("o"), number.alias("v"), F.col(label).alias("m"))
+        return F.min(F.when(number.isNotNull(), row))
 
-    return rows.groupBy("species_normalized").agg(
-        first_value(F.col("ct_max"), order).alias("ct_max"),
-        metric("ct_max", "max_metric").alias("ct_max_metric"),
-        first_value(F.col("ct_min"), order).alias("ct_min"),
-        metric("ct_min", "min_metric").alias("ct_min_metric"),
-        F.count(F.lit(1)).alias("n_thermal_rows"),
+    # Raw names repeat: each is reduced before it is normalised.
+    per_name = df.groupBy("genus", "species").agg(
+        first("max", "tmax", "max_metric").alias("_max"),
+        first("min", "tmin", "min_metric").alias("_min"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    name = F.concat_ws(" ", F.coalesce("genus", F.lit("nan")), F.coalesce("species", F.lit("nan")))
+    keyed = per_name.withColumn("species_normalized", normalize_species(name, mode))
+    best = keyed.groupBy("species_normalized").agg(
+        F.min("_max").alias("_max"), F.min("_min").alias("_min"), F.sum("_n").alias("n_thermal_rows")
+    )
+    return best.where(F.col("species_normalized") != UNKNOWN).select(
+        "species_normalized",
+        F.col("_max.v").alias("ct_max"),
+        F.coalesce("_max.m", F.lit("")).alias("ct_max_metric"),
+        F.col("_min.v").alias("ct_min"),
+        F.coalesce("_min.m", F.lit("")).alias("ct_min_metric"),
+        "n_thermal_rows",
     )
 
 

@@ -274,14 +274,14 @@ _HISTORY = f"""{_STANDARD}, {_THERMAL}, universe AS (SELECT species_normalized F
     FROM (SELECT * FROM universe WHERE species_normalized <> 'unknown_species') LEFT JOIN mass USING (species_normalized) LEFT JOIN thermal USING (species_normalized))"""
 
 
-def universe(spark, d):
+def universe(spark, d, thermal=None):
     reference = I.raw_names(spark, d).where(F.col("row_idx") % 4 != 3).select(normalize_species(F.col("raw_name")).alias("species_normalized"))
-    return TR.species_universe(reference, TR.standardize_thermal(thermal_source(spark, d)))
+    return TR.species_universe(reference, thermal or TR.standardize_thermal(thermal_source(spark, d)))
 
 
 def history(spark, d):
-    thermal = TR.standardize_thermal(thermal_source(spark, d)).select("species_normalized", "ct_min", "ct_max")
-    return TR.natural_history(stored(universe(spark, d)), mass_source(spark, d), thermal)
+    thermal = stored(TR.standardize_thermal(thermal_source(spark, d)))
+    return TR.natural_history(universe(spark, d, thermal), mass_source(spark, d), thermal.select("species_normalized", "ct_min", "ct_max"))
 
 
 @query("u01_species_universe", f"WITH {_STANDARD}, {_THERMAL} SELECT species_normalized FROM keyed WHERE row_idx % 4 <> 3 AND species_normalized <> 'unknown_species' UNION SELECT species_normalized FROM thermal")
