@@ -89,10 +89,17 @@ def canonical_bool(col: Column, mode: str = "builder") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+# Decimal numbers that a double can hold.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE](\+?(\d{1,2}|[12]\d\d|30[0-7])|-\d+))?$"
+
+
 def to_number(col: Column) -> Column:
-    """Lenient double; what is no finite number is NULL."""
-    value = F.trim(col.cast("string")).try_cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    """Lenient double; what is no finite number is NULL.
+
+    The pattern comes first: a cast that fails costs an exception per row.
+    """
+    text = F.trim(col.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def to_integer(col: Column) -> Column:
@@ -143,7 +150,7 @@ def is_genomic_fasta(path: Column) -> Column:
 
 def is_critical_limit(col: Column, kind: str) -> Column:
     """The metric label names a critical thermal ``max`` or ``min``."""
-    word = F.translate(F.lower(F.trim(col)), "-_ ", "")
+    word = F.regexp_replace(F.lower(F.trim(col)), "[-_ ]", "")
     # Spellings of the critical limits.
     names = {
         "max": ["ctmax", "criticalthermalmaximum", "criticalthermalmax"],
