@@ -53,17 +53,28 @@ def standardize_thermal(df: DataFrame, mode: str = "taxon") -> DataFrame:
 
     ``df`` has ``genus, species, tmax, max_metric, tmin, min_metric, row_idx``.
     """
-    order = F.col("row_idx")
+    def limit(kind: str, value: str, label: str) -> Column:
+        return F.when(is_critical_limit(F.col(label), kind), to_number(F.col(value)))
 
-    def first(kind: str, value: str, label: str) -> Column:
-        number = F.when(is_critical_limit(F.col(label), kind), to_number(F.col(value)))
-        row = F.struct(order.alias("o"), number.alias("v"), F.col(label).alias("m"))
-        return F.min(F.when(number.isNotNull(), row))
+    # The numbers are parsed once, in a projection of their own.
+    parsed = df.select(
+        "genus",
+        "species",
+        "row_idx",
+        "max_metric",
+        "min_metric",
+        limit("max", "tmax", "max_metric").alias("_vmax"),
+        limit("min", "tmin", "min_metric").alias("_vmin"),
+    )
+
+    def first(value: str, label: str) -> Column:
+        row = F.struct(F.col("row_idx").alias("o"), F.col(value).alias("v"), F.col(label).alias("m"))
+        return F.min(F.when(F.col(value).isNotNull(), row))
 
     # Raw names repeat: each is reduced before it is normalised.
-    per_name = df.groupBy("genus", "species").agg(
-        first("max", "tmax", "max_metric").alias("_max"),
-        first("min", "tmin", "min_metric").alias("_min"),
+    per_name = parsed.groupBy("genus", "species").agg(
+        first("_vmax", "max_metric").alias("_max"),
+        first("_vmin", "min_metric").alias("_min"),
         F.count(F.lit(1)).alias("_n"),
     )
     name = F.concat_ws(" ", F.coalesce("genus", F.lit("nan")), F.coalesce("species", F.lit("nan")))
