@@ -1,5 +1,6 @@
 """Import every operator module, so that each registers its query."""
 
 from baseloom.llm import (  # noqa: F401
+    pii,
     quality_rules,
 )
