@@ -1,7 +1,10 @@
 """Import every operator module, so that each registers its query."""
 
 from baseloom.llm import (  # noqa: F401
+    licenses,
     mixing,
+    packing,
     pii,
     quality_rules,
+    token_store,
 )
