@@ -1,6 +1,7 @@
 """Import every operator module, so that each registers its query."""
 
 from baseloom.llm import (  # noqa: F401
+    html_text,
     licenses,
     mixing,
     packing,
