@@ -2,6 +2,7 @@
 
 from baseloom.llm import (  # noqa: F401
     html_text,
+    jaccard_join,
     licenses,
     mixing,
     packing,

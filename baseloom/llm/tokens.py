@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 END = 0
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_200_000
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
