@@ -4,6 +4,7 @@ from baseloom.llm import (  # noqa: F401
     html_text,
     jaccard_join,
     licenses,
+    line_dedup,
     mixing,
     packing,
     pii,

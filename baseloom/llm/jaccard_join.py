@@ -203,6 +203,28 @@ def _searched(batches):
     yield frame(found)
 
 
+def leaf_tasks(members: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Rows (key, l, r, side, f): members (key, f, n, component) of groups with several components, dealt to pairs of leaves.
+
+    Leaves hold at most ``leaf`` members in the order of component and size. Pairs of leaves whose sizes cannot match, or that hold one and
+    the same component, are left out. A group of any size becomes tasks of bounded size.
+    """
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    order = Window.partitionBy("key").orderBy("component", "n", "f")
+    dealt = staged(members.join(mixed, "key").withColumn("leaf", F.floor((F.row_number().over(order) - 1) / leaf)), "leaves")
+    leaves = dealt.groupBy("key", "leaf").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    l, r = leaves.alias("l"), leaves.alias("r")
+    leaf_pairs = (
+        l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.leaf") <= F.col("r.leaf")))
+        .where("4 * l.most >= 3 * r.least and 4 * r.most >= 3 * l.least and not (l.lo = r.hi and l.hi = r.lo)")
+        .select("l.key", F.col("l.leaf").alias("l"), F.col("r.leaf").alias("r"))
+    )
+    side = lambda name, n: dealt.join(leaf_pairs.withColumn("leaf", F.col(name)), ["key", "leaf"]).select("key", "l", "r", F.lit(n).alias("side"), "f")
+    return side("l", 0).unionByName(side("r", 1).where("l != r"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts link."""
     left = pairs.join(texts.select(F.col("f").alias("a"), F.col("text").alias("x")), "a")
@@ -255,21 +277,7 @@ def links(documents: DataFrame) -> DataFrame:
     # Groups that hold several components, dealt to leaves by component and size.
     known = points.join(linked.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     known = staged(known, "known")
-    members = known.select(F.explode("keys").alias("key"), "f", "n", "component")
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    order = Window.partitionBy("key").orderBy("component", "n", "f")
-    dealt = staged(members.join(mixed, "key").withColumn("leaf", F.floor((F.row_number().over(order) - 1) / LEAF)), "leaves")
-    leaves = dealt.groupBy("key", "leaf").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    )
-    l, r = leaves.alias("l"), leaves.alias("r")
-    leaf_pairs = (
-        l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.leaf") <= F.col("r.leaf")))
-        .where("4 * l.most >= 3 * r.least and 4 * r.most >= 3 * l.least and not (l.lo = r.hi and l.hi = r.lo)")
-        .select("l.key", F.col("l.leaf").alias("l"), F.col("r.leaf").alias("r"))
-    )
-    side = lambda name, n: dealt.join(leaf_pairs.withColumn("leaf", F.col(name)), ["key", "leaf"]).select("key", "l", "r", F.lit(n).alias("side"), "f")
-    tasks = side("l", 0).unionByName(side("r", 1).where("l != r"))
+    tasks = leaf_tasks(known.select(F.explode("keys").alias("key"), "f", "n", "component"))
     tasks = tasks.join(known, "f").select("key", "l", "r", "side", "f", "n", "component", "vector", "keys")
     searched = tasks.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_searched, "a long, b long").distinct()
     second = _verified(searched, texts)
