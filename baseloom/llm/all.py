@@ -6,6 +6,7 @@ from baseloom.llm import (  # noqa: F401
     licenses,
     line_dedup,
     mixing,
+    nn_graph,
     packing,
     pii,
     quality_rules,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from baseloom.llm import quality_rules
-from baseloom.llm.registry import query, staged, table
+from baseloom.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
+from baseloom.llm.registry import WORD, fresh, query, staged, table
 
 
 def quality(spark, docs, sf_dir):
@@ -14,7 +14,38 @@ def quality(spark, docs, sf_dir):
     return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark, docs, sf_dir):
+    """Repeated lines go; a document of which nothing but blank lines is left goes as a whole."""
+    left = line_dedup.dedup_lines(docs).where(F.col("text").rlike(WORD))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    name = fresh("component")
+    kept = jaccard_join.join_classes(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(*docs.columns)
+
+
+def mixed(spark, docs, sf_dir):
+    """Sources come to their target weights; a document that is taken twice is there twice."""
+    copies = mixing.mix(docs, mixing.plan(docs)).where("copies > 0")
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias(fresh("copy"))
+    return copies.select(*docs.columns, times).select(*docs.columns)
+
+
+def packed(spark, docs, sf_dir):
+    """Token sequences without padding and without mixed documents."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
 
 
 @query("pipeline")
