@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baseloom.llm.components import column, components
-from baseloom.llm.registry import WORD, let, lower_ascii, once, query, staged, table
+from baseloom.llm.registry import WORD, fresh, let, lower_ascii, once, query, staged, table
 
 N = 5
 DIMENSIONS = 128
@@ -58,35 +58,75 @@ def shingles(text: Column, n: int = N) -> Column:
 
 
 def _prepared(batches):
-    """Per document: size, count of ranked shingles, counts per token group, and the shingles that can be keys.
-
-    Copies within one task are put out once.
+    """Rows (doc_id, f, h): per document its class and set size; with the first of a class in a task also the
+    number of ranked shingles, the counts per token group, and the shingles that can be keys. Copies carry nothing more.
     """
     seen: set[int] = set()
     for batch in batches:
-        new = []
-        for f in batch.column(0).to_pylist():
-            new.append(f not in seen)
-            seen.add(f)
-        batch = batch.filter(pa.array(new, pa.bool_()))
-        if not batch.num_rows:
-            continue
-        lists = batch.column(1)
-        flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        a, vectors, keys = [], [], []
-        for lo, hi in zip(offsets[:-1], offsets[1:]):
-            h = flat[lo:hi]
-            low = int(np.searchsorted(h, _CUT))
-            a.append(low)
-            keys.append(h[: max(low, len(h) // 4 + 1)])
-            vectors.append(np.bincount((h & (DIMENSIONS - 1)).astype("i8"), minlength=DIMENSIONS).astype("<u4").tobytes())
-        ends = np.cumsum([0, *map(len, keys)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(a, pa.int64()), pa.array(vectors, pa.binary()),
-             pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(keys), pa.int64())).cast(pa.list_(pa.int64()))],
-            names=["f", "n", "a", "vector", "keys"],
-        )
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            lists = part.column(2)
+            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            low, vectors, keys = [], [], []
+            for f, lo, hi in zip(part.column(1).to_pylist(), offsets[:-1], offsets[1:]):
+                if f is None or f in seen:
+                    low.append(None), vectors.append(None), keys.append(None)
+                    continue
+                seen.add(f)
+                h = flat[lo:hi]
+                a = int(np.searchsorted(h, _CUT))
+                low.append(a)
+                keys.append(h[: max(a, len(h) // 4 + 1)])
+                vectors.append(np.bincount((h & (DIMENSIONS - 1)).astype("i8"), minlength=DIMENSIONS).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(low, pa.int64()),
+                 pa.array(vectors, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "f", "n", "a", "vector", "keys"],
+            )
+
+
+def _hopeful(batches):
+    """Rows (key, f, n, room, component) in key order: those that could link to another component of their key's group.
+
+    Room is the number of a document's shingles from the key on; at the first key that two documents share, it bounds their
+    overlap. Groups of more than ``NODE`` members pass whole; the tree prunes them.
+    """
+    held = None
+    for batch in batches:
+        held = batch if held is None else pa.concat_batches([held, batch])
+        key = held.column(0).to_numpy(zero_copy_only=False)
+        edge = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if edge:
+            yield _with_partner(held.slice(0, edge))
+            held = held.slice(edge)
+        elif held.num_rows > 100_000:
+            # The run of a hot key: it passes whole.
+            yield held
+            held = None
+    if held is not None and held.num_rows:
+        yield _with_partner(held)
+
+
+def small_pairs(key: np.ndarray, most: int = NODE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs (i, j), i before j, inside each run of equal keys of at most ``most`` rows, and which rows lie in longer runs."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    long = np.repeat(sizes > most, sizes)
+    end = np.repeat(starts + sizes, sizes)
+    after = np.where(long, 0, end - np.arange(len(key)) - 1)
+    i = np.repeat(np.arange(len(key)), after)
+    first = np.repeat(np.cumsum(after) - after, after)
+    return i, i + 1 + np.arange(len(i)) - first, long
+
+
+def _with_partner(batch):
+    key, n, room, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4))
+    i, j, good = small_pairs(key)
+    fit = (part[i] != part[j]) & (7 * np.minimum(room[i], room[j]) >= 3 * (n[i] + n[j])) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+    good[i[fit]] = True
+    good[j[fit]] = True
+    return batch.filter(pa.array(good, pa.bool_()))
 
 
 def _shared(batches):
@@ -134,73 +174,99 @@ def _shared(batches):
         yield got
 
 
+def _bounded(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) have a sum of coordinate minima of at least ``need`` sevenths."""
+    good = np.zeros(len(i), bool)
+    for at in range(0, len(i), 8192):
+        p = slice(at, at + 8192)
+        good[p] = 7 * np.minimum(a[i[p]], b[j[p]]).sum(axis=1, dtype="i8") >= need[p]
+    return good
+
+
 def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndarray):
     """Pairs (i, j) of points, i from ``left`` and j from ``right``, that the bound lets through.
 
     A packed R-tree over ``right``: points in the order of size, ``NODE`` to a node, a node's upper corner the maximum of its points.
-    Pairs of one component or of one point are left out.
+    Pairs of one component are left out.
     """
     right = right[np.argsort(sizes[right], kind="stable")]
     starts = np.arange(0, len(right), NODE)
-    if not len(starts) or not len(left):
-        return
+    out_i, out_j = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+    if not len(starts):
+        return out_i[0], out_j[0]
     upper = np.maximum.reduceat(vectors[right], starts, axis=0)
     least, most = sizes[right][starts], sizes[right][np.minimum(starts + NODE, len(right)) - 1]
-    for i in left:
-        v, n = vectors[i], sizes[i]
-        near = np.flatnonzero((4 * most >= 3 * n) & (3 * least <= 4 * n))
-        if not len(near):
-            continue
-        near = near[7 * np.minimum(upper[near], v).sum(axis=1) >= 3 * (n + np.maximum(least[near], (3 * n + 3) // 4))]
-        for node in near:
-            below = right[starts[node] : starts[node] + NODE]
-            below = below[(parts[below] != parts[i]) & (below != i)]
-            if len(below):
-                good = 7 * np.minimum(vectors[below], v).sum(axis=1) >= 3 * (n + sizes[below])
-                good &= (4 * sizes[below] >= 3 * n) & (3 * sizes[below] <= 4 * n)
-                for j in below[good]:
-                    yield i, j
+    for at in range(0, len(left), 256):
+        own = left[at : at + 256]
+        n = sizes[own][:, None]
+        i, node = np.nonzero((4 * most[None, :] >= 3 * n) & (3 * least[None, :] <= 4 * n))
+        i = own[i]
+        # A partner has at least the node's smallest size, and at least three quarters of the point's own.
+        need = 3 * (sizes[i] + np.maximum(least[node], (3 * sizes[i] + 3) // 4))
+        good = _bounded(vectors, upper, i, node, need)
+        i, node = i[good], node[good]
+        j = starts[node][:, None] + np.arange(NODE)[None, :]
+        i = np.broadcast_to(i[:, None], j.shape)[j < len(right)]
+        j = right[j[j < len(right)]]
+        fit = (parts[i] != parts[j]) & (4 * np.minimum(sizes[i], sizes[j]) >= 3 * np.maximum(sizes[i], sizes[j]))
+        i, j = i[fit], j[fit]
+        good = _bounded(vectors, vectors, i, j, 3 * (sizes[i] + sizes[j]))
+        out_i.append(i[good]), out_j.append(j[good])
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def _searched(batches):
-    """Rows (key, l, r, side, f, n, component, vector, keys) in the order of key, l, r: candidate pairs of each pair of leaves."""
-
-    def pairs(rows):
-        key, l, r = rows[0][:3]
-        f = np.array([x[4] for x in rows], "i8")
-        n, part = np.array([x[5] for x in rows], "i8"), np.array([x[6] for x in rows], "i8")
-        vectors = np.frombuffer(b"".join(x[7] for x in rows), "<u4").reshape(len(rows), -1).astype("i8")
-        side = np.array([x[3] for x in rows])
-        left = np.flatnonzero(side == 0)
-        right = left if l == r else np.flatnonzero(side == 1)
-        ranks: dict[int, dict[int, int]] = {}
-        out = []
-        for i, j in tree_pairs(vectors, n, part, left, right):
-            if l == r and f[i] > f[j]:
-                continue
-            mine = ranks.setdefault(i, {k: p for p, k in enumerate(rows[i][8])})
-            first = next((k for k in rows[j][8] if k in mine), key)
-            # Both lists follow the common order, so this is the first key that both share.
-            if first == key:
-                out.append((min(f[i], f[j]), max(f[i], f[j])))
-        return out
-
-    def frame(found):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
-
-    rows, found = [], []
+    """Rows (key, l, r, side, f, n, component, vector, keys) in the order of key, l, r: candidate pairs of each pair of leaves.
+
+    Groups of at most ``NODE`` points are one node of a tree; many of them are compared at once.
+    """
+
+    def found(held):
+        key, l, r, side, f, n, part = (held.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+        vectors = np.frombuffer(b"".join(held.column(7).to_pylist()), "<u4").reshape(len(key), -1).astype("i4")
+        lists = held.column(8)
+        values, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        task = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
+        i, j, long = small_pairs(task)
+        fit = (part[i] != part[j]) & ((l[i] == r[i]) | (side[i] != side[j]))
+        fit &= 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
+        i, j = i[fit], j[fit]
+        good = _bounded(vectors, vectors, i, j, 3 * (n[i] + n[j]))
+        first, second = [i[good]], [j[good]]
+        for t in np.unique(task[long]):
+            lo, hi = np.searchsorted(task, [t, t + 1])
+            rows = np.arange(lo, hi)
+            left = rows[side[lo:hi] == 0]
+            right = left if l[lo] == r[lo] else rows[side[lo:hi] == 1]
+            p, q = tree_pairs(vectors, n, part, left, right)
+            once_only = (p < q) | (l[lo] != r[lo])
+            first.append(p[once_only]), second.append(q[once_only])
+        a, b, sets, orders = [], [], {}, {}
+        for p, q in zip(np.concatenate(first).tolist(), np.concatenate(second).tolist()):
+            if p not in sets:
+                sets[p] = set(values[offsets[p] : offsets[p + 1]].tolist())
+            if q not in orders:
+                orders[q] = values[offsets[q] : offsets[q + 1]].tolist()
+            mine = sets[p]
+            # Both lists follow the common order, so the first hit is the first key that both share.
+            if next(k for k in orders[q] if k in mine) == key[p]:
+                a.append(min(f[p], f[q])), b.append(max(f[p], f[q]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[:3] != rows[0][:3]:
-                found.extend(pairs(rows))
-                rows = []
-            rows.append(row)
-            if len(found) >= 20_000:
-                yield frame(found)
-                found = []
-    if rows:
-        found.extend(pairs(rows))
-    yield frame(found)
+        held = batch if held is None else pa.concat_batches([held, batch])
+        if held.num_rows < LEAF:
+            continue
+        key, l, r = (held.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        # The last group may go on in the next batch.
+        edge = int(np.flatnonzero((key == key[-1]) & (l == l[-1]) & (r == r[-1]))[0])
+        if edge:
+            yield found(held.slice(0, edge))
+            held = held.slice(edge)
+    if held is not None and held.num_rows:
+        yield found(held)
 
 
 def leaf_tasks(members: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -234,16 +300,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sizes.where(100 * F.col("o") >= 75 * (F.size("p") + F.size("q") - F.col("o"))).select("a", "b")
 
 
-def classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, n, f): each document's set size and the fingerprint of its set; null for an empty set."""
-    sets = once(documents.select("doc_id", "text"), "h", shingles(F.col("text")))
-    return sets.select("doc_id", F.size("h").cast("long").alias("n"), F.when(F.size("h") > 0, F.xxhash64("h")).alias("f"))
+def prepare(documents: DataFrame) -> DataFrame:
+    """(doc_id, f, n, a, vector, keys): see ``_prepared``; f is the fingerprint of a document's set, null for an empty one."""
+    sets = once(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "h", shingles(F.col("text")))
+    sets = sets.select("doc_id", F.when(F.size("h") > 0, F.xxhash64("h")).alias("f"), "h")
+    return staged(sets.mapInArrow(_prepared, "doc_id long, f long, n long, a long, vector binary, keys array<long>"), "prepared")
 
 
-def links(documents: DataFrame) -> DataFrame:
+def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
     """Verified links (a, b) between fingerprints that join all linked classes into their components."""
-    sets = once(documents.select("text"), "h", shingles(F.col("text"))).where(F.size("h") > 0).select(F.xxhash64("h").alias("f"), "h")
-    prepared = staged(sets.mapInArrow(_prepared, "f long, n long, a long, vector binary, keys array<long>"), "prepared")
+    prepared = everything.where("keys is not null")
     shared = staged(
         prepared.select(F.explode("keys").alias("key"), "f").repartition("key").sortWithinPartitions("key", "f").mapInArrow(_shared, "key long, f long, df long"),
         "shared",
@@ -259,7 +325,7 @@ def links(documents: DataFrame) -> DataFrame:
     room = F.greatest(F.floor(F.col("n") / 4) + 1 - own, F.lit(0)).cast("int")
     prefix = F.concat(F.slice("low", 1, room)["key"], F.col("high"))
     points = staged(
-        nodes.join(found, "f").select("f", "n", "vector", (own / F.greatest("a", F.lit(1))).alias("own"), prefix.alias("keys")).where(F.size("keys") > 0),
+        nodes.join(found, "f").select("f", "n", "vector", own.alias("before"), (own / F.greatest("a", F.lit(1))).alias("own"), prefix.alias("keys")).where(F.size("keys") > 0),
         "points",
     )
     rows = points.select(F.explode("keys").alias("key"), "f", "n", "own")
@@ -268,16 +334,23 @@ def links(documents: DataFrame) -> DataFrame:
     star = rows.where("f != hub.f and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
     star = star.select(F.least("f", "hub.f").alias("a"), F.greatest("f", "hub.f").alias("b")).distinct()
 
-    ids = documents.select("text").where(F.col("text").isNotNull())
-    texts = once(ids, "f", F.xxhash64(shingles(F.col("text")))).join(points.select("f"), "f", "left_semi")
-    texts = staged(texts.dropDuplicates(["f"]), "texts")
+    # One document of each class that shares a key; ids can be null or repeated, so the text found must have the fingerprint.
+    name, mark = fresh("id"), fresh("f")
+    some = prepared.groupBy("f").agg(F.min_by(F.struct("doc_id"), F.col("doc_id").isNull())["doc_id"].alias(name))
+    some = some.join(points.select("f"), "f", "left_semi").withColumnRenamed("f", mark)
+    texts = documents.select("doc_id", "text").join(some, F.col("doc_id").cast("long").eqNullSafe(F.col(name))).select(F.col(mark).alias("f"), "text")
+    texts = once(texts, mark, F.xxhash64(shingles(F.col("text")))).where(F.col(mark) == F.col("f"))
+    texts = staged(texts.select("f", "text").dropDuplicates(["f"]), "texts")
     first = staged(_verified(star, texts), "star")
     linked = components(first)
 
     # Groups that hold several components, dealt to leaves by component and size.
     known = points.join(linked.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     known = staged(known, "known")
-    tasks = leaf_tasks(known.select(F.explode("keys").alias("key"), "f", "n", "component"))
+    members = known.select(F.posexplode("keys").alias("at", "key"), "f", "n", "before", "component")
+    members = members.select("key", "f", "n", (F.col("n") - F.col("before") - F.col("at")).alias("room"), "component")
+    hopeful = members.repartition("key").sortWithinPartitions("key").mapInArrow(_hopeful, "key long, f long, n long, room long, component long")
+    tasks = leaf_tasks(staged(hopeful.drop("room"), "hopeful"))
     tasks = tasks.join(known, "f").select("key", "l", "r", "side", "f", "n", "component", "vector", "keys")
     searched = tasks.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_searched, "a long, b long").distinct()
     second = _verified(searched, texts)
@@ -286,8 +359,8 @@ def links(documents: DataFrame) -> DataFrame:
 
 def join_classes(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    member = staged(classes(documents), "members")
-    linked = components(links(documents)).withColumnRenamed("node", "f")
+    member = prepare(documents)
+    linked = components(links(documents, member)).withColumnRenamed("node", "f")
     named = member.where("f is not null").groupBy("f").agg(F.min("doc_id").alias("rep"))
     named = named.join(linked, "f", "left").withColumn("component", F.coalesce("component", "f"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
