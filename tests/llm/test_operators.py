@@ -1,0 +1,285 @@
+"""Edge cases and brute-force twins of the training-data operators."""
+
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from baseloom.llm import html_text, jaccard_join, licenses, line_dedup, mixing, nn_graph, packing, pii, quality_rules, token_store, tokens
+from baseloom.session import scratch_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PROSE = " ".join(f"word{i} runs{i % 7} over{i % 11}" for i in range(60))
+EDITED = PROSE.replace("word30", "other")
+TEXTS = [
+    None,
+    "",
+    " \n\t ",
+    "short one",
+    PROSE,
+    PROSE,
+    EDITED,
+    PROSE.upper(),
+    "A line that is here twice, really it is.\nA line that is here twice, really it is.\nAnd an end.",
+    "mail a.b@c.de and a@b.c_d@e.f.g or 1.2.3.4.5.6.7.8, 256.1.1.1, 000255.1.1.1 é😀 4041 8949 7460 8795 +1 (988) 555-2485",
+    "cc by CC-BY all rights reserved. SPDX-License-Identifier: MIT OR GPL-2.0-only",
+    "x" * 50_000,
+    "7" * 50_000,
+    "1.2.3.4 " * 3_000,
+    "tail <|endoftext|> of text  two spaces",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, len(t or ""), 1) for i, t in enumerate(TEXTS)]
+    rows.append((5, TEXTS[5], "en", "s1", 0, 2))  # a repeated row
+    names = "doc_id long, text string, lang string, source string, n_chars long, size int"
+    return spark.createDataFrame(rows, names).withColumn("f", F.lit("clash")).withColumn("kept", F.lit("clash"))
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("doc_id < 0")
+
+
+def gram_set(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def closed(items, similar):
+    """Smallest id reachable, by brute force."""
+    out = {i: i for i, _ in items}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in items:
+            for j, b in items:
+                if similar(a, b) and out[j] < out[i]:
+                    out[i], changed = out[j], True
+    return out
+
+
+def test_jaccard_join(docs, none):
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_classes(docs).collect()}
+    sets = [(i, gram_set(t)) for i, t in enumerate(TEXTS)]
+    want = closed([(i, s) for i, s in sets if s], lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    assert got == {(i, len(s), want.get(i, i)) for i, s in sets}
+    assert jaccard_join.join_classes(none).count() == 0
+
+
+def test_jaccard_hot_group(spark):
+    """A family of edited copies behind one hot passage, split over many leaves."""
+    rng = np.random.RandomState(3)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in rng.choice(60, rng.randint(0, 4), replace=False):
+            words[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:30]) + " " + " ".join(f"u{i}w{k}" for k in range(40))) for i in range(80)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == closed([(i, gram_set(t)) for i, t in rows], lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+
+
+def test_tree_bound_loses_nothing():
+    rng = np.random.RandomState(1)
+    sets = [set(rng.randint(0, 400, rng.randint(20, 60)).tolist()) for _ in range(40)]
+    sets += [set(list(s)[: int(len(s) * 0.9)]) for s in sets]
+    v = np.array([np.bincount([x % 128 for x in s], minlength=128) for s in sets]).astype("i4")
+    n, every = np.array([len(s) for s in sets]), np.arange(len(sets))
+    i, j = jaccard_join.tree_pairs(v, n, every, every, every)
+    found = set(zip(i.tolist(), j.tolist()))
+    for a in every:
+        for b in every:
+            if a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                assert (a, b) in found
+
+
+def test_line_dedup(docs, none):
+    rows = {(r.doc_id, r.text): r for r in line_dedup.dedup_lines(docs).collect()}
+    assert len(rows) == len(TEXTS) - 0
+    by_id = {k[0]: r for k, r in rows.items()}
+    assert by_id[0].text is None and by_id[1].text == "" and by_id[2].text == " \n\t "
+    assert by_id[8].text == "A line that is here twice, really it is.\nAnd an end." and by_id[8].n_removed == 1
+    assert by_id[4].text == PROSE and by_id[6].text == "" and by_id[7].text == PROSE.upper()
+    assert line_dedup.dedup_lines(none).count() == 0
+    assert line_dedup.exact("abc", "abc") == (1, 1) and line_dedup.exact("abc", "abd")[0] == 0
+
+
+def test_quality_statistics(docs, none):
+    out = quality_rules.judge(docs, quality_rules.DecisionList()).collect()
+    for r in out:
+        w = WORD.findall(r.text or "")
+        seen = defaultdict(list)
+        for i in range(len(w) - 4):
+            seen[tuple(w[i : i + 5])].append(i)
+        repeat = {k for v in seen.values() if len(v) > 1 for i in v for k in range(i, i + 5)}
+        lines = [x for x in (r.text or "").split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r.text or ""), len(lines) - len(set(lines)), len(repeat))
+        assert want == (r.stats.n_words, r.stats.word_chars, r.stats.n_symbols, r.stats.n_dup_lines, r.stats.n_repeat_words), r.doc_id
+        assert r.kept == (not r.base_failed) and r.base_failed == (len(w) < 10 or 100 * len(repeat) > 20 * len(w))
+    assert quality_rules.judge(none, quality_rules.DecisionList()).count() == 0
+
+
+def test_rules_held_out():
+    rng = np.random.RandomState(0)
+    x, y = rng.rand(3000), rng.rand(3000)
+    bad = (x > 0.8) & (y < 0.5)
+    rules = quality_rules.fit_rules({"words": x, "mark_share": y}, bad, np.arange(3000) < 2000)
+    a, b = rng.rand(2000), rng.rand(2000)
+    hit = np.any([r.holds({"words": a, "mark_share": b}) for r in rules.rules], axis=0)
+    assert (hit == ((a > 0.8) & (b < 0.5))).mean() > 0.97
+
+
+def test_quality_without_labels(docs, spark):
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.learn(docs, empty).rules == []
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def test_pii_base(docs, none):
+    for r in pii.find(docs.where("doc_id != 11"), pii.Trees()).collect():
+        want = []
+        for k, (kind, pattern) in enumerate(PII):
+            for m in re.finditer(pattern, r.text or "") if r.doc_id != 12 else ():
+                digits = re.sub("[^0-9]", "", m[0])
+                if kind == "ip" and max(map(int, m[0].split("."))) > 255:
+                    continue
+                if kind == "card" and not (12 <= len(digits) <= 19 and pii._passes(m[0])):
+                    continue
+                if kind == "phone" and not 9 <= len(digits) <= 15:
+                    continue
+                want.append((m.start(), k, m.end()))
+        assert [(x.s, x.k, x.e) for x in r.base] == sorted(want), r.doc_id
+    assert pii.find(none, pii.Trees()).count() == 0
+
+
+def test_pii_learns(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    many = docs.unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")) if data.endswith("sf0.001") else docs
+    trees = pii.learn(many)
+    loose = spark.createDataFrame([(1, "please call (988) 555-2485 today"), (2, "nothing at all 2019 300 version 2.0.1")], "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.e) for x in r.added] for r in pii.find(loose, trees).collect()}
+    assert got == {1: [(12, 26)], 2: []}
+
+
+def test_html():
+    page = "<html><body><nav><a>Menu</a></nav><div class='ad'>Buy, now.</div><article><h1>A &amp; B</h1><p>One <b>bold</b>, text.<br>More\n text<p>Open.</article><div id=comments><p>I disagree, a lot.</p></div><footer>&copy; x"
+    assert html_text.main_text(page) == "A & B One bold, text. More text Open."
+    assert [html_text.main_text(x) for x in (None, "", "plain", "a < b and <", "<div " + "x" * 9999)] == ["", "", "plain", "a < b and <", ""]
+    assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
+
+
+def test_html_table(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet").withColumn("text", F.lit("clash"))
+    out = html_text.extract(pages)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == pages.count()
+    assert html_text.extract(pages.where("page_id < 0")).count() == 0
+
+
+def test_licenses(docs, none):
+    rows = {r.doc_id: r for r in licenses.scan_documents(docs).collect()}
+    assert (rows[10].n_base, rows[10].first_word, rows[10].last_word) == (3, 0, 4)
+    assert rows[10].labels == ["cc-by", "gpl-2.0-only", "mit", "reserved"] and rows[10].permission == 1.0
+    assert (rows[0].n_words, rows[0].first_word, rows[0].labels, rows[0].score) == (0, None, [], 0.0)
+    assert licenses.scan_documents(none).count() == 0
+    assert licenses.parse("MIT OR (Apache-2.0 AND GPL-2.0 WITH Classpath-exception-2.0) */")[0] == ["mit", "apache-2.0", "gpl-2.0", "classpath-exception-2.0", "with", "and", "or"]
+    assert licenses.evaluate("MIT AND") == (["mit"], 0.0) and licenses.evaluate("(GPL-2.0 OR") [1] == 0.0
+    assert licenses.evaluate("GPL-3.0 AND MIT")[1] == 0.3
+
+
+def ids_of(text):
+    return tokens.encoder()._raw([text or ""])[0].tobytes() + np.uint32(0).tobytes()
+
+
+def test_packing(docs, none):
+    pieces = defaultdict(list)
+    rows = packing.pack(docs).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        assert r.length & (r.length - 1) == 0 and r.length <= 1024 and r.offset == 0 and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+    for i, t in enumerate(TEXTS):
+        own = sorted(pieces[i], key=lambda r: (r.start, r.sequence_id))
+        own = own[::2] if i == 5 else own  # the repeated row
+        assert b"".join(bytes(r.ids) for r in own) == ids_of(t), i
+    assert packing.pack(none).count() == 0
+    assert packing.lengths(2048 + 5) == [1024, 1024, 4, 1]
+
+
+def test_token_store(docs, none, spark):
+    path = scratch_path(spark, "test-store")
+    token_store.write_store(docs, path)
+    at = 0
+    rows = token_store.read_store(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted([*range(len(TEXTS)), 5])
+    for r in rows:
+        data = ids_of(TEXTS[r.doc_id])
+        assert (r.start, r.n_tokens, bytes(r.ids)) == (at, len(data) // 4, data)
+        at += r.n_tokens
+    one = token_store.read_store(spark, path, only=[9]).collect()
+    assert [(r.doc_id, bytes(r.ids)) for r in one] == [(9, ids_of(TEXTS[9]))]
+    path = scratch_path(spark, "test-store")
+    token_store.write_store(none, path)
+    assert token_store.read_store(spark, path).count() == 0
+
+
+def test_encoder_equals_whole_texts():
+    rng = np.random.RandomState(5)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "ß", "22", "'s", "!", " ", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "日", "\r\n"]
+    texts = ["".join(rng.choice(parts, rng.randint(0, 25))) for _ in range(2000)]
+    small = tokens.Encoder(tokens.default_tokenizer(), cached=50)
+    assert small.encode(texts, at_once=500) == [small._raw([t])[0].tobytes() if t else b"" for t in texts]
+
+
+def test_mixing(docs, none, spark):
+    out = mixing.mix(docs, mixing.plan(docs)).collect()
+    total = sum(r.size for r in out)
+    assert len(out) == len(TEXTS) + 1 and all(r.copies <= 2 for r in out)
+    per = {r.source: r.target for r in out}
+    assert abs(sum(per.values()) - 1.5 * total) < 1e-6
+    assert all(r.target <= 2 * r.source_size for r in out)
+    assert mixing.mix(none, mixing.plan(none)).count() == 0
+
+
+def test_mixing_targets_are_met(spark):
+    rng = np.random.RandomState(2)
+    rows = [(i, "w " * int(rng.randint(1, 60)), "abc"[i % 3] if i % 10 else None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.mix(docs, mixing.plan(docs)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
+        assert abs(r.t - r.g) <= 60
+
+
+def test_nearest(spark):
+    rng = np.random.RandomState(4)
+    v = rng.randn(700, 8)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
+    rows += [(700 + i, rows[0][1]) for i in range(30)] + [(800, None), (801, [0.0] * 8), (802, [float("nan")] * 8), (803, [None] + [1.0] * 7), (3, rows[3][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nn_graph.nearest(table, F.col("id") % 20 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    ids = np.array([*range(730)])
+    m = np.array([rows[i][1] for i in ids])
+    hit = 0
+    for q in ids[::20]:
+        s = m @ m[q]
+        want = [i for i in np.lexsort((ids, -np.round(s, 12))) if i != q][:20]
+        mine = sorted(got[q])
+        assert [x[0] for x in mine] == list(range(1, 21)) and all(abs(x[2] - s[x[1]]) < 1e-12 for x in mine)
+        hit += len({x[1] for x in mine} & set(want))
+    assert hit >= 0.9 * 20 * len(ids[::20]) and set(got) == set(ids[::20])
+    assert nn_graph.nearest(table.where("vec_id < 0"), F.col("id") % 20 == 0).count() == 0
