@@ -157,11 +157,15 @@ def missing_from(wanted: DataFrame, have: DataFrame, key: str = "accession") ->
     return wanted.select(key).distinct().join(have.select(key), key, "left_anti")
 
 
+ACCESSION = r"GC[AF]_[0-9]+(\.[0-9]+)?"
+
+
 def uncovered_accessions(meta: DataFrame, other: DataFrame, column: str = "accession") -> DataFrame:
-    """Assembly accessions (first 15 characters, with ``GC``) that another table lacks."""
-    root = F.left(F.trim(column), F.lit(15)).alias("accession")
-    listed = meta.where(F.col(column).contains("GC")).select(root).distinct()
-    return listed.join(other.select(root), "accession", "left_anti")
+    """Assembly accessions (entries with ``GC``) that another table lacks; accessions are compared whole, with their version."""
+    found = F.regexp_extract(column, ACCESSION, 0)
+    key = F.when(found != "", found).otherwise(F.trim(column)).alias("accession")
+    listed = meta.where(F.col(column).contains("GC")).select(key).distinct()
+    return listed.join(other.select(key), "accession", "left_anti")
 
 
 def new_entries(updates: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -346,8 +350,16 @@ def upsert(df: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_metadata(df: DataFrame, new: DataFrame) -> DataFrame:
-    """Exact repeats change nothing; else a row replaces that of its accession and lineage."""
-    return upsert(df, new.distinct(), ["accession", "lineage"]).distinct()
+    """A row replaces that of its accession and lineage; exact repeats count once, and of several new rows the last stays.
+
+    The last is the one with the largest ``row_idx``, where there is such a column, and else the largest in column order.
+    """
+    keys = ["accession", "lineage"]
+    order = ["row_idx"] if "row_idx" in new.columns else []
+    rest = [c for c in new.columns if c not in (*keys, *order)]
+    last = new.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("last"))
+    last = last.select(*keys, *[F.col("last").getField(c).alias(c) for c in new.columns if c in df.columns and c not in keys])
+    return upsert(df, last, keys).distinct()
 
 
 def rebuild_catalog(local: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def attach(spark, d):
     return C.attach_fasta(rows, paths)
 
 
-@query("j24_missing_from", f"WITH {_COHORT} SELECT DISTINCT left(accession, 15) AS accession FROM assemblies WHERE left(accession, 15) NOT IN (SELECT left(accession, 15) FROM allowed)")
+@query("j24_missing_from", f"WITH {_COHORT} SELECT DISTINCT accession FROM assemblies WHERE accession NOT IN (SELECT accession FROM allowed)")
 def coverage(spark, d):
     return C.uncovered_accessions(I.assemblies(spark, d), _allowed(spark, d))
 

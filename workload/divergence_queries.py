@@ -35,9 +35,7 @@ def displacements(spark, d):
 
 @query(
     "j15_missing_pairs",
-    f"""WITH {BASE}, o AS (SELECT DISTINCT ortholog FROM node_gc), u AS (SELECT ortholog, child, parent,
-    c.node IS NULL AS no_child, p.node IS NULL AS no_parent FROM o CROSS JOIN edges LEFT JOIN node_gc c USING (ortholog)
-    LEFT JOIN node_gc p USING (ortholog) WHERE false)
+    f"""WITH {BASE}, o AS (SELECT DISTINCT ortholog FROM node_gc)
   SELECT ortholog, child, CASE WHEN (ortholog, child) NOT IN (SELECT (ortholog, node) FROM node_gc) THEN 'CHILD_MISSING'
     ELSE 'PARENT_MISSING:' || parent END AS reason FROM o CROSS JOIN edges
   WHERE (ortholog, child) NOT IN (SELECT (ortholog, node) FROM node_gc) OR (ortholog, parent) NOT IN (SELECT (ortholog, node) FROM node_gc)""",

@@ -177,6 +177,11 @@ def type_audit(spark, d):
     return W.sequence_type_audit(seqs, genomes, stats)
 
 
+def _any(patterns: list[str]) -> str:
+    """The operator's fixed patterns, as they stand, as one alternation."""
+    return "|".join(patterns)
+
+
 _HEADERS = """heads AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'NC_' || doc_id WHEN 1 THEN 'JAAAAA' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.1'
   WHEN 2 THEN 'NW_' || doc_id ELSE 'seq' || doc_id END AS sequence_id,
   CASE doc_id % 7 WHEN 0 THEN 'mitochondrion, complete genome' WHEN 1 THEN 'chromosome ' || (doc_id % 30) || ', whole genome shotgun sequence'
@@ -189,12 +194,12 @@ _HEADERS = """heads AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'NC_' || doc_
     f"""WITH {_HEADERS}, t AS (SELECT *, regexp_replace(regexp_replace(lower(sequence_id || ' ' || description),
     '[|_\\-:;,\\[\\]()=]+', ' ', 'g'), '\\s+', ' ', 'g') AS x, upper(sequence_id) AS u FROM heads)
   SELECT doc_id, CASE
-    WHEN regexp_matches(x, '\\b(mitochondrion|mitochondrial|mitogenome|mt\\s+genome|mtdna|chr\\s*m|chromosome\\s+m)\\b') THEN 'mitochondrion'
-    WHEN regexp_matches(u, '^(NC|CM|OX|OW|CP)_') THEN 'chromosome' WHEN regexp_matches(u, '^(NW|NT|NZ)_') THEN 'scaffold'
-    WHEN regexp_matches(x, '\\b(unplaced|unlocalized|scaffold|scaf|contig|ctg)\\b') THEN 'scaffold'
-    WHEN regexp_matches(x, '\\b(chromosome|chr(om\\s+|\\s*)[0-9ivxlcdmxyzw]+|m(i|a)cr(o|a)chromosome|linkage\\s+group|lg\\s*[0-9a-z]+)\\b') THEN 'chromosome'
-    WHEN regexp_matches(x, '\\b((wgs|shotgun)\\s+sequence|genomic\\s+(scaffold|contig))\\b') THEN 'scaffold'
-    WHEN regexp_matches(u, '^[A-Z]{{4,6}}\\d{{6,}}\\.\\d+$') THEN 'scaffold' ELSE 'unclassified' END AS sequence_type FROM t""",
+    WHEN regexp_matches(x, '{_any(W.MITOCHONDRIAL)}') THEN 'mitochondrion'
+    WHEN regexp_matches(u, '{W.CHROMOSOME_PREFIX}') THEN 'chromosome' WHEN regexp_matches(u, '{W.SCAFFOLD_PREFIX}') THEN 'scaffold'
+    WHEN regexp_matches(x, '{_any(W.EXPLICIT_SCAFFOLD)}') THEN 'scaffold'
+    WHEN regexp_matches(x, '{_any(W.CHROMOSOMAL)}') THEN 'chromosome'
+    WHEN regexp_matches(x, '{_any(W.SHOTGUN)}') THEN 'scaffold'
+    WHEN regexp_matches(u, '{W.WGS_ACCESSION}') THEN 'scaffold' ELSE 'unclassified' END AS sequence_type FROM t""",
 )
 def classify(spark, d):
     k = F.col("doc_id")
