@@ -216,7 +216,9 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, parts: np.ndarray, left:
 
 
 def _searched(batches):
-    """Rows (key, l, r, side, f, n, component, vector, keys) in the order of key, l, r: candidate pairs of each pair of leaves.
+    """Rows (key, l, r, side, f, n, component, vector, earlier) in the order of key, l, r: candidate pairs of each pair of leaves.
+
+    Earlier are a document's keys before this one; a pair that shares one of them was put out there.
 
     Groups of at most ``NODE`` points are one node of a tree; many of them are compared at once.
     """
@@ -248,9 +250,7 @@ def _searched(batches):
                 sets[p] = set(values[offsets[p] : offsets[p + 1]].tolist())
             if q not in orders:
                 orders[q] = values[offsets[q] : offsets[q + 1]].tolist()
-            mine = sets[p]
-            # Both lists follow the common order, so the first hit is the first key that both share.
-            if next(k for k in orders[q] if k in mine) == key[p]:
+            if sets[p].isdisjoint(orders[q]):
                 a.append(min(f[p], f[q])), b.append(max(f[p], f[q]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -351,7 +351,8 @@ def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
     members = members.select("key", "f", "n", (F.col("n") - F.col("before") - F.col("at")).alias("room"), "component")
     hopeful = members.repartition("key").sortWithinPartitions("key").mapInArrow(_hopeful, "key long, f long, n long, room long, component long")
     tasks = leaf_tasks(staged(hopeful.drop("room"), "hopeful"))
-    tasks = tasks.join(known, "f").select("key", "l", "r", "side", "f", "n", "component", "vector", "keys")
+    earlier = F.slice("keys", 1, (F.array_position("keys", F.col("key")) - 1).cast("int")).alias("earlier")
+    tasks = tasks.join(known, "f").select("key", "l", "r", "side", "f", "n", "component", "vector", earlier)
     searched = tasks.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_searched, "a long, b long").distinct()
     second = _verified(searched, texts)
     return staged(first.unionByName(second), "links")
