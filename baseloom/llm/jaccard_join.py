@@ -41,6 +41,8 @@ NODE = 32
 # Share of the hash range whose shingles are ordered by document frequency.
 RANKED = 0.3
 _CUT = -(2**63) + int(RANKED * 2**64)
+# A run of one key longer than this passes the size check whole.
+LONG_RUN = 100_000
 # A run of one key longer than this counts as equally frequent with all such runs, so that a run need not be held.
 _LONG_RUN = 500_000
 
@@ -92,18 +94,25 @@ def _hopeful(batches):
     Room is the number of a document's shingles from the key on; at the first key that two documents share, it bounds their
     overlap. Groups of more than ``NODE`` members pass whole; the tree prunes them.
     """
-    held = None
+    held, hot = None, None
     for batch in batches:
+        if hot is not None and batch.num_rows:
+            same = int(np.searchsorted(batch.column(0).to_numpy(zero_copy_only=False), hot, side="right"))
+            yield batch.slice(0, same)
+            batch = batch.slice(same)
+            if not batch.num_rows:
+                continue
+            hot = None
         held = batch if held is None else pa.concat_batches([held, batch])
         key = held.column(0).to_numpy(zero_copy_only=False)
         edge = int(np.searchsorted(key, key[-1])) if len(key) else 0
         if edge:
             yield _with_partner(held.slice(0, edge))
             held = held.slice(edge)
-        elif held.num_rows > 100_000:
-            # The run of a hot key: it passes whole.
+        elif held.num_rows > LONG_RUN:
+            # The run of a hot key passes whole, so that it need not be held.
             yield held
-            held = None
+            hot, held = key[-1], None
     if held is not None and held.num_rows:
         yield _with_partner(held)
 

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,17 @@ def test_tree_bound_loses_nothing():
                 assert (a, b) in found
 
 
+def test_hot_runs_pass_whole(monkeypatch):
+    """A key's run over many batches loses no row; short groups keep rows that have a partner."""
+    monkeypatch.setattr(jaccard_join, "LONG_RUN", 40)
+    key = np.r_[np.full(101, 5), [6, 6, 7, 7]]
+    n = np.r_[np.full(101, 10), [10, 10, 10, 99]]
+    names = ["key", "f", "n", "room", "component"]
+    whole = pa.RecordBatch.from_arrays([pa.array(c.astype("i8")) for c in (key, np.arange(105), n, n, np.arange(105))], names=names)
+    out = [f for b in jaccard_join._hopeful(whole.slice(at, 10) for at in range(0, 105, 10)) for f in b.column(1).to_pylist()]
+    assert out == list(range(103))
+
+
 def test_line_dedup(docs, none):
     rows = {(r.doc_id, r.text): r for r in line_dedup.dedup_lines(docs).collect()}
     assert len(rows) == len(TEXTS) - 0
