@@ -13,13 +13,17 @@ def ancestor_pairs(edges: DataFrame) -> DataFrame:
     """All (node, ancestor, distance) pairs of an edge table with ``child, parent``.
 
     Paths double in length each round, so a tree of depth d needs log2(d)
-    rounds. Each round is checkpointed, which keeps the plan short.
+    rounds. Each round is checkpointed, which keeps the plan short. A node that
+    is its own ancestor is an error.
     """
     pairs = cut_lineage(
         edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")).distinct()
     )
     reach = 1
     while True:
+        # Paths of up to twice the reach so far: a cycle shows as soon as they go round it.
+        if loop := pairs.where("node = ancestor").select("node").head(1):
+            raise ValueError(f"node {loop[0]['node']!r} is its own ancestor")
         step = pairs.where(F.col("distance") == reach).select(F.col("node").alias("_n"), F.col("ancestor").alias("_mid"))
         longer = step.join(pairs, F.col("_mid") == F.col("node")).select(
             F.col("_n").alias("node"), "ancestor", (F.col("distance") + reach).alias("distance")

@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK_BYTES = 32 * 1024 * 1024
 SLAB_BYTES = 4 * 1024 * 1024
-# Headers are far shorter than this; a longer line without `>` is sequence.
+# The first step of the search for a line's start.
 LOOK_BACK = 64 * 1024
 # File suffixes of alignments and genomes.
 FASTA_SUFFIXES = (".fa", ".faa", ".fasta", ".fas", ".fna")
@@ -124,6 +124,27 @@ def _open(path: str):
     return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
 
 
+def _line_before(f, begin: int) -> tuple[bool, bool]:
+    """Whether a line starts at ``begin``, and if not, whether the line around it is a header.
+
+    Reads back in growing steps to the start of the line, however long it is, and leaves the file at ``begin``.
+    """
+    at, step, first = begin, LOOK_BACK, b""
+    while at:
+        back = max(0, at - step)
+        f.seek(back)
+        before = f.read(at - back)
+        cut = before.rfind(b"\n")
+        if at == begin and cut == len(before) - 1:
+            return True, False
+        if cut >= 0:
+            first = before[cut + 1 : cut + 2] or first
+            break
+        at, step, first = back, min(2 * step, SLAB_BYTES), before[:1]
+    f.seek(begin)
+    return begin == 0, first == b">"
+
+
 def _segments(path: str, begin: int, end: int | None, slab_bytes: int):
     """(offset, header or None, bases) of one byte range.
 
@@ -131,15 +152,7 @@ def _segments(path: str, begin: int, end: int | None, slab_bytes: int):
     inside a line looks back to see what kind of line it is.
     """
     with _open(path) as f:
-        line_start, skip = True, False
-        if begin:
-            back = max(0, begin - LOOK_BACK)
-            f.seek(back)
-            before = f.read(begin - back)
-            cut = before.rfind(b"\n")
-            line_start = cut == len(before) - 1
-            first = before[cut + 1 : cut + 2] if cut >= 0 or back == 0 else b""
-            skip = not line_start and first == b">"
+        line_start, skip = _line_before(f, begin)
         position, header, header_at = begin, None, begin
         while end is None or position < end:
             slab = f.read(slab_bytes if end is None else min(slab_bytes, end - position))

@@ -274,9 +274,16 @@ def parse_full_table(lines: DataFrame, columns: list[str] | None = None, keys: t
 
 
 def read_full_table(spark: SparkSession, path: str, layout: list[str] | None = None) -> DataFrame:
-    """Gene models of a gene-table file; the layout is the header's, the given or the default."""
+    """Gene models of gene-table files, by ``file`` and gene.
+
+    A file's layout is the given one, else that of its first header line, else the default. Files of one header are
+    read together; there are few different headers, however many files.
+    """
     lines = read_lines(spark, path)
-    if layout is None:
-        head = lines.where(F.lower(F.split("value", "\t")[0]) == "gene").select("value").limit(1).collect()
-        layout = head[0]["value"].split("\t") if head else GENE_TABLE_LAYOUT
-    return parse_full_table(lines, layout)
+    if layout is not None:
+        return parse_full_table(lines, layout, ("file",))
+    first = lines.where(F.lower(F.trim(F.split("value", "\t")[0])) == "gene").groupBy("file").agg(F.min(F.struct("line_no", "value"))["value"].alias("head"))
+    heads = [r["head"] for r in first.select("head").distinct().orderBy("head").collect()]
+    headed = lines.join(first, "file", "left")
+    parts = [parse_full_table(headed.where(F.col("head") == h), h.split("\t"), ("file",)) for h in heads]
+    return reduce(DataFrame.unionByName, parts, parse_full_table(headed.where("head IS NULL"), GENE_TABLE_LAYOUT, ("file",)))

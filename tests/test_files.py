@@ -7,6 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from baseloom.operators.trees import ancestor_pairs
 from baseloom.plans.divergence import divergence_tables
 from baseloom.plans.features import feature_tables
 from baseloom.plans.windows import export_window_tables, window_tables
@@ -35,6 +36,21 @@ def test_fasta_splits_anywhere(spark, tmp_path, block, slab):
     assert records == [["one first record", b"ACGTACGT"], ["two", b""], ["three | x > y", b"NNNNACGT"]]
 
 
+@pytest.mark.parametrize("block", [10_000, 64 * 1024, 150_000])
+def test_long_headers_over_blocks(tmp_path, block):
+    """A header longer than the first look back is no sequence, a long line of bases is."""
+    text = ">a " + "x" * 200_000 + "\nACGT\n>b\n" + "ACGT" * 50_000 + "\n"
+    path = tmp_path / "a.fna"
+    path.write_text(text)
+    records = []
+    for begin in range(0, len(text), block):
+        for _, header, bases in FA._segments(str(path), begin, min(begin + block, len(text)), 7_000):
+            if header is not None:
+                records.append([header[:1], 0])
+            records[-1][1] += len(bases)
+    assert records == [["a", 4], ["b", 200_000]]
+
+
 def test_fasta_chunks_and_gzip(spark, tmp_path):
     (tmp_path / "a.fna").write_text(FASTA)
     with gzip.open(tmp_path / "b.fa.gz", "wt") as f:
@@ -94,6 +110,23 @@ def test_full_table_forms(spark, tmp_path):
     assert (row["status"], row["start"], row["end"], row["strand"]) == ("Complete", 5, 9, "+")
 
 
+def test_full_tables_of_several_files(spark, tmp_path):
+    """Each file has its own layout, and equal genes of two files stay apart."""
+    (tmp_path / "a.tsv").write_text("Gene\tStatus\tSequence\tStrand\tGene Start\tGene End\tCodons\ng1\tSingle\tc\t+\t1\t9\t1_9_+\n")
+    (tmp_path / "b.tsv").write_text("Gene\tSequence\tStatus\tStrand\tCodons\tGene Start\tGene End\ng1\td\tSingle\t+\t3_5_+\t3\t5\n")
+    (tmp_path / "c.tsv").write_text("g1\tSingle\te\t.\t.\t+\t.\t.\t.\t7\t8\t.\t7_8_+\n")
+    rows = TB.read_full_table(spark, str(tmp_path)).collect()
+    assert sorted((r["file"][-5:], r["gene"], r["sequence_id"], r["start"], r["end"], r["valid"]) for r in rows) == [
+        ("a.tsv", "g1", "c", 1, 9, True), ("b.tsv", "g1", "d", 3, 5, True), ("c.tsv", "g1", "e", 7, 8, True)
+    ]
+
+
+def test_cycle_is_an_error(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "child string, parent string")
+    with pytest.raises(ValueError, match="its own ancestor"):
+        ancestor_pairs(edges)
+
+
 def test_page_parts(spark):
     html = "<h1> </h1><h2>Genus &amp; sp</h2><script>1C 9</script><p>C-value: 2.30 and 1C 2.30, 4 pg</p>"
     df = spark.createDataFrame([(1, "more", html)], "page_id int, link_text string, html string")
