@@ -25,6 +25,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Known(dict):
+    """Ids by piece; pieces that are looked up in vain are noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.new.add(piece)
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, without special tokens added."""
 
@@ -47,20 +58,24 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.newline = self._raw(["\n"])[0] if self.by_piece else None
         self.by_piece = self.by_piece and len(self.newline) == 1
-        self.most, self.first, self.later = cached, {}, {}
+        self.most, self.first, self.later = cached, _Known(), _Known()
         self.split = re.compile(r"(?<=\S) (?=\S)").split
 
     def _raw(self, texts):
         return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict, pieces: set, lead: str) -> None:
-        """Encode pieces in few calls: joined by line breaks, whose id parts them again."""
+    def _learn(self, cache: "_Known", lead: str) -> None:
+        """Encode the pieces that were not known in few calls: joined by line breaks, whose id parts them again."""
+        pieces, cache.new = cache.new, set()
         if len(cache) + len(pieces) > self.most:
             cache.clear()
         plain = [p for p in pieces if p and not re.search(r"\s", p)]
-        for p in pieces.difference(plain):
-            # A piece with white space at its edge has no ids of its own: its text is encoded whole.
-            cache[p] = False if not p or p[0].isspace() or p[-1].isspace() else self._raw([lead + p])[0].tobytes()
+        odd = pieces.difference(plain)
+        # A piece with white space at its edge has no ids of its own: its text is encoded whole.
+        edged = {p for p in odd if not p or p[0].isspace() or p[-1].isspace()}
+        cache.update(dict.fromkeys(edged, False))
+        inner = list(odd - edged)
+        cache.update(zip(inner, (x.tobytes() for x in self._raw([lead + p for p in inner]))))
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
             ids = self._raw(["".join(lead + p + "\n" for p in part)])[0]
@@ -74,22 +89,19 @@ class Encoder:
                 begin = end + 4
 
     def _some(self, texts: list[str]) -> list[bytes]:
+        first, later = self.first, self.later
         pieces = [t.split(" ") for t in texts]
-        new = {p for ps in pieces for p in ps[1:] if p not in self.later}
-        if new:
-            self._learn(self.later, new, " ")
-            if len(self.later) < len(new) or any(p not in self.later for ps in pieces for p in ps[1:]):
-                # The cache was emptied in between.
-                self._learn(self.later, {p for ps in pieces for p in ps[1:] if p not in self.later}, " ")
-        new = {ps[0] for ps in pieces if ps[0] not in self.first}
-        if new:
-            self._learn(self.first, new, "")
-            if any(ps[0] not in self.first for ps in pieces):
-                self._learn(self.first, {ps[0] for ps in pieces if ps[0] not in self.first}, "")
+        found = [[first[ps[0]], *map(later.__getitem__, ps[1:])] for ps in pieces]
+        for cache, lead in ((first, ""), (later, " ")):
+            if cache.new:
+                self._learn(cache, lead)
         out = []
-        for text, ps in zip(texts, pieces):
-            got = list(map(self.later.get, ps))
-            got[0] = self.first.get(ps[0])
+        for text, ps, got in zip(texts, pieces, found):
+            if None in got:
+                # Just learned; what was found before stays valid even if the cache was emptied in between.
+                if got[0] is None:
+                    got[0] = first[ps[0]]
+                got = [later[p] if g is None else g for g, p in zip(got, ps)]
             try:
                 out.append(b"".join(got))
             except TypeError:
