@@ -60,10 +60,12 @@ def train_dictionary(documents: DataFrame, tokenizer: str | None = None) -> byte
             yield pa.RecordBatch.from_arrays([pa.array([_ids(t)[0] for t in tokens], pa.binary())], names=["data"])
 
     chosen = (
-        documents.select("doc_id", "text")
-        .where(F.length("text").between(1, SAMPLE_CHARS))
-        .orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id", "text")
+        documents.select("doc_id", "text", F.length("text").alias("n"))
+        .where(F.col("n").between(1, SAMPLE_CHARS))
+        .withColumn("h", F.xxhash64("doc_id", "n"))
+        .orderBy("h", "doc_id", "text")
         .limit(SAMPLE)
+        .select("doc_id", "text")
     )
     samples = sorted(bytes(r.data) for r in chosen.mapInArrow(run, "data binary").collect())
     try:
