@@ -152,14 +152,16 @@ def _value_bin(value: Column) -> Column:
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key, as one column per name.
 
-    A first pass counts rows per bin (combined before the shuffle) and finds
-    the bins that hold a wanted rank; a second pass keeps the rows of these
-    bins, counts equal values and ranks them inside the bin. A group that holds
-    most of the rows is spread over its bins, and nothing is sampled.
+    Equal values of a group are counted first (combined before the shuffle), so
+    a value that most rows have is one row from there on. Sums per bin find the
+    bins that hold a wanted rank; only the values of these bins are ranked. A
+    group that holds most of the rows is spread over its values, and nothing is
+    sampled.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     rows = rows.withColumn("_bin", _value_bin(F.col("_v")))
-    per_bin = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in_bin"))
+    values = rows.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    per_bin = values.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in_bin"))
     # From here on one row per group and bin, whatever the size of the group.
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -172,11 +174,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         .where(f"exists(array({ranks}), r -> r >= _upto - _in_bin AND r < _upto)")
         .select(*keys, "_bin", F.expr("_upto - _in_bin").alias("_before"), "_total")
     )
-    counted = (
-        rows.join(targets, [*keys, "_bin"])
-        .groupBy(*keys, "_bin", "_before", "_total", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    counted = values.join(targets, [*keys, "_bin"])
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -127,26 +127,31 @@ def newick_edges(trees: DataFrame) -> DataFrame:
     """Edges of every tree of a table, from ``tree_id, newick, first_id``.
 
     The root is ``ancestral``; the other internal nodes are numbered in
-    postorder from ``first_id``. Bracket depths give the structure: a node's
-    parent is the first later closing bracket that is one level up.
+    postorder from ``first_id``. One pass over a tree's brackets keeps the open
+    levels on a stack; the result leaves the task tree by tree.
     """
     schema = "tree_id string, child string, parent string"
     return trees.select(F.col("tree_id").cast("string").alias("tree_id"), "newick", "first_id").mapInPandas(_edge_batches, schema)
 
 
 def _edge_batches(batches):
-    """Edges of the trees of each batch; one tree at a time."""
+    """Edges of the trees of each batch; put out before the next tree once there are many."""
     import re
 
     import pandas as pd
 
     token = re.compile(r"[(),;]|[^(),;]+")
+    columns = ["tree_id", "child", "parent"]
     for batch in batches:
         out = []
         for tree_id, newick, first in zip(batch["tree_id"], batch["newick"], batch["first_id"]):
+            if len(out) >= 50_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
             levels: list[list[str]] = [[]]
             number, closed = int(first), False
-            for part in token.findall(newick.strip()):
+            for found in token.finditer(newick.strip()):
+                part = found[0]
                 if part == "(":
                     levels.append([])
                     closed = False
@@ -162,7 +167,7 @@ def _edge_batches(batches):
                     closed = False
                 elif not closed:
                     levels[-1].append(part.split(":")[0].strip())
-        yield pd.DataFrame(out, columns=["tree_id", "child", "parent"])
+        yield pd.DataFrame(out, columns=columns)
 
 
 def check_internal_count(edges: DataFrame, logged: DataFrame) -> DataFrame:

@@ -31,6 +31,14 @@ def test_exact_quantiles_with_a_hot_group(spark):
         assert [got[k][n] for n in probs] == pytest.approx(q)
 
 
+def test_quantiles_of_one_frequent_value(spark):
+    values = [1.0] * 1900 + [float(x) for x in range(2, 102)]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double").repartition(4)
+    row = R.exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99}).collect()[0]
+    want = df.agg(F.percentile("v", [0.5, 0.99])).collect()[0][0]
+    assert [row["p50"], row["p99"]] == pytest.approx(want)
+
+
 def test_assign_pk_and_running_total(spark):
     rows = [(i * 7919 % 1009, i % 5) for i in range(1009)]
     df = spark.createDataFrame(rows, "k bigint, v bigint")
