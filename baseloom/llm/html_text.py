@@ -1,10 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 A tolerant tokenizer gives text nodes with their path of tags from the root. Parts that are no content by their
-element, role or class (menus, forms, scripts, adverts, notices, comments and so on) are left out first. For each
-path the text length and the punctuation per node are summed up; both ratios are smoothed over the nodes in page
-order with a Gaussian, fused by multiplication, and paths above a share of the mean and deviation of all nodes are the content
-paths. The content is the text below the article element, or else below the closest common ancestor, that
+element, role or class (menus, forms, scripts, adverts, notices, comments and so on) are left out first; a class or id
+does not leave out what holds the article, the main element or most of the text. For each path the text length and the
+punctuation per node are summed up; both ratios are smoothed over the nodes in page order with a Gaussian, fused by
+multiplication, and paths above a share of the mean and deviation of all nodes are the content paths. The content is the text below the article element, or else below the closest common ancestor, that
 holds the chosen paths; short headings inside it stay, as they belong to the article.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by one space
@@ -29,7 +29,8 @@ from baseloom.llm.registry import query, table
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+# One attribute after the other: a value is read with its name, so its words are no names; a slash parts attributes.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _MARKS = re.compile(r"[.,;:!?。，、！？；：]")
 _SPACE = re.compile(r"\s+")
 
@@ -44,6 +45,8 @@ MARKERS = frozenset(
     "newsletter subscribe share sharing social related recommended sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "comment comments reply replies disqus respond widget popup modal overlay pagination pager toolbar login signup paywall skip outbrain taboola".split()
 )
+# First words of names that say what a layout has, such as has-sidebar; they mark nothing.
+LAYOUT = frozenset("has have no not without with".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br canvas caption center col dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -57,18 +60,27 @@ DEEPEST = 512
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "outside", "main", "depth")
+    __slots__ = ("tag", "path", "parent", "outside", "main", "marked", "marks", "depth")
 
-    def __init__(self, tag, parent, outside, main):
-        self.tag, self.parent, self.outside, self.main = tag, parent, outside, main
+    def __init__(self, tag, parent, outside, main, marked=False):
+        self.tag, self.parent, self.outside, self.main, self.marked = tag, parent, outside, main, marked
+        self.marks = marked + (parent.marks if parent else 0)
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
 
 
-def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is outside of content, and whether it is a main container."""
+def _marked(value: str) -> bool:
+    """Whether a class or id holds a marker."""
+    if MARKERS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        return False
+    names = (re.split(r"[^a-z0-9]+", name) for name in value.split())
+    return any(n[0] not in LAYOUT and not MARKERS.isdisjoint(n) for n in names)
+
+
+def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is outside of content, whether it is a main container, and whether a class or id marks it."""
     outside = tag in OUTSIDE or (tag == "header" and not in_main)
-    main = tag in MAIN
+    main, marked = tag in MAIN, False
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -77,18 +89,48 @@ def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
                 main |= value in ("main", "article")
             elif name == "itemprop":
                 main |= value == "articlebody"
-            elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                outside |= name == "hidden" and value != "until-found"
+            elif name == "hidden":
+                outside |= value != "until-found"
             elif name == "style":
                 outside |= bool(re.search(r"display\s*:\s*none", value))
-            elif tag not in ("html", "body", "article", "main") and not MARKERS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                outside = True
-    return outside, main
+            elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                marked |= _marked(value)
+    return outside, main, marked
+
+
+def _unmarked(elements: list[_Element], found: list[tuple[_Element, str, int]]) -> list[tuple[_Element, str, int]]:
+    """The text nodes without those of marked elements.
+
+    A mark does not count on an element that holds an article or main element; of several, those under the fewest marks are the
+    page's. Inside these, or if there are none, it does not count on an element that holds most of the page's text. If no text
+    is left, no mark counts.
+    """
+    if not any(e.marked for e in elements):
+        return found
+    size: dict[_Element, int] = defaultdict(int)
+    for e, text, _ in found:
+        size[e] += 0 if text.isspace() else len(text)
+    total = sum(size.values())
+    for e in reversed(elements):
+        size[e.parent] += size[e]
+    mains = [e for e in elements if e.main and not e.parent.main and size[e]]
+    lifted = {e for e in elements if 2 * size[e] > total and (e.main or not mains)}
+    least = min((e.marks for e in mains), default=0)
+    for e in mains:
+        if e.marks == least:
+            lifted.update(_chain(e))
+    gone: set[_Element] = set()
+    for e in elements:
+        if (e.marked and e not in lifted) or e.parent in gone:
+            gone.add(e)
+    left = [n for n in found if n[0] not in gone]
+    return left if any(not t.isspace() for _, t, _ in left) else found
 
 
 def nodes(page: str) -> list[tuple[_Element, str, int]]:
     """Text nodes in page order: element, decoded text, number of the block; parts outside content are left out."""
     root = _Element("#", None, False, False)
+    elements: list[_Element] = []
     here, block, out, at, size = root, 0, [], 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -154,10 +196,11 @@ def nodes(page: str) -> list[tuple[_Element, str, int]]:
         if tag in VOID:
             continue
         in_main = here.main
-        outside, main = _marks(tag, m[3], in_main)
+        outside, main, marked = _marks(tag, m[3], in_main)
         if here.depth < DEEPEST:
-            here = _Element(tag, here, here.outside or outside, in_main or main)
-    return out
+            here = _Element(tag, here, here.outside or outside, in_main or main, marked)
+            elements.append(here)
+    return _unmarked(elements, out)
 
 
 def _smooth(values: list[float], reach: int = 2, sigma: float = 1.0) -> list[float]:

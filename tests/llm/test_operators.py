@@ -218,6 +218,25 @@ def ids_of(text):
 
 
 def test_packing(docs, none):
+def test_html_attribute_values_are_no_names():
+    for a in ("href='/the-hidden-cost'", 'title="Hidden gems"', "data-hidden=false", 'href="/p?id=share"', "data-class='ad'", "title='a class=ad b'", "hidden='until-found'"):
+        assert html_text.main_text(f"<div {a}><p>One, two.</p></div>") == "One, two.", a
+    for a in ("hidden", "hidden=''", "title='x'hidden", "/hidden", "CLASS=ad", "class = 'big ad'", 'style="display: none"', "title=a id=share"):
+        assert html_text.main_text(f"<p>One, two, three.</p><div {a}><p>Four.</p></div>") == "One, two, three.", a
+
+
+def test_html_marked_wrappers():
+    article = "<article><p>One, two.</p><div class='share'>Share it.</div></article>"
+    for name in ("page has-sidebar", "no-sidebar", "post with-comments", "page widget", "social"):
+        assert html_text.main_text(f"<div class='{name}'>{article}</div>") == "One, two.", name
+        assert html_text.main_text(f"<div class='{name}'><p>One, two.</p><p>Three.</p></div>") == "One, two. Three.", name
+    thread = "<div id=comments><article><p>I disagree, at length and more than once, with all of it.</p></article></div>"
+    assert html_text.main_text(article + thread) == "One, two."
+    assert html_text.main_text(f"<div class='page widget'>{article}{thread}</div>") == "One, two."
+    assert html_text.main_text("<article><div class='entry widget'><p>One, two.</p></div></article>") == "One, two."
+    assert html_text.main_text("<div role=main class=social><p>One.</p></div><p>Two, three, four.</p>") != ""
+
+
     pieces = defaultdict(list)
     rows = packing.pack(docs).collect()
     assert len({r.sequence_id for r in rows}) == len(rows)
