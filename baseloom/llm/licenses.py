@@ -62,7 +62,8 @@ WITH_BONUS = 0.2
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_TAGGED = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+# An expression ends at the latest where the line or the next tag begins; a line can hold many tags.
+_TAGGED = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*((?:(?!spdx-license-identifier[ \t]*:)[^\r\n])*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _ORDER = {"or": 1, "and": 2, "with": 3}
 

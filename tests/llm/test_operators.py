@@ -255,6 +255,15 @@ def test_token_store(docs, none, spark):
     path = scratch_path(spark, "test-store")
     token_store.write_store(docs, path)
     at = 0
+def test_licence_tags_of_one_line():
+    tag = "SPDX-License-Identifier:"
+    two = licenses.scan(f"{tag} MIT foo {tag} GPL-2.0-only")
+    assert two["labels"] == ["gpl-2.0-only", "mit"] and two["permission"] == 0.3
+    bare = licenses.scan(f"/* {tag} MIT OR GPL-2.0-only */ x(); /* {tag.upper()} Apache-2.0 */{tag}ISC\r\n{tag} zlib")
+    assert bare["labels"] == ["apache-2.0", "gpl-2.0-only", "isc", "mit", "zlib"] and bare["permission"] == 1.0
+    assert licenses.scan(f"{tag} {tag} MIT")["labels"] == ["mit"]
+
+
     rows = token_store.read_store(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted([*range(len(TEXTS)), 5])
     for r in rows:
