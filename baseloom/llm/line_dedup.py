@@ -111,6 +111,23 @@ def exact(a: str, b: str) -> tuple[int, int]:
     return both, len(p) + len(q) - both
 
 
+def distinct(lines: list[str]) -> list[int]:
+    """Number of distinct shingles per line, as ``exact`` counts them."""
+    out, at = [], 0
+    while at < len(lines):
+        end, held = at, 0
+        while end < len(lines) and (held < 100_000 or end == at):
+            held += len(lines[end])
+            end += 1
+        h, starts = _hashes(lines[at:end])
+        line = np.repeat(np.arange(end - at), np.diff(np.r_[starts, len(h)]))
+        order = np.lexsort((h, line))
+        new = np.r_[True, (np.diff(line) > 0) | (h[order][1:] != h[order][:-1])]
+        out.extend(np.bincount(line[new], minlength=end - at).tolist())
+        at = end
+    return out
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
     """(doc_id, t, place, line, f): lines with a word, t the hash of their text, f their class."""
     lines = documents.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
@@ -134,7 +151,7 @@ def _signed(batches):
 
 
 def _described(batches):
-    """The involved classes with number of shingles, sketch and bands."""
+    """The involved classes with number of distinct shingles, sketch and bands."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
@@ -142,7 +159,7 @@ def _described(batches):
             s = signatures(lines, SKETCH)
             keys = _bands(s)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([max(1, len(x) - SHINGLE + 1) for x in lines], pa.int64()),
+                [part.column(0), part.column(1), pa.array(distinct(lines), pa.int64()),
                  pa.array([r.tobytes() for r in s], pa.binary()), pa.array([r.tobytes() for r in keys], pa.binary())],
                 names=["f", "line", "n", "sketch", "bands"],
             )

@@ -124,6 +124,29 @@ def test_line_dedup(docs, none):
     assert line_dedup.exact("abc", "abc") == (1, 1) and line_dedup.exact("abc", "abd")[0] == 0
 
 
+def test_lines_of_periodic_text(spark):
+    """Leaves are paired by distinct shingles: a phrase repeated more often is a longer line of almost the same set."""
+    rng = np.random.RandomState(5)
+    word = lambda n: "".join(chr(97 + c) for c in rng.randint(0, 26, n))
+    text = [p * k + word(4) for p in [word(150) for _ in range(6)] for k in range(2, 12)] + ["short", "ab" * 500]
+    described = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text)], names=["f", "line"])
+    sizes = [n for b in line_dedup._described([described]) for n in b.column(2).to_pylist()]
+    assert sizes == [line_dedup.exact(x, x)[0] for x in text]
+    members = spark.createDataFrame([(1, i, n, i) for i, n in enumerate(sizes)], "key long, f long, n long, component long")
+    tasks = defaultdict(set)
+    for r in jaccard_join.leaf_tasks(members, leaf=3).collect():
+        tasks[r.key, r.l, r.r].add(r.f)
+    met = {(a, b) for fs in tasks.values() for a in fs for b in fs}
+    near = 0
+    for i, a in enumerate(text):
+        for j in range(i + 1, len(text)):
+            both, either = line_dedup.exact(a, text[j])
+            if 100 * both >= 75 * either:
+                near += 1
+                assert (i, j) in met
+    assert near > 200
+
+
 def test_quality_statistics(docs, none):
     out = quality_rules.judge(docs, quality_rules.DecisionList()).collect()
     for r in out:
