@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baseloom.functions.cleaning import canonical_bool, file_token, null_if_blank, to_number
+from baseloom.operators.ranking import assign_pk
 from baseloom.operators.validate import check_pk
 
 # Columns that are booleans in the tables.
@@ -159,15 +160,27 @@ def append_log(df: DataFrame, path: str, form: str = "json") -> None:
     writer.json(path) if form == "json" else writer.option("header", True).csv(path)
 
 
-def edges_wide(edges: DataFrame) -> DataFrame:
-    """One row with a column per child that holds its parent.
+def edges_wide(edges: DataFrame, width: int = 1_000) -> DataFrame:
+    """The wide table's two lines, ``line`` 0 the children in order and 1 their parents, as CSV text pieces.
 
-    The column count is the tree's node count; Spark's pivot limit
-    (``spark.sql.pivotMaxValues``) stops a table that is no tree.
+    A child with several parents keeps the smallest. A piece holds ``width`` nodes, so the number of
+    pieces grows with the tree; pieces of one number belong together.
     """
-    return edges.groupBy().pivot("child").agg(F.min("parent"))
+    numbered = assign_pk(edges.groupBy("child").agg(F.min("parent").alias("parent")), ["child"], "_at", 0)
+
+    def cells(name: str) -> Column:
+        value = F.coalesce(F.col(name), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        cell = F.when(value.rlike('[",\r\n]'), quoted).otherwise(value)
+        ordered = F.array_sort(F.collect_list(F.struct("_at", cell.alias("c"))))
+        return F.array_join(ordered["c"], ",")
+
+    pieces = numbered.groupBy(F.floor(F.col("_at") / width).alias("piece")).agg(cells("child").alias("_0"), cells("parent").alias("_1"))
+    lines = F.array(*[F.struct(F.lit(i).alias("line"), F.col(f"_{i}").alias("value")) for i in (0, 1)])
+    return pieces.select("piece", F.explode(lines).alias("_l")).select("_l.line", "piece", "_l.value")
 
 
 def write_edges_wide(edges: DataFrame, path: str) -> None:
-    """Two CSV lines: children, then parents."""
-    edges_wide(edges).write.option("header", True).csv(path)
+    """Children in folder ``line=0``, parents in ``line=1``; part files are in piece order, each row one piece."""
+    lines = edges_wide(edges).repartitionByRange("line", "piece").sortWithinPartitions("line", "piece")
+    lines.select("line", "value").write.partitionBy("line").text(path)

@@ -93,6 +93,19 @@ def node_edges(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(child).alias("child"), F.col(parent).alias("parent"))
     else:
         rows = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "child", "parent")
+    return _coerced(rows)
+
+
+def wide_edges(pieces: DataFrame) -> DataFrame:
+    """Edges of a wide table's text pieces (line, piece, value), as ``sinks.edges_wide`` makes them."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.col("value")), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = lambda c: F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    plain = F.transform(cells, lambda c: F.when(c.startswith('"'), bare(c)).otherwise(c))
+    pairs = pieces.groupBy("piece").agg(*[F.max(F.when(F.col("line") == i, plain)).alias(n) for i, n in enumerate(("child", "parent"))])
+    return _coerced(pairs.select(F.explode(F.arrays_zip("child", "parent")).alias("e")).select("e.child", "e.parent"))
+
+
+def _coerced(rows: DataFrame) -> DataFrame:
     edges = rows.select(coerce_node(F.col("child")).alias("child"), coerce_node(F.col("parent")).alias("parent"))
     return edges.where("child <> '' AND parent <> ''").distinct()
 

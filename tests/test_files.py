@@ -15,6 +15,7 @@ from baseloom.sources import fasta as FA
 from baseloom.sources import pages as PG
 from baseloom.sources import sinks as SK
 from baseloom.sources import tables as TB
+from baseloom.sources import trees_text as TT
 from workload import inputs as I
 
 FASTA = ">one first record\nACGTAC\nGT\n\n>two\n>three | x > y\nNNNN\nAC\r\nGT"
@@ -171,3 +172,20 @@ def test_divergence_plan(spark):
     assert {(r["child"], r["dij"]) for r in out["dij"].collect()} == {("x", 1.0), ("b_y", 1.0), ("node_3", 4.0)}
     row = {r["genus_species"]: r for r in out["master"].collect()}["b_y"]
     assert (row["dianc"], row["accession"], row["mean_gc4"], row["sd_gc3"]) == (3.0, None, 0.5, None)
+
+
+def test_wide_edges_of_any_number(spark, tmp_path):
+    """More children than a pivot allows; names with commas and quotes; pieces of bounded width in order."""
+    edges = spark.range(10_050).select(F.format_string("tip%05d", "id").alias("child"), F.concat(F.lit("node_"), F.col("id") % 7).alias("parent"))
+    odd = spark.createDataFrame([('a "b", c', "node_1"), ("tip00000", "node_0"), ("tip00001", "node_0"), ("lost", None)], "child string, parent string")
+    pieces = SK.edges_wide(edges.unionByName(odd)).collect()
+    assert len(pieces) == 22 and {r.line for r in pieces} == {0, 1}
+    assert max(r.value.count(",") for r in pieces) <= 1_001
+    got = {(r.child, r.parent) for r in TT.wide_edges(SK.edges_wide(edges.unionByName(odd))).collect()}
+    want = TT.node_edges(edges.unionByName(odd).groupBy("child").agg(F.min("parent").alias("parent")))
+    assert got == {(r.child, r.parent) for r in want.collect()} and len(got) == 10_051
+    SK.write_edges_wide(edges, str(tmp_path / "wide"))
+    texts = [",".join(f.read_text().rstrip("\n").replace("\n", ",") for f in sorted((tmp_path / "wide" / f"line={i}").glob("part-*"))).split(",") for i in (0, 1)]
+    assert list(zip(*texts)) == [(f"tip{i:05d}", f"node_{i % 7}") for i in range(10_050)]
+    narrow = spark.createDataFrame([("node_1", "ancestral")], "tip1 string, node_1 string")
+    assert {(r.child, r.parent) for r in TT.node_edges(narrow).collect()} == {("tip1", "node_1"), ("node_1", "ancestral")}

@@ -212,7 +212,7 @@ def id_list(spark, d):
 def gene_row(spark, d):
     path = scratch_path(spark, "genes")
     genes = F.array_join(F.collect_list(F.concat(F.lit(" g"), "c_custkey")), ",")
-    I.table(spark, d, "customer").groupBy("c_nationkey").agg(genes.alias("value")).select("value").write.text(path)
+    I.table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 1000)).agg(genes.alias("value")).select("value").write.text(path)
     return TB.read_gene_row(spark, path)
 
 
@@ -284,7 +284,7 @@ def edges_long(spark, d):
 
 @query("src15_node_edges_wide", f"WITH {I.EDGES_SQL} SELECT * FROM edges")
 def edges_wide_in(spark, d):
-    return TT.node_edges(SK.edges_wide(I.edges(spark, d)))
+    return TT.wide_edges(SK.edges_wide(I.edges(spark, d)))
 
 
 @query(
@@ -425,8 +425,9 @@ def append_log(spark, d):
 def edges_wide(spark, d):
     path = scratch_path(spark, "edges")
     SK.write_edges_wide(I.edges(spark, d), path)
-    lines = TB.read_lines(spark, path)
-    return lines.agg(F.min(F.struct("line_no", "value")).getField("value").alias("children"), F.max(F.struct("line_no", "value")).getField("value").alias("parents"))
+    lines = TB.read_lines(spark, path).withColumn("line", F.regexp_extract("file", "line=([01])/", 1))
+    whole = lambda i: F.array_join(F.array_sort(F.collect_list(F.when(F.col("line") == i, F.struct("file", "line_no", "value"))))["value"], ",")
+    return lines.agg(whole("0").alias("children"), whole("1").alias("parents"))
 
 
 def _load_sides(spark, d):
