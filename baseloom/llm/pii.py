@@ -2,17 +2,18 @@
 
 Four base kinds (email, ip, card, phone) are found by fixed patterns and checks and always stay. High-recall
 generators propose looser spans; boosted trees over format and context features score them; a span is added if
-its score reaches its kind's threshold and it overlaps neither a base span nor a better candidate. Everything
+its score reaches its kind's threshold and it overlaps neither a base span nor an added span of better score. Everything
 that touches documents is built-in column functions, one row in, one row out, without a shuffle. The trees are
-fitted on the driver on a bounded sample (``SAMPLE_SPANS`` contexts) and become conditional expressions.
+fitted on the driver on a bounded sample (``SAMPLE_SPANS`` contexts) and ``GENERIC_SPANS`` fixed spans, and become
+conditional expressions.
 
 Patterns are written so that the engine's matcher neither recurses nor rescans: possessive quantifiers, and a
 match begins only where a run of its characters begins or the previous match ended. Both leave the matches of
 the plain patterns as they are.
 
 Defined cases: null text counts as empty and has no spans; texts of any length are scanned whole; repeated
-rows are scanned each on its own; an empty table gives an empty result, and with no base span in the sample
-the method adds nothing. Columns of the input that bear the name of a result column are replaced.
+rows are scanned each on its own; an empty table gives an empty result; without a base span in the sample
+the fixed spans alone teach. Columns of the input that bear the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from baseloom.llm.registry import let, once, query, table
 KINDS = ("email", "ip", "card", "phone")
 # Bound of the base spans, with 32 characters of context on either side, that the fit reads.
 SAMPLE_SPANS = 3000
+# Spans in fixed contexts that every fit reads too, so that small or mostly obfuscated tables are learnt for as well.
+GENERIC_SPANS = 120
 CONTEXT = 32
 
 _SPAN = "struct<s:int,e:int,k:int,t:string>"
@@ -137,7 +140,8 @@ def base_spans(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Overlapping spans of the generators: the looser patterns, and base matches whose check failed."""
     each = [_found(text, WIDE[k], WIDE_NEEDS[k], n) for n, k in enumerate(KINDS)]
-    return F.concat(*each)
+    each += [_found(text, BASE[k], NEEDS[k], n, lambda t, ok=CHECKS[k]: ~ok(t)) for n, k in enumerate(KINDS) if CHECKS[k]]
+    return F.array_distinct(F.concat(*each))
 
 
 CUES = {
@@ -282,8 +286,30 @@ def _passes(text: str) -> bool:
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
 
 
+def _generic(n: int = GENERIC_SPANS) -> list[dict]:
+    """Fixed base spans (k, t) of all kinds in turn, with the text to their left and right."""
+    rng = random.Random(11)
+    r = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    words = "please send the list to our office today and ask about your order or write it down here for them we can be reached at any time".split()
+    out = []
+    for i in range(n):
+        kind = KINDS[i % len(KINDS)]
+        if kind == "email":
+            t = f"{rng.choice(words)}.{rng.choice(words)}{r(2)}@{rng.choice(('mail', 'post', 'office'))}.example.{rng.choice(('com', 'org', 'net'))}"
+        elif kind == "ip":
+            t = ".".join(str(rng.randrange(256)) for _ in range(4))
+        elif kind == "card":
+            head = "4" + r(14)
+            t = next(head + d for d in "0123456789" if _passes(head + d))
+        else:
+            t = f"+1 ({rng.randrange(200, 1000)}) {rng.randrange(200, 1000)}-{r(4)}"
+        text = [" ".join(rng.choice(words) for _ in range(6))[:CONTEXT] for _ in range(2)]
+        out.append({"k": KINDS.index(kind), "t": t, "l": text[0] + " ", "r": " " + text[1]})
+    return out
+
+
 def learn(documents: DataFrame, limit: int = SAMPLE_SPANS) -> Trees:
-    """Fit the trees. Base spans of the corpus, chosen by hash, give contexts and texts; each is respelt loosely,
+    """Fit the trees. Base spans of the corpus, chosen by hash, and fixed ones give contexts and texts; each is respelt loosely,
     and joined by shapes that are no personal data, half of them with a cue word; the generators then propose
     candidates in these short texts, and a candidate is right if it covers the respelt span."""
     spark = documents.sparkSession
@@ -303,8 +329,7 @@ def learn(documents: DataFrame, limit: int = SAMPLE_SPANS) -> Trees:
         .limit(limit)
         .collect()
     )
-    if len(spans) < 40:
-        return Trees()
+    spans += _generic()
     rng, rows = random.Random(7), []
     cues = {"email": "email ", "ip": "ip ", "card": "card ", "phone": "call "}
     for s in spans:
@@ -330,7 +355,8 @@ def find(documents: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """The input with ``base`` and ``added``: arrays of spans (s, k, e, t), ends exclusive, k the kind's number."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = once(documents, "base", base_spans(body))
-    none = F.array().cast("array<struct<s:int,k:int,e:int,t:string,p:double>>")
+    none_type = "array<struct<s:int,k:int,e:int,t:string,p:double>>"
+    none = F.array().cast(none_type)
     if not trees.thresholds:
         return once(out, "added", none)
 
@@ -348,8 +374,11 @@ def find(documents: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
 
     def choose(pair):
         good = F.filter(F.transform(pair["c"], scored), lambda x: x["p"] >= x["cut"])
-        best = let(good, lambda v: F.filter(v, lambda x: ~F.exists(v, lambda y: overlaps(x, y) & (rank(y) < rank(x)))))
-        return F.transform(best, lambda x: F.struct(*[x[n].alias(n) for n in ("s", "k", "e", "t", "p")]))
+        ranked = F.array_sort(F.transform(good, lambda x: F.struct(rank(x).alias("rank"), *[x[n].alias(n) for n in ("s", "k", "e", "t", "p")])))
+        plain = F.transform(ranked, lambda x: F.struct(*[x[n].alias(n) for n in ("s", "k", "e", "t", "p")])).cast(none_type)
+        # Best first: one that overlaps an added span is dropped, and bars no other.
+        added = F.aggregate(plain, none, lambda a, x: F.when(F.exists(a, lambda y: overlaps(x, y)), a).otherwise(F.concat(a, F.array(x))))
+        return F.array_sort(added)
 
     free = F.filter(candidates(body), lambda c: ~F.exists(F.col("base"), lambda b: overlaps(b, c)))
     out = once(out, "free_candidates", free)

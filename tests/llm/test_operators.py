@@ -211,6 +211,24 @@ def test_pii_learns(spark, data):
     assert got == {1: [(12, 26)], 2: []}
 
 
+def test_pii_of_small_tables(spark, none):
+    """Without base spans the method still learns; failed base matches are candidates; a dropped candidate bars no other."""
+    trees = pii.learn(none)
+    loose = spark.createDataFrame([(1, "please call (988) 555-2485 today"), (2, "nothing at all, no number")], "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.e) for x in r.added] for r in pii.find(loose, trees).collect()}
+    assert got == {1: [(12, 26)], 2: []}
+    failed = spark.createDataFrame([("host 256.1.1.1 here",)], "text string").select(F.explode(pii.candidates(F.col("text"))).alias("c")).collect()
+    assert "256.1.1.1" in {r.c.t for r in failed}
+
+
+def test_pii_overlaps_are_chosen_by_score(spark, monkeypatch):
+    spans = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(3).alias("k"), F.lit("x" * n).alias("t")) for s, e, n in ((0, 4, 9), (3, 7, 5), (6, 9, 2))])
+    monkeypatch.setattr(pii, "candidates", lambda text: spans.cast(f"array<{pii._SPAN}>"))
+    trees = pii.Trees(0.0, [("length", 2.0, 1.0, ("length", 5.0, 2.0, 3.0))], {3: 0.5})
+    row = pii.find(spark.createDataFrame([(1, "abcdefghij")], "doc_id long, text string"), trees).collect()[0]
+    assert [(x.s, x.e, x.p) for x in row.added] == [(0, 4, 3.0), (6, 9, 1.0)]
+
+
 def test_html():
     page = "<html><body><nav><a>Menu</a></nav><div class='ad'>Buy, now.</div><article><h1>A &amp; B</h1><p>One <b>bold</b>, text.<br>More\n text<p>Open.</article><div id=comments><p>I disagree, a lot.</p></div><footer>&copy; x"
     assert html_text.main_text(page) == "A & B One bold, text. More text Open."
