@@ -3,6 +3,7 @@
 from baseloom.llm import (  # noqa: F401
     html_text,
     jaccard_join,
+    lexical_search,
     licenses,
     line_dedup,
     mixing,
