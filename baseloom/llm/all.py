@@ -9,7 +9,9 @@ from baseloom.llm import (  # noqa: F401
     mixing,
     nn_graph,
     packing,
+    periodic_runs,
     pii,
+    quality_net,
     quality_rules,
     token_store,
 )

@@ -25,6 +25,7 @@ Items are searched in blocks of about ``BLOCK_TERMS`` terms, each against the wh
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from baseloom.llm.registry import query, staged, table
 
 POSTINGS = 1 << 20
 MOST_DOCS = 1 << 13
-AT_ONCE = 128
+AT_ONCE = 512
 FRONTIER = 1 << 21
 BLOCK_TERMS = 200_000
 _SHARD = "n_docs int, levels int, docs binary, terms binary, frequencies binary, cells binary, maxima binary"
@@ -76,9 +77,11 @@ def corpus_size(documents: DataFrame) -> tuple[int, int]:
     def run(batches):
         n = total = 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                count = len(terms_of(text.as_py()))
-                n, total = n + (count > 0), total + count
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                if text:
+                    inside = np.frombuffer(text.translate(_TABLE), "u1") != 32
+                    count = int(inside[0]) + np.count_nonzero(inside[1:] > inside[:-1])
+                    n, total = n + (count > 0), total + count
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["n", "total"])
 
     row = documents.select("text").mapInArrow(run, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
@@ -125,7 +128,7 @@ class Grid:
         self.bits, self.nibbles, self.maxima = bits, nibbles, maxima
         counts = np.cumsum(_ONES[nibbles], dtype="i8")
         roots = len(maxima) - int(counts[-1]) if len(counts) else len(maxima)
-        self.children = np.r_[roots, roots + counts[:-1]] if len(counts) else counts
+        self.children = (np.r_[roots, roots + counts[:-1]] if len(counts) else counts).astype("i4")
 
     def pack(self) -> tuple[bytes, bytes]:
         """Bits two cells to a byte, maxima as differences to the parent's."""
@@ -178,10 +181,12 @@ def descend(grid: Grid, item: np.ndarray, row: np.ndarray, w: np.ndarray, floor:
     best = (none, none, none)
     starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else none
     node = row >> bits
-    # Ranges: item, level, first column in units of its width, bound. Terms: their range, cell, row in the square, weight.
+    # Ranges: item, level, first column in units of its width, bound.
     r_item, r_level, r_column = item[starts], np.zeros(len(starts), "i8"), np.zeros(len(starts), "i8")
     r_bound = np.add.reduceat(w * grid.maxima[node], starts) if len(starts) else none
-    t_range, t_node, t_row, t_w = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(item)])), node, row & ((1 << bits) - 1), w
+    # Terms of ranges: the range, the cell, the number of the term.
+    t_range, t_node = np.repeat(np.arange(len(starts), dtype="i4"), np.diff(np.r_[starts, len(item)])), node.astype("i4")
+    t_term, line = np.arange(len(item), dtype="i4"), row & ((1 << bits) - 1)
     while len(r_item):
         done = r_level == bits
         if done.any():
@@ -197,35 +202,32 @@ def descend(grid: Grid, item: np.ndarray, row: np.ndarray, w: np.ndarray, floor:
         alive = np.flatnonzero(live)
         chosen[alive[_best(r_item[alive], r_bound[alive], alive, AT_ONCE)]] = True
         wait = live & ~chosen
-        parts = []
-        stay = wait[t_range]
-        number = np.cumsum(wait) - 1
-        parts.append((r_item[wait], r_level[wait], r_column[wait], r_bound[wait], number[t_range[stay]], t_node[stay], t_row[stay], t_w[stay]))
-        go = chosen[t_range]
-        over, cell, line, weights = t_range[go], t_node[go], t_row[go], t_w[go]
-        if len(over):
-            side = (line >> (bits - 1 - r_level[over])) & 1
-            nibble, child = grid.nibbles[cell], grid.children[cell]
-            for half in (0, 1):
-                quarter = 2 * side + half
-                has = ((nibble >> quarter) & 1).astype(bool)
-                if not has.any():
-                    continue
-                to = child[has] + _ONES[nibble[has] & ((1 << quarter[has]) - 1)]
-                of = over[has]
-                begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                bound = np.add.reduceat(weights[has] * grid.maxima[to], begin)
-                who = of[begin]
-                worth = bound >= floor[r_item[who]]
-                place = np.cumsum(worth) - 1
-                each = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(of)]))
-                stay = worth[each]
-                who = who[worth]
-                parts.append((r_item[who], r_level[who] + 1, 2 * r_column[who] + half, bound[worth], place[each[stay]], to[stay], line[has][stay], weights[has][stay]))
+        stay = np.flatnonzero(wait[t_range])
+        number = np.cumsum(wait, dtype="i4") - 1
+        parts = [(r_item[wait], r_level[wait], r_column[wait], r_bound[wait], number[t_range[stay]], t_node[stay], t_term[stay])]
+        go = np.flatnonzero(chosen[t_range])
+        over, cell, term = t_range[go], t_node[go], t_term[go]
+        side = (line[term] >> (bits - 1 - r_level[over])) & 1 if len(go) else go
+        nibble, child = (grid.nibbles[cell], grid.children[cell]) if len(go) else (go, go)
+        for half in (0, 1):
+            quarter = 2 * side + half
+            has = np.flatnonzero((nibble >> quarter) & 1)
+            if not len(has):
+                continue
+            to = child[has] + _ONES[nibble[has] & ((1 << quarter[has]) - 1)]
+            of, which = over[has], term[has]
+            begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            bound = np.add.reduceat(w[which] * grid.maxima[to], begin)
+            who = of[begin]
+            worth = bound >= floor[r_item[who]]
+            place = np.cumsum(worth, dtype="i4") - 1
+            each = np.repeat(np.arange(len(begin), dtype="i4"), np.diff(np.r_[begin, len(of)]))
+            stay = np.flatnonzero(worth[each])
+            who = who[worth]
+            parts.append((r_item[who], r_level[who] + 1, 2 * r_column[who] + half, bound[worth], place[each[stay]], to[stay], which[stay]))
         shift = np.cumsum([0] + [len(p[0]) for p in parts])
-        r_item, r_level, r_column, r_bound = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        t_range = np.concatenate([p[4] + s for p, s in zip(parts, shift)])
-        t_node, t_row, t_w = (np.concatenate([p[i] for p in parts]) for i in range(5, 8))
+        r_item, r_level, r_column, r_bound, t_node, t_term = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 5, 6))
+        t_range = np.concatenate([p[4] + np.int32(s) for p, s in zip(parts, shift)])
     return best
 
 
@@ -262,9 +264,10 @@ def build_index(documents: DataFrame, postings: int = POSTINGS) -> tuple[DataFra
                 found = terms_of(text.as_py())
                 if not found:
                     continue
-                distinct, tf = np.unique(np.fromiter(map(vocabulary.__getitem__, found), "i4", len(found)), return_counts=True)
-                ids.append(key), sizes.append(len(found)), words.append((distinct, tf))
-                held += len(distinct)
+                counts = Counter(found)
+                words.append(tuple(np.fromiter(v, "i4", len(counts)) for v in (map(vocabulary.__getitem__, counts), counts.values())))
+                ids.append(key), sizes.append(len(found))
+                held += len(counts)
                 if held >= postings or len(ids) >= MOST_DOCS:
                     yield shard()
                     vocabulary, ids, sizes, words, held = _Vocabulary(), [], [], [], 0
