@@ -6,6 +6,7 @@ from workload import (  # noqa: F401
     divergence_queries,
     feature_queries,
     source_queries,
+    stream_queries,
     trait_queries,
     window_queries,
 )
