@@ -1,4 +1,8 @@
-"""Intervals on chunked sequences: slices, coding sequences, introns, flanks."""
+"""Intervals on chunked sequences: slices, coding sequences, introns, flanks.
+
+``chunks`` is a table of chunks or a ``ChunkStore``. With a store the join reads the bases where they lie, only intervals move, and
+intervals are clipped by the dimension of sequences before they are laid out over chunks.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baseloom.functions.sequence import ADDITIVE_COUNTS, gc_fraction, orient, with_base_counts
+from baseloom.sources.chunk_store import ChunkStore
 
 SITE = ["genome_pk", "sequence_id"]
 
@@ -17,7 +22,15 @@ FLANK_SETS = [
 ]
 
 
-def slice_pieces(chunks: DataFrame, intervals: DataFrame, chunk_bp: int) -> DataFrame:
+def located_on(chunks: DataFrame | ChunkStore, intervals: DataFrame) -> DataFrame:
+    """The intervals on sequences that have bases."""
+    if isinstance(chunks, ChunkStore):
+        return intervals.join(chunks.sequences.select(*SITE), SITE, "left_semi")
+    # Each sequence has exactly one first chunk.
+    return intervals.join(chunks.where(F.col("chunk_no") == 0).select(*SITE), SITE, "left_semi")
+
+
+def slice_pieces(chunks: DataFrame | ChunkStore, intervals: DataFrame, chunk_bp: int) -> DataFrame:
     """The part of each interval that lies on each chunk, as an equi-join.
 
     ``intervals`` has ``genome_pk, sequence_id, start, end`` (1-based, both
@@ -25,12 +38,18 @@ def slice_pieces(chunks: DataFrame, intervals: DataFrame, chunk_bp: int) -> Data
     meets no chunk. Adds ``chunk_no`` and ``piece``; an interval without bases
     gives no row.
     """
+    bases, wanted, stop = chunks, intervals, F.col("end")
+    if isinstance(chunks, ChunkStore):
+        bases = chunks.bases
+        wanted = intervals.join(chunks.sequences.select(*SITE, F.col("sequence_length").alias("_bp")), SITE)
+        stop = F.least("end", "_bp")
     first = F.floor((F.greatest("start", F.lit(1)) - 1) / chunk_bp).cast("bigint")
-    last = F.floor((F.col("end") - 1) / chunk_bp).cast("bigint")
+    last = F.floor((stop - 1) / chunk_bp).cast("bigint")
     hit = (
-        intervals.where((F.col("end") >= F.col("start")) & (F.col("end") >= 1))
+        wanted.where((stop >= F.col("start")) & (F.col("end") >= 1))
         .withColumn("chunk_no", F.explode(F.sequence(first, last)))
-        .join(chunks.select(*SITE, "chunk_no", "bases"), [*SITE, "chunk_no"])
+        .drop("_bp")
+        .join(bases.select(*SITE, "chunk_no", "bases"), [*SITE, "chunk_no"])
     )
     base = F.col("chunk_no") * chunk_bp
     lo = F.greatest(F.col("start") - base, F.lit(1))
@@ -48,12 +67,7 @@ def join_pieces(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return pieces.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("seq"))
 
 
-def known_sequences(chunks: DataFrame) -> DataFrame:
-    """Sequences that have bases: each has exactly one first chunk."""
-    return chunks.where(F.col("chunk_no") == 0).select(*SITE)
-
-
-def slice_intervals(chunks: DataFrame, intervals: DataFrame, chunk_bp: int, keys: list[str]) -> DataFrame:
+def slice_intervals(chunks: DataFrame | ChunkStore, intervals: DataFrame, chunk_bp: int, keys: list[str]) -> DataFrame:
     """Strand-oriented bases of each interval; ``keys`` identify an interval.
 
     Intervals on unknown sequences are left out; those that lie wholly beyond
@@ -62,7 +76,7 @@ def slice_intervals(chunks: DataFrame, intervals: DataFrame, chunk_bp: int, keys
     given = [*keys, *SITE, "strand", "start", "end"]
     pieces = slice_pieces(chunks, intervals.select(*given), chunk_bp)
     glued = join_pieces(pieces, keys, ["chunk_no"])
-    located = intervals.select(*given).join(known_sequences(chunks), SITE, "left_semi")
+    located = located_on(chunks, intervals.select(*given))
     return located.join(glued, keys, "left").withColumn(
         "seq", orient(F.coalesce("seq", F.lit("")), F.col("strand"))
     )
@@ -76,7 +90,7 @@ def explode_exons(models: DataFrame) -> DataFrame:
     )
 
 
-def extract_cds(models: DataFrame, chunks: DataFrame, chunk_bp: int) -> DataFrame:
+def extract_cds(models: DataFrame, chunks: DataFrame | ChunkStore, chunk_bp: int) -> DataFrame:
     """Coding sequence of each ``Single`` gene.
 
     Exons are joined from low to high and turned round on the minus strand.
@@ -87,7 +101,7 @@ def extract_cds(models: DataFrame, chunks: DataFrame, chunk_bp: int) -> DataFram
     chosen = models.where(F.col("status") == "Single")
     if "valid" in models.columns:
         chosen = chosen.where("valid")
-    located = chosen.join(known_sequences(chunks), SITE, "left_semi")
+    located = located_on(chunks, chosen)
     pieces = slice_pieces(chunks, explode_exons(located).select(*key, *SITE, "exon_no", "start", "end"), chunk_bp)
     glued = join_pieces(pieces, key, ["exon_no", "chunk_no"])
     return (
@@ -124,10 +138,13 @@ def infer_introns(models: DataFrame) -> DataFrame:
     )
 
 
-def _count_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Base counts per interval by adding up its pieces; no text is joined."""
-    counted = with_base_counts(pieces.select(*keys, "piece"), F.col("piece"))
-    return counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ADDITIVE_COUNTS])
+def _measured(chunks: DataFrame | ChunkStore, located: DataFrame, chunk_bp: int, keys: list[str], text: bool) -> DataFrame:
+    """Base counts per interval by adding up its pieces, and with ``text`` its bases, from one join with the chunks."""
+    pieces = slice_pieces(chunks, located.select(*keys, *SITE, "start", "end"), chunk_bp)
+    counted = with_base_counts(pieces.select(*keys, "chunk_no", "piece"), F.col("piece"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "piece")))
+    glued = [F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("seq")] if text else []
+    return counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ADDITIVE_COUNTS], *glued)
 
 
 def _swap_on_minus(df: DataFrame) -> DataFrame:
@@ -141,29 +158,26 @@ def _swap_on_minus(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def intron_counts(introns: DataFrame, chunks: DataFrame, chunk_bp: int, empty_gc: float | None = None) -> DataFrame:
-    """Base counts and GC of each intron without building its text.
+def intron_counts(introns: DataFrame, chunks: DataFrame | ChunkStore, chunk_bp: int, empty_gc: float | None = None, text: bool = False) -> DataFrame:
+    """Base counts and GC of each intron, without building its text unless ``text`` asks for ``seq``.
 
     ``empty_gc`` is the GC of an intron without callable bases. Introns on
     unknown sequences are left out.
     """
     key = ["genome_pk", "intron_id"]
-    located = introns.join(known_sequences(chunks), SITE, "left_semi")
-    pieces = slice_pieces(chunks, located.select(*key, *SITE, "start", "end"), chunk_bp)
-    counted = located.join(_count_pieces(pieces, key), key, "left").fillna(0, ADDITIVE_COUNTS)
+    located = located_on(chunks, introns)
+    counted = located.join(_measured(chunks, located, chunk_bp, key, text), key, "left").fillna(0, ADDITIVE_COUNTS)
     acgt = F.col("a_count") + F.col("c_count") + F.col("g_count") + F.col("t_count")
     gc = gc_fraction(F.col("g_count") + F.col("c_count"), acgt)
-    return _swap_on_minus(
+    out = _swap_on_minus(
         counted.withColumn("total_valid_bases", acgt).withColumn("gc", F.coalesce(gc, F.lit(empty_gc).cast("double")))
     ).drop("gap_bp", "total_bp")
+    return out.withColumn("seq", orient(F.coalesce("seq", F.lit("")), F.col("strand"))) if text else out
 
 
-def extract_introns(introns: DataFrame, chunks: DataFrame, chunk_bp: int) -> DataFrame:
+def extract_introns(introns: DataFrame, chunks: DataFrame | ChunkStore, chunk_bp: int) -> DataFrame:
     """Introns with sequence, counts and GC (0 without callable bases)."""
-    key = ["genome_pk", "intron_id"]
-    counted = intron_counts(introns, chunks, chunk_bp, empty_gc=0.0)
-    texts = slice_intervals(chunks, introns, chunk_bp, key).select(*key, "seq")
-    return counted.join(texts, key)
+    return intron_counts(introns, chunks, chunk_bp, empty_gc=0.0, text=True)
 
 
 def flank_intervals(models: DataFrame) -> DataFrame:
@@ -202,13 +216,13 @@ def flank_intervals(models: DataFrame) -> DataFrame:
     )
 
 
-def extract_flanks(models: DataFrame, chunks: DataFrame, chunk_bp: int) -> DataFrame:
+def extract_flanks(models: DataFrame, chunks: DataFrame | ChunkStore, chunk_bp: int) -> DataFrame:
     """GC over both flanks and of each; length is the callable bases.
 
     Strands need no text here: GC is the same on both.
     """
     key = ["genome_pk", "gene", "flank_set_pk"]
-    located = flank_intervals(models).join(known_sequences(chunks), SITE, "left_semi")
+    located = located_on(chunks, flank_intervals(models))
     sides = located.select(
         *key,
         *SITE[1:],
@@ -237,7 +251,7 @@ def extract_flanks(models: DataFrame, chunks: DataFrame, chunk_bp: int) -> DataF
     return located.join(summed, key, "left").fillna(0, ["length"])
 
 
-def validate_introns(reported: DataFrame, chunks: DataFrame, chunk_bp: int, boundary: int = 0) -> DataFrame:
+def validate_introns(reported: DataFrame, chunks: DataFrame | ChunkStore, chunk_bp: int, boundary: int = 0) -> DataFrame:
     """Cut each reported intron again and compare length and bases.
 
     ``reported`` has ``genome_pk, intron_id, sequence_id, strand, start, end,

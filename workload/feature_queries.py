@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from baseloom.functions import kernels as K
@@ -11,7 +13,7 @@ from baseloom.operators import intervals as IV
 from baseloom.operators.ranking import assign_pk
 from baseloom.session import stored
 from workload import inputs as I
-from workload.registry import query, rounded
+from workload.registry import ORACLES, query, rounded
 
 C = I.SLICE_BP
 REVCOMP = f"reverse(translate({{0}}, '{K.IUPAC}', '{K.IUPAC_COMPLEMENT}'))"
@@ -144,8 +146,8 @@ _SLICED = f"""{I.DNA_SQL}, {I.MODELS_SQL}"""
   FROM (SELECT gene, genome_pk, strand, substring(bases, "start", "end" - "start" + 1) AS s
     FROM models JOIN dna USING (doc_id) WHERE bases <> '')""",
 )
-def slice_intervals(spark, d):
-    return IV.slice_intervals(I.chunks(spark, d, C), I.models(spark, d), C, ["genome_pk", "gene"]).select(
+def slice_intervals(spark, d, models=I.models):
+    return IV.slice_intervals(I.chunk_store(spark, d, C), models(spark, d), C, ["genome_pk", "gene"]).select(
         "gene", "genome_pk", "seq"
     )
 
@@ -159,8 +161,8 @@ CDS_OF_GENES = f"""gene_cds AS (SELECT genome_pk, gene, sequence_id, strand,
 
 
 @query("j10_extract_cds", f"WITH {_SLICED}, {CDS_OF_GENES} SELECT * FROM gene_cds")
-def extract_cds(spark, d):
-    return IV.extract_cds(I.models(spark, d), I.chunks(spark, d, C), C)
+def extract_cds(spark, d, models=I.models):
+    return IV.extract_cds(models(spark, d), I.chunk_store(spark, d, C), C)
 
 
 INTRONS_SQL = """introns AS (SELECT genome_pk, gene, sequence_id, doc_id, status, strand, s AS "start", e AS "end", e - s + 1 AS length,
@@ -174,8 +176,8 @@ INTRONS_SQL = """introns AS (SELECT genome_pk, gene, sequence_id, doc_id, status
     "w05_infer_introns",
     f"""WITH {I.MODELS_SQL}, {INTRONS_SQL} SELECT gene, intron_id, intron_no, strand, "start", "end", length FROM introns""",
 )
-def infer_introns(spark, d):
-    return IV.infer_introns(I.models(spark, d)).select("gene", "intron_id", "intron_no", "strand", "start", "end", "length")
+def infer_introns(spark, d, models=I.models):
+    return IV.infer_introns(models(spark, d)).select("gene", "intron_id", "intron_no", "strand", "start", "end", "length")
 
 
 INTRON_SEQ = f"""intron_seq AS (SELECT i.*, CASE WHEN strand = '-' THEN {REVCOMP.format('p')} ELSE p END AS seq
@@ -191,9 +193,9 @@ INTRON_SEQ = f"""intron_seq AS (SELECT i.*, CASE WHEN strand = '-' THEN {REVCOMP
   length(seq) - length(replace(seq, 'N', '')) AS n_count, length(seq) - length(translate(seq, 'ACGT', '')) AS total_valid_bases,
   round(coalesce({gc_sql('seq')}, 0), 6) AS gc FROM intron_seq WHERE status = 'Single'""",
 )
-def extract_introns(spark, d):
-    introns = IV.infer_introns(I.models(spark, d).where("status = 'Single'"))
-    out = IV.extract_introns(introns, I.chunks(spark, d, C), C)
+def extract_introns(spark, d, models=I.models):
+    introns = IV.infer_introns(models(spark, d).where("status = 'Single'"))
+    out = IV.extract_introns(introns, I.chunk_store(spark, d, C), C)
     return rounded(out.drop("sequence_id", "gene", "status", "strand", "intron_no"))
 
 
@@ -214,16 +216,16 @@ FLANKS_SQL = f"""flank_at AS (SELECT m.*, k AS flank_set_pk, bases,
     f"""WITH {_SLICED}, {FLANKS_SQL} SELECT genome_pk, gene, flank_set_pk, up_start, up_end, down_start, down_end,
   round(gc, 6) AS gc, length, round(upstream_gc, 6) AS upstream_gc, round(downstream_gc, 6) AS downstream_gc FROM flanks""",
 )
-def extract_flanks(spark, d):
-    out = IV.extract_flanks(I.models(spark, d), I.chunks(spark, d, C), C)
+def extract_flanks(spark, d, models=I.models):
+    out = IV.extract_flanks(models(spark, d), I.chunk_store(spark, d, C), C)
     return rounded(out.drop("sequence_id", "status", "strand", "start", "end"))
 
 
-def reported_introns(spark, d):
+def reported_introns(spark, d, models=I.models):
     """Introns as a file may report them: some with a wrong length or base."""
-    introns = IV.infer_introns(I.models(spark, d))
+    introns = IV.infer_introns(models(spark, d))
     key = ["genome_pk", "intron_id"]
-    texts = IV.slice_intervals(I.chunks(spark, d, C), introns, C, key).select(*key, "seq")
+    texts = IV.slice_intervals(I.chunk_store(spark, d, C), introns, C, key).select(*key, "seq")
     return stored(
         introns.join(texts, key)
         .withColumn("length", F.when(F.col("start") % 10 == 0, F.col("length") + 1).otherwise(F.col("length")))
@@ -245,8 +247,8 @@ REPORTED = f"""checked AS (SELECT genome_pk, intron_id, "start", "end", strand,
   substring(bases, greatest(1, "start" - 5), "start" + 4 - greatest(1, "start" - 5) + 1) AS left_boundary_sequence,
   substring(bases, greatest(1, "end" - 4), "end" + 5 - greatest(1, "end" - 4) + 1) AS right_boundary_sequence FROM checked""",
 )
-def validate_introns(spark, d):
-    return IV.validate_introns(reported_introns(spark, d), I.chunks(spark, d, C), C, boundary=5)
+def validate_introns(spark, d, models=I.models):
+    return IV.validate_introns(reported_introns(spark, d, models), I.chunk_store(spark, d, C), C, boundary=5)
 
 
 @query(
@@ -255,14 +257,14 @@ def validate_introns(spark, d):
   count(*) FILTER (got = want) AS n_sequence_match, count(*) FILTER (reported_length = expected_length) AS n_length_math_ok,
   count(*) FILTER (length(got) = expected_length) AS n_sequence_length_match, count(*) FILTER (got <> want) AS n_mismatch FROM checked""",
 )
-def validation_summary(spark, d):
-    return IV.validation_summary(IV.validate_introns(reported_introns(spark, d), I.chunks(spark, d, C), C))
+def validation_summary(spark, d, models=I.models):
+    return IV.validation_summary(IV.validate_introns(reported_introns(spark, d, models), I.chunk_store(spark, d, C), C))
 
 
-def orthologs(spark, d):
+def orthologs(spark, d, models_of=I.models):
     """Quality, sequences and models of all genes; some genes lack one of them."""
-    models = I.models(spark, d)
-    cds = IV.extract_cds(models, I.chunks(spark, d, C), C)
+    models = models_of(spark, d)
+    cds = IV.extract_cds(models, I.chunk_store(spark, d, C), C)
     number = F.substring("gene", 2, 20).cast("bigint")
     quality = FT.cds_quality(cds.where(number % 9 != 4)).where("passes_raw_cds_qc IS NOT NULL")
     return stored(FT.assemble_orthologs(quality, cds.where(number % 9 != 5), models.where(number % 9 != 6)))
@@ -283,8 +285,8 @@ ORTHOLOGS_SQL = f"""{_SLICED}, {CDS_OF_GENES}, raw AS (SELECT genome_pk, gene, s
     "j03_assemble_orthologs",
     f"""WITH {ORTHOLOGS_SQL} SELECT * REPLACE (round(gc, 6) AS gc, round(gc3, 6) AS gc3, round(gc4, 6) AS gc4) FROM orthologs""",
 )
-def assemble_orthologs(spark, d):
-    return rounded(orthologs(spark, d))
+def assemble_orthologs(spark, d, models=I.models):
+    return rounded(orthologs(spark, d, models))
 
 
 @query(
@@ -327,8 +329,8 @@ for _m in ("gc", "gc3", "gc4"):
   round(avg(length), 6) AS mean_ortholog_length, median(length) AS median_ortholog_length, {_select_stats(_ORTHO_STATS)}
   FROM orthologs WHERE passes_raw_cds_qc AND seq_ok AND status = 'Single' GROUP BY genome_pk""".replace("seq_ok", "length IS NOT NULL"),
 )
-def ortholog_summary(spark, d):
-    return rounded(FT.ortholog_summary(orthologs(spark, d)))
+def ortholog_summary(spark, d, models=I.models):
+    return rounded(FT.ortholog_summary(orthologs(spark, d, models)))
 
 
 _FEATURE_STATS = _select_stats(_stats_sql("gc", "gc", "length"))
@@ -345,9 +347,9 @@ _FEATURE_STATS = _select_stats(_stats_sql("gc", "gc", "length"))
     sum(length)::BIGINT AS callable_bp_total, round(avg(length), 6) AS mean_intron_length,
     median(length) AS median_intron_length, {_FEATURE_STATS} FROM rows GROUP BY genome_pk) s ON s.genome_pk = g.genome_pk""",
 )
-def intron_summary(spark, d):
-    introns = IV.infer_introns(I.models(spark, d).where("status = 'Single'"))
-    counted = stored(IV.intron_counts(introns, I.chunks(spark, d, C), C))
+def intron_summary(spark, d, models=I.models):
+    introns = IV.infer_introns(models(spark, d).where("status = 'Single'"))
+    counted = stored(IV.intron_counts(introns, I.chunk_store(spark, d, C), C))
     return rounded(FT.intron_summary(counted, I.genomes(spark, d)))
 
 
@@ -363,11 +365,30 @@ def intron_summary(spark, d):
     round(avg(downstream_gc), 6) AS mean_downstream_gc, {_FEATURE_STATS}
     FROM flanks WHERE status = 'Single' GROUP BY genome_pk, flank_set_pk) s ON s.genome_pk = g.genome_pk AND s.flank_set_pk = k""",
 )
-def flank_summary(spark, d):
-    flanks = stored(IV.extract_flanks(I.models(spark, d).where("status = 'Single'"), I.chunks(spark, d, C), C))
+def flank_summary(spark, d, models=I.models):
+    flanks = stored(IV.extract_flanks(models(spark, d).where("status = 'Single'"), I.chunk_store(spark, d, C), C))
     return rounded(FT.flank_summary(flanks, I.genomes(spark, d)))
 
 
+# The same operators on exons that lie over the whole sequence: introns and genes cross many chunks, some reach beyond the end.
+for _name, _near, _function in (
+    ("j09_slice_far", "j09_slice_intervals", slice_intervals),
+    ("j10_cds_far", "j10_extract_cds", extract_cds),
+    ("j11_introns_far", "j11_extract_introns", extract_introns),
+    ("j12_flanks_far", "j12_extract_flanks", extract_flanks),
+    ("j13_validate_far", "j13_validate_introns", validate_introns),
+    ("j13_summary_far", "j13_validation_summary", validation_summary),
+    ("w05_introns_far", "w05_infer_introns", infer_introns),
+    ("j03_orthologs_far", "j03_assemble_orthologs", assemble_orthologs),
+    ("a06_orthologs_far", "a06_ortholog_summary", ortholog_summary),
+    ("a07_introns_far", "a07_intron_summary", intron_summary),
+    ("a08_flanks_far", "a08_flank_summary", flank_summary),
+):
+    _sql = ORACLES[_near].replace(I.EXONS_SQL, I.FAR_EXONS_SQL)
+    _sql = _sql if I.DNA_SQL in _sql else _sql.replace("WITH ", f"WITH {I.DNA_SQL}, ", 1)
+    query(_name, _sql)(partial(_function, models=I.far_models))
+
+
 @query(
     "j23_compare_cds",
     f"""WITH {I.CDS_SQL}, ours AS (SELECT gene, seq FROM cds WHERE piece % 3 <> 1 UNION ALL SELECT 'h_' || gene, seq FROM cds WHERE piece % 6 = 1),

@@ -77,6 +77,19 @@ def chunks(spark, d, chunk_bp: int = CHUNK_BP) -> DataFrame:
     return chunk_sequences(seqs(spark, d), chunk_bp)
 
 
+_STORES: dict[tuple, object] = {}
+
+
+def chunk_store(spark, d, chunk_bp: int = SLICE_BP):
+    """The chunks as a store, written once per session and folder: slicing queries share it."""
+    from baseloom.sources.chunk_store import is_whole, write_chunk_store
+
+    key = (spark.sparkContext.applicationId, d, chunk_bp)
+    if key not in _STORES or not is_whole(spark, _STORES[key]):
+        _STORES[key] = write_chunk_store(chunks(spark, d, chunk_bp))
+    return _STORES[key]
+
+
 def genomes(spark, d) -> DataFrame:
     """Genomes that occur, and one without sequences."""
     found = seqs(spark, d).select("genome_pk").distinct()
@@ -140,11 +153,39 @@ EXONS_SQL = """exons AS (SELECT gene_no, exon_no, min(s) AS "start", max(e) AS "
   GROUP BY gene_no, exon_no)"""
 
 
-def models(spark, d) -> DataFrame:
+def far_exons(spark, d) -> DataFrame:
+    """Exons over the whole sequence: a gene begins anywhere in its first quarter, its exons lie tenths of the length apart."""
+    at = dna(spark, d).select("doc_id", F.length("bases").cast("bigint").alias("n"))
+    near = (
+        table(spark, d, "lineitem")
+        .select(F.col("l_orderkey").alias("gene_no"), F.col("l_linenumber").cast("bigint").alias("exon_no"), "l_suppkey", "l_quantity")
+        .withColumn("doc_id", F.col("gene_no") % table(spark, d, "documents").agg(F.count(F.lit(1))).scalar())
+    )
+    start = (F.col("gene_no") * 7919) % F.expr("n DIV 4 + 1") + F.col("exon_no") * F.expr("60 + n DIV 10") + F.col("l_suppkey") % 20
+    return (
+        near.join(at, "doc_id")
+        .select("gene_no", "exon_no", "doc_id", start.alias("start"), (start + F.floor("l_quantity") % 50).cast("bigint").alias("end"))
+        .groupBy("gene_no", "exon_no", "doc_id")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    )
+
+
+FAR_EXONS_SQL = """exons AS (SELECT gene_no, exon_no, min(s) AS "start", max(s + q) AS "end", doc_id
+  FROM (SELECT l_orderkey AS gene_no, CAST(l_linenumber AS BIGINT) AS exon_no, doc_id, CAST(floor(l_quantity) AS BIGINT) % 50 AS q,
+    l_orderkey * 7919 % (n // 4 + 1) + l_linenumber * (60 + n // 10) + l_suppkey % 20 AS s
+    FROM lineitem JOIN (SELECT doc_id, CAST(length(bases) AS BIGINT) AS n FROM dna) ON doc_id = l_orderkey % (SELECT count(*) FROM documents))
+  GROUP BY gene_no, exon_no, doc_id)"""
+
+
+def far_models(spark, d) -> DataFrame:
+    return models(spark, d, far_exons)
+
+
+def models(spark, d, exons_of=exons) -> DataFrame:
     """Gene models with their exons; some are duplicated or fragmented."""
     number = F.col("gene_no")
     return (
-        exons(spark, d)
+        exons_of(spark, d)
         .groupBy("gene_no", "doc_id")
         .agg(
             F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"),
