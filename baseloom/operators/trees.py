@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baseloom.functions.names import is_internal, is_tip
+from baseloom.functions.names import is_internal
+from baseloom.operators.tree_labels import interval_labels, tip_signatures, tips_below
 from baseloom.session import cut_lineage
 
 
@@ -36,29 +37,14 @@ def ancestor_pairs(edges: DataFrame) -> DataFrame:
 
 
 def descendant_tips(edges: DataFrame) -> DataFrame:
-    """Each internal node (and the root) with its tips, one row per pair."""
-    return ancestor_pairs(edges).where(is_tip(F.col("node"))).select(
-        F.col("ancestor").alias("node"), F.col("node").alias("tip")
-    )
-
-
-def tip_signatures(tips: DataFrame) -> DataFrame:
-    """Per node the number of tips and an order-free signature of the tip set.
-
-    Two 64-bit hash sums and the count stand for the set, so no tip list is
-    built, however many tips a node has.
-    """
-    return tips.distinct().groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_tips"),
-        F.sum(F.xxhash64("tip").cast("decimal(20,0)")).cast("string").alias("_h1"),
-        F.sum(F.xxhash64(F.reverse("tip"), F.lit(7)).cast("decimal(20,0)")).cast("string").alias("_h2"),
-    ).select("node", "n_tips", F.concat_ws(":", "n_tips", "_h1", "_h2").alias("signature"))
+    """Each internal node (and the root) with its tips, one row per pair, by ranges of interval labels."""
+    return tips_below(interval_labels(edges))
 
 
 def match_nodes(edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
-    """Nodes of two trees that have the same descendant tips."""
-    a = tip_signatures(descendant_tips(edges_a)).withColumnRenamed("node", "node_a")
-    b = tip_signatures(descendant_tips(edges_b)).select(F.col("node").alias("node_b"), "signature")
+    """Nodes of two trees that have the same descendant tips; subtree sums stand for the sets, no pair of node and tip is built."""
+    a = tip_signatures(interval_labels(edges_a)).withColumnRenamed("node", "node_a")
+    b = tip_signatures(interval_labels(edges_b)).select(F.col("node").alias("node_b"), "signature")
     return a.join(b, "signature", "left").drop("signature")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from baseloom.functions.names import coerce_node
 from baseloom.operators import divergence as D
+from baseloom.operators import tree_labels as L
 from baseloom.operators import trees as T
 from baseloom.session import stored
 from workload import inputs as I
@@ -276,7 +277,7 @@ def descendants(spark, d):
     f"""WITH RECURSIVE {_CLOSURE} SELECT ancestor AS node, count(*) AS n_tips FROM anc WHERE {TIP} GROUP BY ancestor""",
 )
 def descendant_tips(spark, d):
-    return T.tip_signatures(T.descendant_tips(I.edges(spark, d))).select("node", "n_tips")
+    return L.tip_signatures(L.interval_labels(I.edges(spark, d))).select("node", "n_tips")
 
 
 @query(
@@ -296,6 +297,44 @@ def match_nodes(spark, d):
     return T.match_nodes(edges, edges.select(renumbered("child"), renumbered("parent")))
 
 
+@query("g01_tip_pairs", f"WITH RECURSIVE {_CLOSURE} SELECT ancestor AS node, node AS tip FROM anc WHERE {TIP}")
+def tip_pairs(spark, d):
+    return T.descendant_tips(I.edges(spark, d))
+
+
+@query(
+    "g01_subtree_sizes",
+    f"""WITH RECURSIVE {_CLOSURE} SELECT n.node, count(anc.node) AS n_below FROM (SELECT child AS node FROM edges UNION SELECT parent FROM edges) n
+  LEFT JOIN anc ON anc.ancestor = n.node GROUP BY n.node""",
+)
+def subtree_sizes(spark, d):
+    return L.interval_labels(I.edges(spark, d)).select("node", F.expr("(leave - enter - 1) DIV 2").alias("n_below"))
+
+
+def comb(spark, d, shift=0):
+    """A tree as deep as there are customers: each inner node has one tip and the next inner node. ``shift`` renumbers nodes and swaps neighbouring tips."""
+    k = F.col("k")
+    rows = I.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    tip = F.when(F.lit(shift == 0), k).when(k % 2 == 0, k + 1).otherwise(k - 1)
+    spine = rows.where("k > 0").select(F.concat(F.lit("node_"), F.col("k") + shift).alias("child"), F.concat(F.lit("node_"), F.col("k") - 1 + shift).alias("parent"))
+    tips = rows.select(F.concat(F.lit("genus_sp"), tip).alias("child"), F.concat(F.lit("node_"), F.col("k") + shift).alias("parent"))
+    return spine.unionByName(tips)
+
+
+@query("g01_comb_tips", "SELECT 'node_' || c_custkey AS node, (SELECT count(*) FROM customer) - c_custkey AS n_tips FROM customer")
+def comb_tips(spark, d):
+    return L.tip_signatures(L.interval_labels(comb(spark, d))).select("node", "n_tips")
+
+
+@query(
+    "j22_match_comb",
+    """SELECT 'node_' || c_custkey AS node_a, (SELECT count(*) FROM customer) - c_custkey AS n_tips,
+  CASE WHEN c_custkey % 2 = 0 THEN 'node_' || (c_custkey + 5000) END AS node_b FROM customer""",
+)
+def match_comb(spark, d):
+    return T.match_nodes(comb(spark, d), comb(spark, d, 5000))
+
+
 _TAXA = """nodes AS (SELECT 1 AS tax_id, 1 AS parent_id, 'no rank' AS rank, 'root' AS name
   UNION ALL SELECT 10 + r_regionkey, 1, CASE r_regionkey % 2 WHEN 0 THEN 'phylum' ELSE 'class' END, r_name FROM region
   UNION ALL SELECT 100 + n_nationkey, 10 + n_regionkey, CASE n_nationkey % 3 WHEN 0 THEN 'order' WHEN 1 THEN 'family' ELSE 'clade' END, n_name FROM nation
