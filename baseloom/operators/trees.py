@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from baseloom.functions.names import is_internal
 from baseloom.operators.tree_labels import interval_labels, tip_signatures, tips_below
-from baseloom.session import cut_lineage
+from baseloom.session import cut_lineage, stored
 
 
 def ancestor_pairs(edges: DataFrame) -> DataFrame:
@@ -48,27 +48,48 @@ def match_nodes(edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
     return a.join(b, "signature", "left").drop("signature")
 
 
-def lineage(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+def lineage(ids: DataFrame, nodes: DataFrame, deepest: int = 200) -> DataFrame:
     """Ranked ancestors per taxon id as columns.
 
     ``nodes`` has ``tax_id, parent_id, rank, name``. The class is reported as
-    ``superorder``, as the catalogue's schema has it.
+    ``superorder``, as the catalogue's schema has it. A recursive query walks
+    from the wanted ids upward, one join per level, so the work is that of
+    their lineages, whatever the size of the taxonomy. A lineage of more than
+    ``deepest`` levels is an error, and so is a cycle.
     """
     # Taxonomic ranks and their catalogue columns.
     ranks = {"phylum": "phylum", "class": "superorder", "order": "order", "family": "family", "genus": "genus", "species": "genus_species"}
-    edges = nodes.where(F.col("tax_id") != F.col("parent_id")).select(
-        F.col("tax_id").alias("child"), F.col("parent_id").alias("parent")
-    )
-    ranked = nodes.where(F.col("rank").isin(list(ranks))).select(F.col("tax_id").alias("ancestor"), "rank", "name")
-    above = ancestor_pairs(edges).select(F.col("node").alias("tax_id"), "ancestor")
-    self_pairs = nodes.select("tax_id", F.col("tax_id").alias("ancestor"))
-    wanted = ids.select("tax_id").distinct()
-    lines = above.unionByName(self_pairs).join(wanted, "tax_id", "left_semi").join(ranked, "ancestor")
+    wanted = ids.select("tax_id").where("tax_id IS NOT NULL").distinct()
+    links = nodes.where("tax_id <> parent_id").select(F.col("tax_id").alias("child"), F.col("parent_id").alias("parent"))
+    above = _walk_up(wanted, links, deepest)
+    ranked = nodes.where(F.col("rank").isin(list(ranks))).select(F.col("tax_id").alias("at"), "rank", "name")
     columns = [F.max(F.when(F.col("rank") == r, F.col("name"))).alias(c) for r, c in ranks.items()]
-    named = lines.groupBy("tax_id").agg(*columns)
+    named = above.join(ranked, "at").groupBy("tax_id").agg(*columns)
     return ids.join(named, "tax_id", "left").fillna("", list(ranks.values()))
 
 
+def _walk_up(wanted: DataFrame, links: DataFrame, deepest: int) -> DataFrame:
+    """(tax_id, at): each wanted id with itself and all its ancestors."""
+    spark = wanted.sparkSession
+    # The rows are as many as the lineages have levels; Spark's own limit of rows would end a large request.
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        return stored(
+            spark.sql(
+                f"""WITH RECURSIVE up(tax_id, at) MAX RECURSION LEVEL {int(deepest)} AS (
+                  SELECT tax_id, tax_id FROM {{wanted}} UNION ALL
+                  SELECT up.tax_id, l.parent FROM up JOIN {{links}} l ON l.child = up.at)
+                SELECT tax_id, at FROM up""",
+                wanted=wanted,
+                links=links,
+            )
+        )
+    finally:
+        spark.conf.set(limit, before)
+
+
 def strip_support(newick: Column) -> Column:
     """Drop numeric labels right after a closing bracket."""
     return F.regexp_replace(newick, r"\)(\d+(\.\d+)?([eE][-+]?\d+)?)(?=[:),;])", ")")

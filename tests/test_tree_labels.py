@@ -92,3 +92,25 @@ def test_comb_and_star(spark):
     assert matched.count() == n and wrong.count() == 0
     star = spark.range(2 * n).select(F.concat(F.lit("genus_"), "id").alias("child"), F.lit("ancestral").alias("parent"))
     assert [tuple(r)[:2] for r in L.tip_signatures(L.interval_labels(star)).collect()] == [("ancestral", 2 * n)]
+
+
+NODES = [(1, 1, "no rank", "root"), (2, 1, "phylum", "P"), (3, 2, "class", "C"), (4, 3, "clade", "K"), (5, 4, "genus", "G"), (6, 5, "species", "S"), (7, 2, "order", "O")]
+
+
+def test_lineage_walks_up_from_the_ids(spark):
+    far = [(100 + i, 100 + i - 1 if i else 1, "clade", f"c{i}") for i in range(150)]
+    nodes = spark.createDataFrame(NODES + far + [(300, 249, "species", "deep")], "tax_id long, parent_id long, rank string, name string")
+    ids = spark.createDataFrame([(6, "a"), (6, "b"), (7, "c"), (1, "d"), (99, "e"), (300, "f"), (None, "g")], "tax_id long, note string")
+    got = {r.note: (r.phylum, r.superorder, r.order, r.genus, r.genus_species) for r in T.lineage(ids, nodes).collect()}
+    assert got == {
+        "a": ("P", "C", "", "G", "S"), "b": ("P", "C", "", "G", "S"), "c": ("P", "", "O", "", ""),
+        "d": ("",) * 5, "e": ("",) * 5, "f": ("", "", "", "", "deep"), "g": ("",) * 5,
+    }
+    with pytest.raises(Exception, match="(?i)recursion"):
+        T.lineage(ids, nodes, deepest=20).collect()
+
+
+def test_lineage_of_a_cycle_is_an_error(spark):
+    nodes = spark.createDataFrame([(1, 2, "x", "x"), (2, 1, "x", "x")], "tax_id long, parent_id long, rank string, name string")
+    with pytest.raises(Exception, match="(?i)recursion"):
+        T.lineage(spark.createDataFrame([(1,)], "tax_id long"), nodes, deepest=30).collect()
