@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -252,3 +253,49 @@ def kept_thirds(seq: pa.Array, kept: pa.Array) -> pa.Array:
     third = data[at + 2]
     columns = [np.bincount(row[use & (third == ord(c))], minlength=len(many)).astype(np.int64) for c in "GCATN"]
     return pa.StructArray.from_arrays([pa.array(c) for c in columns], THIRD_FIELDS)
+
+
+# Amino acids of the standard code, codons in T, C, A, G order.
+STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+_TCAG = np.full(256, 4, np.uint8)
+for _i, _c in enumerate("TCAG"):
+    _TCAG[[ord(_c), ord(_c.lower())]] = _i
+# One byte per codon of T, C, A, G or something else: 125 of them, X where a base is something else.
+_AMINO = np.full((5, 5, 5), ord("X"), np.uint8)
+_AMINO[:4, :4, :4] = np.frombuffer(STANDARD_CODE.encode(), np.uint8).reshape(4, 4, 4)
+_AMINO = _AMINO.ravel()
+
+
+@F.arrow_udf(StringType())
+def translate(seq: pa.Array) -> pa.Array:
+    """Amino acids of the whole codons, one byte a base; NULL stays NULL."""
+    data, rows = _text_buffer(seq.fill_null(""))
+    many = np.diff(rows) // 3
+    ends = np.concatenate([[0], np.cumsum(many)])
+    out = np.empty(ends[-1], np.uint8)
+    for begin, end in _slabs(rows):
+        n = many[begin:end]
+        first = np.repeat(rows[begin:end] - 3 * (ends[begin:end] - ends[begin]), n) + 3 * np.arange(n.sum())
+        codon = (_TCAG[data[first]].astype(np.int16) * 5 + _TCAG[data[first + 1]]) * 5 + _TCAG[data[first + 2]]
+        out[ends[begin] : ends[end]] = _AMINO[codon]
+    texts = pa.LargeStringArray.from_buffers(len(seq), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+    return pa.compute.if_else(seq.is_valid(), texts, None)
+
+
+@F.arrow_udf(LongType())
+def mismatches(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Places at which two texts of equal length differ, one byte a base; NULL for a NULL or unequal lengths."""
+    (x, rows_x), (y, rows_y) = _text_buffer(a.fill_null("")), _text_buffer(b.fill_null(""))
+    size = np.diff(rows_x)
+    known = a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False) & (size == np.diff(rows_y))
+    out = np.zeros(len(a), np.int64)
+    size = np.where(known, size, 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for begin, end in _slabs(ends):
+        n = size[begin:end]
+        place = np.arange(n.sum()) - np.repeat(ends[begin:end] - ends[begin], n)
+        differ = x[np.repeat(rows_x[begin:end], n) + place] != y[np.repeat(rows_y[begin:end], n) + place]
+        total = np.concatenate([[0], np.cumsum(differ)])
+        local = ends[begin : end + 1] - ends[begin]
+        out[begin:end] = total[local[1:]] - total[local[:-1]]
+    return pa.array(out, mask=~known)

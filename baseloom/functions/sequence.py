@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from baseloom.functions.kernels import base_counts, reverse_complement
-
-# Amino acids of the standard code, codons in T, C, A, G order.
-STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-
+from baseloom.functions.kernels import STANDARD_CODE, base_counts, reverse_complement, translate  # noqa: F401
 
 def count_char(seq: Column, char: str) -> Column:
     """Occurrences of one character."""
@@ -33,19 +27,9 @@ def gc_fraction(gc: Column, callable_bp: Column) -> Column:
     return F.when(callable_bp > 0, gc / callable_bp)
 
 
-def translate_codons(codon_array: Column) -> Column:
-    """Amino acids by the standard code; unknown codons give X."""
-    pairs = []
-    for codon, amino in zip(product("TCAG", repeat=3), STANDARD_CODE):
-        pairs += [F.lit("".join(codon)), F.lit(amino)]
-    table = F.create_map(*pairs)
-    return F.array_join(
-        F.transform(codon_array, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), ""
-    )
-
-
 def translate_dna(seq: Column) -> Column:
-    return translate_codons(codons(F.upper(seq)))
+    """Amino acids by the standard code; unknown codons give X."""
+    return translate(seq)
 
 
 def with_base_counts(df, seq: Column):

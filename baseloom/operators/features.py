@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baseloom.functions import sequence as S
-from baseloom.functions.kernels import cds_counts
+from baseloom.functions.kernels import cds_counts, mismatches
 from baseloom.operators.stats import distribution, widen
 
 
@@ -198,13 +198,7 @@ def compare_cds(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     other = F.coalesce("_by_key", "_by_header")
     out = joined.withColumn("_o", other)
     same = F.length("seq") == F.length("_o")
-    differing = F.size(
-        F.filter(
-            F.zip_with(F.split("seq", ""), F.split("_o", ""), lambda a, b: a != b),
-            lambda x: x,
-        )
-    )
-    mism = F.when(same, differing.cast("bigint"))
+    mism = mismatches(F.col("seq"), F.col("_o"))
     return out.select(
         "gene",
         "header",

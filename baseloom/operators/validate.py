@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,57 @@ def validate_headers(tables: dict[str, DataFrame], expected: dict[str, list[str]
     return problems
 
 
+def _filled(name: str, df: DataFrame) -> DataFrame:
+    """One row per column: its place and how many rows have a value, from one pass over the table."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    each = [F.struct(F.lit(c).alias("column_name"), F.lit(i + 1).alias("found_at"), F.col(f"c{i}").alias("n_filled")) for i, c in enumerate(df.columns)]
+    return counts.select(F.lit(name).alias("table_name"), F.inline(F.array(*each)))
+
+
+def header_report(spark: SparkSession, tables: dict[str, DataFrame], expected: dict[str, list[str]]) -> DataFrame:
+    """Headers against expected ones as rows: table_name, column_name, expected_at, found_at, problem, n_filled.
+
+    ``problem`` is ``ok``, ``other place``, ``missing``, ``extra``, ``empty`` (no row has a value) or ``missing table``.
+    Tables without an expectation are left out.
+    """
+    wanted = [(t, c, i + 1) for t, columns in expected.items() for i, c in enumerate(columns)]
+    wanted = spark.createDataFrame(wanted, "table_name string, column_name string, expected_at int")
+    known = [(t,) for t in expected if t in tables]
+    found = spark.createDataFrame([], "table_name string, column_name string, found_at int, n_filled bigint")
+    for (name,) in known:
+        found = found.unionByName(_filled(name, tables[name]))
+    present = F.col("table_name").isin([t for (t,) in known]) if known else F.lit(False)
+    problem = (
+        F.when(~present, "missing table")
+        .when(F.col("found_at").isNull(), "missing")
+        .when(F.col("expected_at").isNull(), "extra")
+        .when(F.col("found_at") != F.col("expected_at"), "other place")
+        .when(F.col("n_filled") == 0, "empty")
+        .otherwise("ok")
+    )
+    joined = wanted.join(found, ["table_name", "column_name"], "full")
+    return joined.select("table_name", "column_name", "expected_at", "found_at", problem.alias("problem"), "n_filled")
+
+
+def missing_parts(spark: SparkSession, tables: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
+    """Required tables and columns that are absent or hold nothing, with a message each."""
+    report = header_report(spark, tables, required).where(F.col("problem").isin("missing", "missing table", "empty"))
+    text = F.when(F.col("problem") == "missing table", F.concat(F.lit("no table "), "table_name")).otherwise(
+        F.concat("table_name", F.lit(": column "), "column_name", F.lit(" is "), "problem")
+    )
+    return report.select("table_name", F.when(F.col("problem") != "missing table", F.col("column_name")).alias("column_name"), "problem", text.alias("message")).distinct()
+
+
+def column_report(spark: SparkSession, tables: dict[str, DataFrame], wanted: dict[str, list[str]]) -> DataFrame:
+    """What ``pick_column`` finds in each table for each wanted name, with the values there: table_name, wanted, chosen, n_filled."""
+    chosen = [(t, w, pick_column(df, names, required=False)) for t, df in tables.items() for w, names in wanted.items()]
+    rows = spark.createDataFrame(chosen, "table_name string, wanted string, column_name string")
+    found = spark.createDataFrame([], "table_name string, column_name string, found_at int, n_filled bigint")
+    for name in {t for t, _, c in chosen if c is not None}:
+        found = found.unionByName(_filled(name, tables[name].select(*{f"`{c}`" for t, _, c in chosen if t == name and c is not None})))
+    return rows.join(found.drop("found_at"), ["table_name", "column_name"], "left").withColumnRenamed("column_name", "chosen")
+
+
 def require(present: list[str], wanted: list[str], what: str = "table") -> None:
     """Stop with the names of all that is missing."""
     missing = [w for w in wanted if w not in present]

@@ -3,6 +3,7 @@
 from workload import (  # noqa: F401
     alignment_queries,
     catalog_queries,
+    check_queries,
     divergence_queries,
     feature_queries,
     source_queries,

@@ -480,7 +480,19 @@ def ols(spark, d):
     return rounded(ST.ols_by(_numbers(spark, d), ["l_suppkey"], "q", "t").select("l_suppkey", "intercept", "slope", "r_squared", "n"))
 
 
-@query("a29_ols_p_value")
+# Two-sided tail of Student's t for a slope by the finite series for whole degrees of freedom; with r2 = t^2 / (n - 2 + t^2)
+# the angle of the series has r2 as its squared sine.
+T_TAIL = """CASE WHEN n > 2 AND r2 < 1 THEN 1 - CASE WHEN n % 2 = 0
+    THEN sqrt(r2) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)) / sqrt(pi()) * (1 - r2) ** k))
+    ELSE 2 / pi() * (asin(sqrt(r2)) + sqrt(r2 * (1 - r2)) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1.0::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * (1 - r2) ** k)), 0)) END END"""
+
+
+@query(
+    "a29_ols_p_value",
+    f"""WITH {_NUMS}, f AS (SELECT l_suppkey, regr_intercept(t, q) AS intercept, regr_slope(t, q) AS slope, regr_r2(t, q) AS r2, regr_count(t, q)::BIGINT AS n FROM x GROUP BY l_suppkey)
+  SELECT l_suppkey, round(intercept, 6) AS intercept, round(slope, 6) AS slope, round(r2, 6) AS r_squared, n,
+    round(CASE WHEN n > 2 AND r2 < 1 THEN sqrt(r2 * (n - 2) / (1 - r2)) END, 6) AS t_abs, round({T_TAIL}, 6) AS p_value FROM f""",
+)
 def ols_p(spark, d):
     return rounded(ST.ols_by(_numbers(spark, d), ["l_suppkey"], "q", "t"))
 
