@@ -9,8 +9,10 @@ document is read by its block's index: range filters on first and last id, one f
 The dictionary is trained on a sample whose bound is ``SAMPLE`` documents of at most ``SAMPLE_CHARS`` characters each; it only
 affects sizes. All documents are encoded whole.
 
-Defined cases: a null or empty text has the end token alone. Null ids come first, equal ids in the order of their
-texts. An empty table gives an empty store; too few samples give an empty dictionary. Other columns are not read.
+Documents are encoded and compressed where they are read; only ids and frames, a fraction of the texts, are sorted by id.
+
+Defined cases: a null or empty text has the end token alone. Null ids come first, equal ids in the order of their numbers of tokens, then
+of their frames' bytes. An empty table gives an empty store; too few samples give an empty dictionary. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from baseloom.llm.registry import query, table
+from baseloom.llm.registry import query, staged, table
 from baseloom.llm.tokens import END, encoder
 from baseloom.session import scratch_path
 
@@ -82,12 +84,21 @@ def write_store(documents: DataFrame, path: str, tokenizer: str | None = None) -
     shared = spark.createDataFrame([(digest, bytearray(words))], "hash string, data binary")
     shared.write.parquet(f"{path}/dictionary")
 
-    def run(batches):
+    def encode(batches):
         import zstandard
-        from pyspark import TaskContext
 
         given = zstandard.ZstdCompressionDict(words) if words else None
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=given).compress
+        for ids, tokens in _encoded(batches, tokenizer):
+            packed = [_ids(t) for t in tokens]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([len(t) // 4 for t in tokens], pa.int64()), pa.array([w for _, w in packed], pa.int32()), pa.array([compress(x) for x, _ in packed], pa.binary())],
+                names=["doc_id", "n", "width", "frame"],
+            )
+
+    def run(batches):
+        from pyspark import TaskContext
+
         shard, place = TaskContext.get().partitionId(), 0
         keys, offsets, widths, counts, payload, held, at = [], [], [], [], [], 0, 0
 
@@ -97,12 +108,11 @@ def write_store(documents: DataFrame, path: str, tokenizer: str | None = None) -
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
-        for ids, tokens in _encoded(batches, tokenizer):
-            for key, t in zip(ids, tokens):
-                data, width = _ids(t)
-                frame = compress(data)
-                keys.append(key), offsets.append(at), widths.append(width), counts.append(len(t) // 4), payload.append(frame)
-                at, held = at + len(frame), held + len(t) // 4
+        for batch in batches:
+            for key, n, width, frame in zip(*(batch.column(c) for c in range(4))):
+                frame, n = frame.as_py(), n.as_py()
+                keys.append(key.as_py()), offsets.append(at), widths.append(width.as_py()), counts.append(n), payload.append(frame)
+                at, held = at + len(frame), held + n
                 if held >= BLOCK_TOKENS:
                     yield block()
                     place += 1
@@ -110,7 +120,10 @@ def write_store(documents: DataFrame, path: str, tokenizer: str | None = None) -
         if keys:
             yield block()
 
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    frames = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n long, width int, frame binary")
+    # Written once: the range bounds are sampled from it, and the sort reads it again.
+    frames = staged(frames, "frames")
+    ordered = frames.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "frame")
     ordered.mapInArrow(run, _BLOCK).write.parquet(f"{path}/blocks")
 
 
