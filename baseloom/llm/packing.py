@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baseloom.llm.registry import query, table
-from baseloom.llm.tokens import END, encoder
+from baseloom.llm.tokens import CACHED_PIECES, END, encoder
 
 MOST = 1024
 _PART_BITS, _ROW_BITS = 20, 38
@@ -39,8 +39,11 @@ def lengths(n: int, most: int = MOST) -> list[int]:
     return out
 
 
-def pack(documents: DataFrame, most: int = MOST, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the token ids (uint32, little-endian)."""
+def pack(documents: DataFrame, most: int = MOST, tokenizer: str | None = None, with_ids: bool = True, cached: int = CACHED_PIECES) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the token ids (uint32, little-endian).
+
+    ``cached`` bounds the pieces whose ids a worker remembers; it affects time and memory only.
+    """
     if most < 1 or most & (most - 1):
         raise ValueError("the sequence length must be a power of two")
     id_type = documents.schema["doc_id"].dataType.simpleString()
@@ -48,7 +51,7 @@ def pack(documents: DataFrame, most: int = MOST, tokenizer: str | None = None, w
     schema += ", ids binary" if with_ids else ""
 
     def run(batches):
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, cached).encode, TaskContext.get().partitionId()
         if part >> _PART_BITS:
             raise ValueError("too many input partitions for sequence ids")
         count = [0] * most.bit_length()
