@@ -36,7 +36,8 @@ def mixed(spark, docs, sf_dir):
 
 def packed(spark, docs, sf_dir):
     """Token sequences without padding and without mixed documents."""
-    return packing.pack(docs)
+    # Workers stay after the stage; a smaller cache leaves room for the stages of a next run.
+    return packing.pack(docs, cached=1_000_000)
 
 
 STAGES = [
