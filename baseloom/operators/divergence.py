@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baseloom.functions.names import is_tip, normalize_species
-from baseloom.operators.ranking import dedupe_first, limit_per_group
+from baseloom.operators.ranking import assign_pk, dedupe_first, limit_per_group
+from baseloom.session import stored
 
 
 def displacements(node_gc: DataFrame, edges: DataFrame) -> DataFrame:
@@ -29,22 +30,70 @@ def displacements(node_gc: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+# Nodes of a tree are dealt to blocks of this many; what is gathered per ortholog and block is no longer.
+NODE_BLOCK = 1024
+
+
+def missing_counts(node_gc: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per edge the orthologs without a value for the child, and those with one for it but none for the parent.
+
+    Counted by what is there: orthologs less those that have the child, and
+    those that have the child less those that have both. The work is linear in
+    the rows of ``node_gc``; no missing pair is formed.
+    """
+    tree = edges.select("child", "parent").distinct()
+    have = node_gc.select("ortholog", "node").distinct()
+    total = have.agg(F.countDistinct("ortholog")).scalar()
+    child = have.join(tree.withColumnRenamed("child", "node"), "node").select("ortholog", F.col("node").alias("child"), "parent")
+    parent = have.select("ortholog", F.col("node").alias("parent"), F.lit(1).alias("_one"))
+    counted = child.join(parent, ["ortholog", "parent"], "left").groupBy("child", "parent").agg(
+        F.count(F.lit(1)).alias("_child"), F.count("_one").alias("_both")
+    )
+    counts = tree.join(counted, ["child", "parent"], "left").fillna(0, ["_child", "_both"])
+    return counts.select(
+        "child",
+        "parent",
+        (total - F.col("_child")).cast("bigint").alias("n_child_missing"),
+        (F.col("_child") - F.col("_both")).cast("bigint").alias("n_parent_missing"),
+    )
+
+
+def missing_nodes(node_gc: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ortholog, node) for the tree's nodes that an ortholog has no value for.
+
+    Nodes are numbered and dealt to blocks. An ortholog whose count in a block
+    is the block's size is complete there and goes by its count; only the
+    others meet the block's node list, which is bounded. So the work grows with
+    the rows that are there and with what is missing, and with one narrow row
+    per ortholog and block.
+    """
+    tree = edges.select("child", "parent").distinct()
+    names = tree.select(F.col("child").alias("node")).union(tree.select("parent")).where("node IS NOT NULL").distinct()
+    nodes = assign_pk(names, ["node"], "_n", 0).select("node", F.expr(f"_n div {NODE_BLOCK}").alias("_block"))
+    blocks = nodes.groupBy("_block").agg(F.collect_list("node").alias("_all"))
+    last = nodes.agg(F.max("_block")).scalar()
+    present = (
+        node_gc.select("ortholog", "node").distinct().join(nodes, "node")
+        .groupBy("ortholog", "_block").agg(F.collect_list("node").alias("_has"))
+    )
+    every = node_gc.select("ortholog").distinct()
+    every = every.select("ortholog", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
+    has = F.coalesce("_has", F.array().cast("array<string>"))
+    open_blocks = (
+        every.join(present, ["ortholog", "_block"], "left")
+        .join(blocks.select("_block", F.size("_all").alias("_size")), "_block")
+        .where(F.size(has) < F.col("_size"))
+    )
+    return open_blocks.join(blocks, "_block").select("ortholog", F.explode(F.array_except("_all", has)).alias("node"))
+
+
 def missing_pairs(node_gc: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges an ortholog has no value for: the child is missing, else the parent.
 
-    Per ortholog only the absent tree nodes are listed, so the work grows with
-    what is missing and not with orthologs times edges. A node list is no
-    longer than the tree.
+    `missing_counts` sums them up without forming them.
     """
     tree = edges.select("child", "parent").distinct()
-    nodes = tree.select(F.col("child").alias("node")).union(tree.select("parent")).distinct()
-    every = nodes.agg(F.array_sort(F.collect_list("node"))).scalar()
-    present = node_gc.join(nodes, "node", "left_semi").groupBy("ortholog").agg(F.collect_set("node").alias("_has"))
-    orthologs = node_gc.select("ortholog").distinct().join(present, "ortholog", "left")
-    absent = orthologs.select(
-        "ortholog",
-        F.explode(F.array_except(every, F.coalesce("_has", F.array().cast("array<string>")))).alias("node"),
-    )
+    absent = stored(missing_nodes(node_gc, edges))
     no_child = absent.join(tree.withColumnRenamed("child", "node"), "node").select(
         "ortholog", F.col("node").alias("child"), F.lit("CHILD_MISSING").alias("reason")
     )

@@ -12,62 +12,54 @@ def _buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _range_bucket(df: DataFrame, order: list[str], buckets: int) -> Column:
-    """Number of the key range a row falls in.
+def _ranged(df: DataFrame, order: list[str], buckets: int) -> DataFrame:
+    """The rows, written once, sorted inside key ranges, with ``_range`` and the place ``_range_at`` inside it (from 0).
 
-    The range bounds come from a hash-chosen sample of fixed size, as in a
-    global sort, and enter the plan as literals. So every branch of the plan,
-    and every rerun of a lost task, sees the same ranges.
+    The range partitioner deals the rows by the bounds it samples, so the cost
+    of a row does not grow with the number of ranges. Range and place are
+    written with the row: all later steps, and the rerun of a lost task, read
+    the same ranges.
     """
-    key = F.struct(*order)
-    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(20 * buckets)
-    rows = sample.orderBy(*order).collect()
-    step = max(1, len(rows) // buckets)
-    bounds = [rows[i] for i in range(step, len(rows), step)]
-    types = [df.schema[c].dataType for c in order]
-    if not bounds:
-        return F.lit(0)
-    literals = [F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, b, types)]) for b in bounds]
-    return F.size(F.filter(F.array(*literals), lambda b: b <= key))
+    sorted_rows = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+    # The id is the partition's number above 33 bits of the row's place in it.
+    numbered = stored(sorted_rows.withColumn("_range_id", F.monotonically_increasing_id()))
+    return numbered.select(
+        *df.columns, F.shiftright("_range_id", 33).alias("_range"), F.col("_range_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_range_at")
+    )
+
+
+def _offsets(ranged: DataFrame, size: Column) -> DataFrame:
+    """Sum of ``size`` over the ranges before each range: one row per range, so bounded by their number."""
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(size.alias("_total"))
+    return totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_range_offset"))
 
 
 def assign_pk(df: DataFrame, order: list[str], pk: str, start: int = 1, buckets: int | None = None) -> DataFrame:
     """Consecutive numbers in the order of ``order`` (which must be a key).
 
-    Rows are ranked inside key ranges; the ranges' counts (one row per range)
-    give the offsets. No task sees more than its range. Three passes read the
-    rows, so they are written once before.
+    One range shuffle carries the rows; the ranges' counts (one row per range)
+    give the offsets. No task sees more than its range, and no window is
+    needed: a row's place in its range is written with it.
     """
-    buckets = buckets or _buckets(df)
-    df = stored(df)
-    parted = df.withColumn("_range", _range_bucket(df, order, buckets))
-    totals = parted.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranged = _ranged(df, order, buckets or _buckets(df))
     # At most one row per range, so the broadcast is bounded by `buckets`.
     return (
-        parted.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(pk, (F.col("_offset") + F.col("_rank") + (start - 1)).cast("bigint"))
-        .drop("_range", "_rank", "_offset")
+        ranged.join(F.broadcast(_offsets(ranged, F.count(F.lit(1)))), "_range")
+        .withColumn(pk, (F.col("_range_offset") + F.col("_range_at") + start).cast("bigint"))
+        .drop("_range", "_range_at", "_range_offset")
     )
 
 
 def running_total(df: DataFrame, order: list[str], value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Sum of ``value`` over the rows before each row, in the order of ``order``."""
-    buckets = buckets or _buckets(df)
-    df = stored(df)
-    parted = df.withColumn("_range", _range_bucket(df, order, buckets))
-    totals = parted.groupBy("_range").agg(F.sum(value).alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = _ranged(df, order, buckets or _buckets(df))
+    inside = Window.partitionBy("_range").orderBy("_range_at").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        parted.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_range", "_inside", "_offset")
+        ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(F.broadcast(_offsets(ranged, F.sum(value))), "_range")
+        .withColumn(name, F.col("_range_offset") + F.col("_inside"))
+        .drop("_range", "_range_at", "_inside", "_range_offset")
     )
 
 

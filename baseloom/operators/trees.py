@@ -99,24 +99,98 @@ def strip_lengths(newick: Column) -> Column:
     return F.regexp_replace(newick, r":-?\d+(\.\d+)?([eE][-+]?\d+)?", "")
 
 
+@F.udtf(
+    returnType="place int, token string, label boolean, node string, parent string, tip boolean, support string, length string"
+)
+class newick_tokens:
+    """Table function: the tokens of a Newick text, in one pass that is linear in its length.
+
+    Tokens are the marks ``( ) , : ;``, single white space characters and the
+    runs between them. ``label`` marks a run right after ``( , space``. The
+    row of a tip's first run, or of a closing bracket, is a node: it has
+    ``node``, its ``parent``, and the texts of ``support`` and ``length``. The
+    outermost brackets are ``ancestral``; the other internal nodes are numbered
+    in postorder from ``first_id``. Brackets that stay open name no parent; one
+    that closes nothing is an error. A NULL text has no tokens.
+    """
+
+    def eval(self, newick: str, first_id: int):
+        import re
+
+        if newick is None:
+            return
+        rows, last = [], "("
+        # Per open bracket the places of its nodes so far; the lowest level is the text itself.
+        levels, node, part, number = [[]], None, "name", int(first_id or 0)
+        for place, found in enumerate(re.finditer(r"[(),:;\s]|[^(),:;\s]+", newick, re.ASCII)):
+            token = found[0]
+            row = [place, token, False, None, None, None, None, None]
+            rows.append(row)
+            if token == "(":
+                levels.append([])
+                node, part = None, "name"
+            elif token == ")":
+                if len(levels) == 1:
+                    raise ValueError(f"token {place} of a tree closes a bracket that is not open")
+                children, node, part = levels.pop(), row, "support"
+                if len(levels) == 1:
+                    row[3] = "ancestral"
+                else:
+                    row[3], number = f"node_{number}", number + 1
+                row[5] = False
+                for child in children:
+                    child[4] = row[3]
+                levels[-1].append(row)
+            elif token in ",;":
+                node, part = None, "name"
+            elif token == ":":
+                part = "length"
+            elif token.isspace():
+                if part == "name" and node is not None:
+                    node[3] += token
+            else:
+                row[2] = last in "(," or last.isspace()
+                if part == "length" and node is not None:
+                    node[7] = (node[7] or "") + token
+                elif part == "support":
+                    node[6] = (node[6] or "") + token
+                elif part == "name" and node is not None:
+                    node[3] += token
+                elif part == "name":
+                    node = row
+                    row[3], row[5] = token, True
+                    levels[-1].append(row)
+            last = token
+        for row in rows:
+            if row[5]:
+                row[3] = row[3].strip()
+            yield tuple(row)
+
+
+def tree_tokens(trees: DataFrame) -> DataFrame:
+    """Tokens of every tree of a table with ``tree_id, newick`` and, for numbering, ``first_id``.
+
+    In SQL, after ``spark.udtf.register("newick_tokens", newick_tokens)``:
+    ``FROM trees, LATERAL newick_tokens(newick, first_id)``.
+    """
+    first = F.col("first_id") if "first_id" in trees.columns else F.lit(0)
+    own = trees.select("tree_id", "newick", first.cast("int").alias("first_id"))
+    tokens = own.lateralJoin(newick_tokens(F.col("newick").outer(), F.col("first_id").outer()))
+    return tokens.drop("newick", "first_id")
+
+
 def clean_newick(trees: DataFrame, mapping: DataFrame, keep_lengths: bool = False) -> DataFrame:
     """Replace accession labels by species, drop support values and lengths.
 
     ``trees`` has ``tree_id, newick``; ``mapping`` has ``accession, species``.
-    Labels are cut at the Newick delimiters and looked up by an equi-join, so
-    the mapping may be of any size. A label counts between ``( , space`` and
-    ``: ) , ; space``.
+    Labels are looked up by an equi-join, so the mapping may be of any size. A
+    label counts between ``( , space`` and ``: ) , ; space``; a number after
+    ``:`` is no label.
     """
-    marks = r"(?<=[(,\s:);])|(?=[(,\s:);])"
-    # A label starts the part after `( , space`; a number after `:` is no label.
-    before = F.expr("coalesce(get(_all, place - 1), '')")
-    tokens = trees.select("tree_id", F.split("newick", marks).alias("_all")).select(
-        "tree_id", "_all", F.posexplode("_all").alias("place", "token")
-    )
-    labelled = tokens.withColumn("_label", before.rlike(r"^[(,\s]$")).drop("_all")
-    found = labelled.join(
+    tokens = tree_tokens(trees).select("tree_id", "place", "token", "label")
+    found = tokens.join(
         mapping.select(F.col("accession").alias("token"), "species"), "token", "left"
-    ).withColumn("_new", F.when(F.col("_label"), F.col("species")))
+    ).withColumn("_new", F.when(F.col("label"), F.col("species")))
     glued = found.groupBy("tree_id").agg(
         F.array_join(
             F.transform(
@@ -130,51 +204,26 @@ def clean_newick(trees: DataFrame, mapping: DataFrame, keep_lengths: bool = Fals
     return glued.withColumn("newick", cleaned if keep_lengths else strip_lengths(cleaned))
 
 
-def newick_edges(trees: DataFrame) -> DataFrame:
-    """Edges of every tree of a table, from ``tree_id, newick, first_id``.
+def newick_nodes(trees: DataFrame) -> DataFrame:
+    """Nodes of every tree: name, parent (NULL at the top), whether it is a tip, support and branch length.
 
-    The root is ``ancestral``; the other internal nodes are numbered in
-    postorder from ``first_id``. One pass over a tree's brackets keeps the open
-    levels on a stack; the result leaves the task tree by tree.
+    A support or length that is no number is NULL.
     """
-    schema = "tree_id string, child string, parent string"
-    return trees.select(F.col("tree_id").cast("string").alias("tree_id"), "newick", "first_id").mapInPandas(_edge_batches, schema)
-
-
-def _edge_batches(batches):
-    """Edges of the trees of each batch; put out before the next tree once there are many."""
-    import re
-
-    import pandas as pd
-
-    token = re.compile(r"[(),;]|[^(),;]+")
-    columns = ["tree_id", "child", "parent"]
-    for batch in batches:
-        out = []
-        for tree_id, newick, first in zip(batch["tree_id"], batch["newick"], batch["first_id"]):
-            if len(out) >= 50_000:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-            levels: list[list[str]] = [[]]
-            number, closed = int(first), False
-            for found in token.finditer(newick.strip()):
-                part = found[0]
-                if part == "(":
-                    levels.append([])
-                    closed = False
-                elif part == ")":
-                    children = levels.pop()
-                    root = len(levels) == 1
-                    name = "ancestral" if root else f"node_{number}"
-                    number += 0 if root else 1
-                    out += [(tree_id, c, name) for c in children]
-                    levels[-1].append(name)
-                    closed = True
-                elif part in ",;":
-                    closed = False
-                elif not closed:
-                    levels[-1].append(part.split(":")[0].strip())
-        yield pd.DataFrame(out, columns=columns)
+    rows = tree_tokens(trees).where("node IS NOT NULL")
+    return rows.select(
+        F.col("tree_id").cast("string").alias("tree_id"),
+        "node",
+        "parent",
+        "tip",
+        F.expr("try_cast(support AS double)").alias("support"),
+        F.expr("try_cast(length AS double)").alias("length"),
+    )
+
+
+def newick_edges(trees: DataFrame) -> DataFrame:
+    """Edges of every tree of a table, from ``tree_id, newick, first_id``, numbered as by `newick_tokens`."""
+    rows = tree_tokens(trees).where("parent IS NOT NULL")
+    return rows.select(F.col("tree_id").cast("string").alias("tree_id"), F.col("node").alias("child"), "parent")
 
 
 def check_internal_count(edges: DataFrame, logged: DataFrame) -> DataFrame:

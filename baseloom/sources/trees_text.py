@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from baseloom.functions.names import coerce_node, normalize_species
@@ -33,11 +33,12 @@ def parse_gc_trees(trees: DataFrame, n_species: int) -> DataFrame:
         F.regexp_extract_all("text", pattern, F.lit(1)).alias("label"),
         F.regexp_extract_all("text", pattern, F.lit(2)).alias("value"),
     )
-    # The matches of one tree are one small array, numbered in place.
     kept = F.filter(found, lambda m: m["whole"].contains(" ") | m["whole"].contains(")"))
-    rows = trees.select("ortholog", kept.alias("_m")).select("ortholog", "_m", F.posexplode("_m").alias("pos", "m"))
+    rows = trees.select("ortholog", F.posexplode(kept).alias("pos", "m"))
     tip = F.col("m.whole").contains(" ")
-    internal = F.expr("size(filter(slice(_m, 1, pos + 1), x -> NOT contains(x.whole, ' ')))")
+    # The rows of one tree are numbered by one running count, in time linear in the tree.
+    upto = Window.partitionBy("ortholog").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    internal = F.count(F.when(~tip, 1)).over(upto)
     node = F.when(tip, normalize_species(F.col("m.label"), "binomial_lower")).otherwise(
         F.concat(F.lit("node_"), (internal + n_species).cast("string"))
     )

@@ -16,6 +16,7 @@ from baseloom.operators import traits as TR
 from baseloom.operators import trees as T
 from baseloom.operators import validate as V
 from baseloom.operators import windows as W
+from baseloom.sources.trees_text import parse_gc_trees
 
 
 def test_exact_quantiles_with_a_hot_group(spark):
@@ -51,6 +52,18 @@ def test_assign_pk_and_running_total(spark):
     assert {r["k"]: r["t"] for r in R.running_total(df, ["k"], "v", "t", buckets=7).collect()} == want
 
 
+def test_numbers_do_not_depend_on_the_ranges(spark):
+    rows = [(None if i % 50 == 0 else i * 7919 % 997, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k bigint, i bigint")
+    want = {r: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 1)}
+    for buckets in (1, 8, 300):
+        got = R.assign_pk(df, ["k", "i"], "pk", buckets=buckets).collect()
+        assert {(r["k"], r["i"]): r["pk"] for r in got} == want
+    assert R.assign_pk(df.where("i < 0"), ["k", "i"], "pk").count() == 0
+    plan = R.assign_pk(df, ["k", "i"], "pk")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" not in plan.split("BroadcastExchange")[0]
+
+
 def test_limit_per_group_and_first(spark):
     df = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 3)], "k string, o bigint")
     assert sorted((r["k"], r["o"]) for r in R.limit_per_group(df, ["k"], ["o"], 2).collect()) == [("a", 0), ("a", 1), ("b", 3)]
@@ -123,6 +136,41 @@ def test_newick_numbering(spark):
     }
 
 
+def test_newick_nodes_cases(spark):
+    rows = [
+        ("a", "( (A x:1e-3 , B)0.9 :2, C ) ;", 7), ("b", None, 1), ("c", "", 1), ("d", "lone:3;", 1), ("e", "((A,B)", 1), ("f", "(\u00e9t\u00e9:x,)z;", 3),
+    ]
+    df = spark.createDataFrame(rows, "tree_id string, newick string, first_id int")
+    got = {tuple(r) for r in T.newick_nodes(df).collect()}
+    assert got == {
+        ("a", "A x", "node_7", True, None, 0.001), ("a", "B", "node_7", True, None, None), ("a", "node_7", "ancestral", False, 0.9, 2.0),
+        ("a", "C", "ancestral", True, None, None), ("a", "ancestral", None, False, None, None), ("d", "lone", None, True, None, 3.0),
+        ("e", "A", "node_1", True, None, None), ("e", "B", "node_1", True, None, None), ("e", "node_1", None, False, None, None),
+        ("f", "\u00e9t\u00e9", "ancestral", True, None, None), ("f", "ancestral", None, False, None, None),
+    }
+    spark.udtf.register("newick_tokens", T.newick_tokens)
+    df.createOrReplaceTempView("some_trees")
+    sql = spark.sql("SELECT tree_id, node AS child, parent FROM some_trees, LATERAL newick_tokens(newick, first_id) WHERE parent IS NOT NULL")
+    assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, T.newick_edges(df).collect()))
+    with pytest.raises(Exception, match="not open"):
+        T.newick_nodes(df.limit(1).withColumn("newick", F.lit("(A));"))).collect()
+
+
+def test_long_trees_in_one_pass(spark):
+    n = 40_000  # 1 MB: a comb of that depth and a star of that width
+    comb = "(" * n + "GCA_0.1:0.125" + "".join(f",GCA_{i}.1:0.125)90:0.25" for i in range(1, n + 1)) + ";"
+    star = "((" + ",".join(f"T{i} 0.25:0.1" for i in range(n)) + ")41.25:0.3,(x:0.2,y:0.4)39.5:0.7);"
+    df = spark.createDataFrame([("comb", comb, 0)], "tree_id string, newick string, first_id int")
+    assert len(comb) > 1_000_000
+    edges = {r["child"]: r["parent"] for r in T.newick_edges(df).collect()}
+    assert len(edges) == 2 * n and edges["GCA_0.1"] == "node_0" and edges["node_0"] == "node_1" and edges[f"node_{n - 2}"] == "ancestral"
+    names = spark.createDataFrame([("GCA_7.1", "Genus_a")], "accession string, species string")
+    row = T.clean_newick(df, names).collect()[0]
+    assert row["n_replaced"] == 1 and row["newick"] == "(" * n + "GCA_0.1" + "".join(f",{'Genus_a' if i == 7 else f'GCA_{i}.1'})" for i in range(1, n + 1)) + ";"
+    gc = parse_gc_trees(spark.createDataFrame([("og", star)], "ortholog string, text string"), 5).collect()
+    assert len(gc) == n + 2 and [r["node"] for r in sorted(gc, key=lambda r: r["pos"])[-2:]] == ["node_6", "node_7"]
+
+
 def test_clean_newick_boundaries(spark):
     trees = spark.createDataFrame([("t", "(GCA_1.1:0.01,(GCA_1.10,p|GCA_1.1:1)95.5:1e-3)100;")], "tree_id string, newick string")
     names = spark.createDataFrame([("GCA_1.1", "A_b"), ("GCA_1.10", "C_d")], "accession string, species string")
@@ -142,6 +190,27 @@ def test_missing_pairs(spark):
     assert {r["dij"] for r in D.dij(gc, edges).collect()} == {None}
 
 
+def test_missing_pairs_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "NODE_BLOCK", 4)
+    tree = [(f"n{i}", f"n{(i - 1) // 2}") for i in range(1, 31)] + [("lost", None)]
+    have = {(f"g{g}", f"n{i}") for g in range(7) for i in range(31) if g == 0 or (i * 7 + g * 3) % 11 > g} | {("g9", "beside")}
+    edges = spark.createDataFrame(tree, "child string, parent string")
+    rows = [(o, n, 1.0) for o, n in sorted(have)] * 2
+    gc = spark.createDataFrame(rows, "ortholog string, node string, gc double")
+    orthologs, want, counts = sorted({o for o, _ in have}), set(), {}
+    for c, p in tree[:-1]:
+        absent = [o for o in orthologs if (o, c) not in have]
+        half = [o for o in orthologs if (o, c) in have and (o, p) not in have]
+        want |= {(o, c, "CHILD_MISSING") for o in absent} | {(o, c, f"PARENT_MISSING:{p}") for o in half}
+        counts[c, p] = (len(absent), len(half))
+    got = [tuple(r) for r in D.missing_pairs(gc, edges.where("parent IS NOT NULL")).select("ortholog", "child", "reason").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r["child"], r["parent"]): (r["n_child_missing"], r["n_parent_missing"]) for r in D.missing_counts(gc, edges.where("parent IS NOT NULL")).collect()} == counts
+    found = {tuple(r) for r in D.missing_nodes(gc, edges).collect()}
+    nodes = {n for e in tree for n in e if n}
+    assert found == {(o, n) for o in orthologs for n in nodes if (o, n) not in have}
+
+
 def brute_updates(existing, new):
     rows = {a: dict(sp=s, cur=c, by=b) for a, s, c, b in existing}
     events = []

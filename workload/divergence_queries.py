@@ -45,6 +45,17 @@ def missing_pairs(spark, d):
     return D.missing_pairs(stored(I.node_gc(spark, d)), I.edges(spark, d))
 
 
+@query(
+    "j15_missing_counts",
+    f"""WITH {BASE}, o AS (SELECT count(DISTINCT ortholog) AS n FROM node_gc),
+  c AS (SELECT e.child, e.parent, count(DISTINCT a.ortholog) AS has_child, count(DISTINCT CASE WHEN b.ortholog IS NOT NULL THEN a.ortholog END) AS has_both
+    FROM edges e LEFT JOIN node_gc a ON a.node = e.child LEFT JOIN node_gc b ON b.node = e.parent AND b.ortholog = a.ortholog GROUP BY e.child, e.parent)
+  SELECT child, parent, n - has_child AS n_child_missing, has_child - has_both AS n_parent_missing FROM c, o""",
+)
+def missing_counts(spark, d):
+    return D.missing_counts(stored(I.node_gc(spark, d)), I.edges(spark, d))
+
+
 @query("a14_dij", f"WITH {BASE}, {DIJ_SQL} SELECT child, parent, round(dij, 6) AS dij FROM dij")
 def dij(spark, d):
     return rounded(D.dij(I.node_gc(spark, d), I.edges(spark, d)))
@@ -415,6 +426,28 @@ def newick_edges(spark, d):
     return T.newick_edges(trees(spark, d).withColumn("first_id", F.lit(50)))
 
 
+@query(
+    "g02_tree_tokens",
+    f"""WITH {TREES_SQL}, t AS (SELECT tree_id, regexp_extract_all('((' || tips || ')95:0.5,(x1:1e-05,y|GCA_1.1:2)87.5:-0.25)100;', '[(),:;]|[^(),:;]+') AS a FROM trees),
+  u AS (SELECT tree_id, unnest(a) AS token, generate_subscripts(a, 1) - 1 AS place FROM t)
+  SELECT tree_id, place, token, token NOT IN ('(', ')', ',', ':', ';') AND coalesce(lag(token) OVER (PARTITION BY tree_id ORDER BY place) IN ('(', ','), FALSE) AS label FROM u""",
+)
+def tree_tokens(spark, d):
+    return T.tree_tokens(trees(spark, d)).select("tree_id", F.col("place").cast("bigint").alias("place"), "token", "label")
+
+
+@query(
+    "g02_newick_nodes",
+    """WITH n AS (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS tree_id FROM supplier)
+  SELECT CAST(s_nationkey AS VARCHAR) AS tree_id, 'GCA_' || s_suppkey || '.1' AS node, 'node_50' AS parent, TRUE AS tip, CAST(NULL AS DOUBLE) AS support, CAST('0.' || (s_suppkey % 10 + 1) AS DOUBLE) AS length FROM supplier
+  UNION ALL SELECT tree_id, 'x1', 'node_51', TRUE, NULL, 0.00001 FROM n UNION ALL SELECT tree_id, 'y|GCA_1.1', 'node_51', TRUE, NULL, 2 FROM n
+  UNION ALL SELECT tree_id, 'node_50', 'ancestral', FALSE, 95, 0.5 FROM n UNION ALL SELECT tree_id, 'node_51', 'ancestral', FALSE, 87.5, -0.25 FROM n
+  UNION ALL SELECT tree_id, 'ancestral', NULL, FALSE, 100, NULL FROM n""",
+)
+def newick_nodes(spark, d):
+    return T.newick_nodes(trees(spark, d).withColumn("first_id", F.lit(50)))
+
+
 @query(
     "g02_internal_count",
     """SELECT CAST(k AS VARCHAR) AS tree_id, 2::BIGINT AS n_tree, 1::BIGINT AS n_log FROM (SELECT DISTINCT s_nationkey AS k FROM supplier) WHERE k % 2 = 1""",
