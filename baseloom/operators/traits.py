@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from baseloom.functions.names import UNKNOWN, extract_accession, genus_of, norma
 from baseloom.operators.ranking import assign_pk, collapse_first, dedupe_first
 from baseloom.operators.ranking import exact_quantiles
 from baseloom.operators.validate import join_validated
+from baseloom.session import stored
 
 # Picograms of DNA to megabases.
 MB_PER_PG = 978
@@ -400,8 +403,8 @@ def resolve_labels(left: DataFrame, right: DataFrame, substring: bool = False) -
 
     ``left`` has ``label``; ``right`` has ``label, row_idx``. The first
     candidate by ``row_idx`` is taken; more than one makes the match ambiguous.
-    The substring tier looks up all substrings of the normal form by equality
-    (a label is short), in both directions, so it needs no pairwise comparison.
+    The substring tier looks each text up by its rarest 3-gram (`containing`),
+    in both directions, so it needs no pairwise comparison.
     """
     lefts = left.select("label").distinct().select(
         "label", normalize_species(F.col("label"), "label").alias("norm"), normalize_species(F.col("label"), "label_key").alias("key")
@@ -420,17 +423,19 @@ def resolve_labels(left: DataFrame, right: DataFrame, substring: bool = False) -
     out = lefts.join(best("norm", "exact"), "norm", "left").join(best("key", "species"), "key", "left")
     tiers = [("exact", "exact_normalized"), ("species", "species_key")]
     if substring:
+        out = stored(out)
         open_rows = out.where(F.col("_exact").isNull() & F.col("_species").isNull() & (F.col("norm") != "")).select("label", "norm")
         # Candidates are reduced to the first and their number per normal form
-        # or substring before they meet the labels: no label-candidate pairs.
-        by_norm = _first_candidate(rights, ["norm"]).withColumnRenamed("norm", "_part")
-        inside = _substrings(open_rows, "norm").join(by_norm, "_part").select("label", "_first", "_n")
-        wanted = open_rows.select(F.col("norm").alias("_part")).distinct()
-        parts = _substrings(rights.select("candidate", "row_idx", "norm"), "norm").join(wanted, "_part", "left_semi")
-        around = _first_candidate(parts, ["_part"]).join(open_rows.withColumnRenamed("norm", "_part"), "_part")
+        # before they are looked up.
+        by_norm = stored(_first_candidate(rights.where("norm <> ''"), ["norm"]))
+        norms = open_rows.select("norm").distinct()
+        inside = containing(by_norm.select(F.col("norm").alias("part")), norms.select(F.col("norm").alias("whole")))
+        inside = inside.join(by_norm.withColumnRenamed("norm", "part"), "part").select(F.col("whole").alias("norm"), "_first", "_n")
+        around = containing(norms.select(F.col("norm").alias("part")), by_norm.select(F.col("norm").alias("whole")))
+        around = around.join(by_norm.withColumnRenamed("norm", "whole"), "whole").select(F.col("part").alias("norm"), "_first", "_n")
         # An open label equals no normal form, so no candidate is in both.
-        both = inside.unionByName(around.select("label", "_first", "_n"))
-        found = both.groupBy("label").agg(F.min("_first").alias("_sub"), F.sum("_n").alias("_sub_n"))
+        found = inside.unionByName(around).groupBy("norm").agg(F.min("_first").alias("_sub"), F.sum("_n").alias("_sub_n"))
+        found = open_rows.join(found, "norm").select("label", "_sub", "_sub_n")
         out = out.join(found, "label", "left")
         tiers.append(("sub", "substring_normalized"))
     method = F.lit("unmatched")
@@ -448,13 +453,41 @@ def _first_candidate(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct("row_idx", "candidate")).alias("_first"), F.count(F.lit(1)).alias("_n"))
 
 
-def _substrings(df: DataFrame, column: str) -> DataFrame:
-    """All distinct non-empty substrings of a short text, one row each."""
-    parts = F.expr(
-        f"""array_distinct(flatten(transform(sequence(1, greatest(length({column}), 1)), i ->
-              transform(sequence(1, greatest(length({column}) - i + 1, 1)), n -> substring({column}, i, n)))))"""
+def _grams(df: DataFrame, column: str, width: int) -> DataFrame:
+    """Each place (from 1) of a text with the ``width`` characters from there."""
+    found = F.expr(
+        f"transform(sequence(1, length({column}) - {width} + 1), i -> named_struct('place', i, 'gram', substring({column}, i, {width})))"
+    )
+    return df.where(F.length(column) >= width).select(column, F.explode(found).alias("g")).select(column, "g.place", "g.gram")
+
+
+def containing(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) for every text of ``part`` that lies inside one of ``whole``, each pair once.
+
+    A part is known by its rarest 3-gram among the wholes, one of fewer than
+    three characters by itself. A place of such a gram in a whole gives one
+    piece per distinct (offset, length) that parts have around it, and pieces
+    meet parts by equality. So a gram that many parts and many wholes share
+    costs its places times its shapes, never parts times wholes. Empty and NULL
+    texts lie in nothing.
+    """
+    parts, wholes = stored(parts.select("part").distinct()), stored(wholes.select("whole").distinct())
+    frequent = _grams(wholes, "whole", 3).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        _grams(parts, "part", 3).join(frequent, "gram", "left").groupBy("part")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "place")).alias("g"))
+        .where("g.n > 0").select("part", "g.gram", "g.place")
+    )
+    short = parts.where("length(part) BETWEEN 1 AND 2").select("part", F.col("part").alias("gram"), F.lit(1).alias("place"))
+    known = stored(rarest.unionByName(short))
+    shapes = known.select("gram", F.col("place").alias("offset"), F.length("part").alias("size")).distinct()
+    places = reduce(DataFrame.unionByName, [_grams(wholes, "whole", width) for width in (1, 2, 3)])
+    pieces = (
+        places.join(shapes, "gram")
+        .where("place >= offset AND place - offset + size <= length(whole)")
+        .select(F.expr("substring(whole, place - offset + 1, size)").alias("part"), "whole")
     )
-    return df.where(F.col(column) != "").withColumn("_part", F.explode(parts))
+    return pieces.distinct().join(known.select("part"), "part", "left_semi")
 
 
 def candidates_of(left: DataFrame, right: DataFrame, tier: str = "label_key") -> DataFrame:

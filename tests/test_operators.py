@@ -178,6 +178,17 @@ def test_clean_newick_boundaries(spark):
     assert (row["newick"], row["n_replaced"]) == ("(A_b,(C_d,p|GCA_1.1));", 2)
 
 
+def test_containing_against_every_pair(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab\u00e9_") for _ in range(rng.randint(0, 9))) for _ in range(300)] + ["a" * n for n in range(1, 40)]
+    parts, wholes = texts[:170] + [None], texts[120:] + [None, texts[-1]]
+    got = TR.containing(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(w,) for w in wholes], "whole string"))
+    pairs = [tuple(r) for r in got.select("part", "whole").collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(p, w) for p in parts for w in wholes if p and w and p in w}
+    assert TR.containing(got.select("part").limit(0), got.select("whole")).count() == 0
+
+
 def test_missing_pairs(spark):
     edges = spark.createDataFrame([("a", "n"), ("n", "r")], "child string, parent string")
     gc = spark.createDataFrame([("g1", "a", 1.0), ("g1", "r", 2.0), ("g2", "zz", 1.0)], "ortholog string, node string, gc double")
