@@ -35,9 +35,9 @@ _MARKS = re.compile(r"[.,;:!?。，、！？；：]")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg object canvas audio video".split())
 # Elements and roles that never hold the article's text.
-OUTSIDE = frozenset("head nav footer aside form menu dialog button select option datalist fieldset label input figure-button".split())
+OUTSIDE = frozenset("head nav footer aside form menu dialog button select option datalist fieldset input annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 # Words in class and id names that mark such parts.
 MARKERS = frozenset(
@@ -55,7 +55,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = BLOCKS - {"br", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "col", "option", "legend"}
 _ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 MAIN = frozenset(["article", "main"])
-# Elements nested deeper are read as part of their parent, as browsers do.
+# A path names no more levels; elements below share the path of their ancestor at that depth, so paths stay short.
 DEEPEST = 512
 
 
@@ -66,7 +66,7 @@ class _Element:
         self.tag, self.parent, self.outside, self.main, self.marked = tag, parent, outside, main, marked
         self.marks = marked + (parent.marks if parent else 0)
         self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.path = tag if not parent else f"{parent.path}/{tag}" if self.depth <= DEEPEST else parent.path
 
 
 def _marked(value: str) -> bool:
@@ -197,9 +197,8 @@ def nodes(page: str) -> list[tuple[_Element, str, int]]:
             continue
         in_main = here.main
         outside, main, marked = _marks(tag, m[3], in_main)
-        if here.depth < DEEPEST:
-            here = _Element(tag, here, here.outside or outside, in_main or main, marked)
-            elements.append(here)
+        here = _Element(tag, here, here.outside or outside, in_main or main, marked)
+        elements.append(here)
     return _unmarked(elements, out)
 
 
@@ -257,19 +256,30 @@ def main_text(page: str | None) -> str:
             return e.main
 
     else:
-        common = _chain(chosen[0][0])
-        for e, _, _ in chosen[1:]:
-            chain = _chain(e)
-            n = 0
-            while n < min(len(common), len(chain)) and common[n] is chain[n]:
-                n += 1
-            common = common[:n]
-        top = common[-1]
+        top = chosen[0][0]
+        for e in {id(e): e for e, _, _ in chosen}.values():
+            while e.depth > top.depth:
+                e = e.parent
+            while top.depth > e.depth:
+                top = top.parent
+            while e is not top:
+                e, top = e.parent, top.parent
         loose = top.tag in ("#", "html", "body")
+        below = {top: not loose, None: False}
+
+        def inside(e):
+            """Whether an element lies in the top one, or, if that is the whole page, in a heading; known for all above it then."""
+            up = []
+            while e not in below:
+                up.append(e)
+                e = e.parent
+            known = below[e]
+            for x in reversed(up):
+                below[x] = known = known or (loose and x.tag in HEADINGS)
+            return known
 
         def wanted(e):
-            chain = _chain(e)
-            return (e.path in good or any(x.tag in HEADINGS for x in chain)) if loose else any(x is top for x in chain)
+            return (loose and e.path in good) or inside(e)
 
     # White space between inline elements counts, so all nodes are walked, not only those with text.
     blocks: dict[int, list[str]] = defaultdict(list)

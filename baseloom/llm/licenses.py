@@ -3,7 +3,9 @@
 Words are runs of digits, ASCII letters and non-ASCII characters, with A-Z in lower case. All notice phrases are
 found in one pass over the words; the tag ``SPDX-License-Identifier`` is one of the phrases, and the expression after it
 is read by a shunting-yard parser with the precedence WITH, AND, OR and evaluated: the identifiers become labels, and the
-permission of the expression is that of the best OR branch and the worst AND part.
+permission of the expression is that of the best OR branch and the worst AND part. Operands are licence identifiers (a listed
+name or beginning, a name with a version, or LicenseRef-); an expression ends before a word that is none, and before an operator in small
+letters that no identifier follows. So prose behind a tag gives no labels.
 
 Defined cases: a null or empty text has no words, no place, no label and score 0. A malformed expression keeps the identifiers
 it names and its permission is 0. Texts are scanned whole. Repeated rows are scanned each on its own; an empty
@@ -57,6 +59,13 @@ PERMISSION = {
     "mit": 1.0, "isc": 1.0, "bsd": 1.0, "apache": 1.0, "0bsd": 1.0, "unlicense": 1.0, "cc0": 1.0, "zlib": 1.0, "bsl": 1.0,
     "cc-by": 0.9, "cc-by-sa": 0.6, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2,
 }
+# Identifiers without a version in their name, beside the beginnings above.
+NAMED = frozenset(
+    "afmparse aladdin antlr-pd beerware blessing caldera copyleft curl cube diffmark dotseqn eurosym fair freeimage ftl glide glulxe hpnd ibm-pibs icu "
+    "ijg imagemagick info-zip intel json jasper leptonica libpng libtiff linux-openib minpack miros motosoto multics mup naist nasa ncsa "
+    "net-snmp netcdf newsletr ngpl nlpl noweb nrl openssl pddl php plexus postgresql psfrag psutils qhull rdisc ruby saxpath sendmail sissl "
+    "sleepycat snia spencer swl tcl tcp-wrappers tosl vim vostrom w3c wsuipa wtfpl xerox xfig xnet xinetd xpp zed zend".split()
+)
 UNKNOWN = 0.0
 WITH_BONUS = 0.2
 
@@ -65,30 +74,53 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 # An expression ends at the latest where the line or the next tag begins; a line can hold many tags.
 _TAGGED = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*((?:(?!spdx-license-identifier[ \t]*:)[^\r\n])*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_VERSIONED = re.compile(r"[a-z][a-z0-9.+]*(?:-[a-z0-9.+]+)*-v?[0-9]+(?:\.[0-9]+)*(?:[a-z+]|-[a-z0-9.+-]+)?")
+_REFERENCE = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+_EXCEPTION = re.compile(r"[a-z0-9.+-]+-(?:exception|note)(?:-[a-z0-9.+-]+)?")
 _ORDER = {"or": 1, "and": 2, "with": 3}
 
 
+@lru_cache(maxsize=10_000)
+def identifies(word: str, exception: bool = False) -> bool:
+    """Whether a word in small letters names a licence, or an exception after WITH."""
+    if exception:
+        return bool(_EXCEPTION.fullmatch(word) or _VERSIONED.fullmatch(word) or _REFERENCE.fullmatch(word.replace("additionref-", "licenseref-")))
+    listed = any(word == p or word.startswith((p + "-", p + "+")) for p in PERMISSION) or word in NAMED
+    return bool(listed or _VERSIONED.fullmatch(word) or _REFERENCE.fullmatch(word))
+
+
+def _tokens(text: str) -> list[str]:
+    """Brackets and words up to the first other character."""
+    out, at, text = [], 0, text.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if m:
+            out.append(m[0] if m[0] in "()" else m[0].rstrip(".:-"))
+        elif text[at] not in " \t":
+            break
+        at = m.end() if m else at + 1
+    return out
+
+
 def parse(text: str) -> tuple[list[str], bool]:
     """An expression in postfix order, and whether it is well formed. Reading ends where the expression does.
 
     ``MIT OR (Apache-2.0 AND GPL-2.0 WITH Classpath-exception-2.0) */`` gives
-    mit, apache-2.0, gpl-2.0, classpath-exception-2.0, with, and, or.
+    mit, apache-2.0, gpl-2.0, classpath-exception-2.0, with, and, or. ``MIT and see the file`` gives mit.
     """
     out: list[str] = []
     stack: list[str] = []
-    good, operand, at, text = True, True, 0, text.strip()
-    while at < len(text):
-        if text[at] in " \t":
-            at += 1
-            continue
-        m = _TOKEN.match(text, at)
-        if not m:
-            break
-        word = m[0].lower() if m[0] in "()" else m[0].lower().rstrip(".:-")
-        if word in _ORDER:
+    good, operand = True, True
+    read = _tokens(text)
+    for at, token in enumerate(read):
+        word = token.lower()
+        if word in _ORDER and token in (word, word.upper()):
             if operand:
                 good = False
                 break
+            after = read[at + 1].lower() if at + 1 < len(read) else ""
+            if token == word and after and not (after == "(" and word != "with") and not identifies(after, word == "with"):
+                break  # prose goes on after the expression
             while stack and stack[-1] != "(" and _ORDER[stack[-1]] >= _ORDER[word]:
                 out.append(stack.pop())
             stack.append(word)
@@ -106,12 +138,11 @@ def parse(text: str) -> tuple[list[str], bool]:
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+        elif not operand or not identifies(word, bool(stack) and stack[-1] == "with"):
+            break  # words after a whole expression, or no identifiers, are not part of it
         else:
-            if not operand:
-                break  # words after a whole expression are not part of it
             out.append(word)
             operand = False
-        at = m.end()
     good = good and not operand and "(" not in stack
     if good:
         out.extend(reversed(stack))

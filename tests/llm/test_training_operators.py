@@ -255,6 +255,21 @@ def test_html_marked_wrappers():
     assert html_text.main_text("<div role=main class=social><p>One.</p></div><p>Two, three, four.</p>") != ""
 
 
+def test_html_of_any_depth():
+    deep = "<div>" * 600
+    page = f"<body><nav>Menu, menu.</nav>{deep}<article><p>One, two.</p>{deep}Three.{'</div>' * 600}<p>Four.</p><nav>Not this.</nav></article>{'</div>' * 600}<p>After, it.</p>"
+    assert html_text.main_text(page) == "One, two. Three. Four."
+    assert html_text.main_text(f"{deep}<nav>Menu, of links.</nav><p>One, two, three, four.</p>{'</div>' * 600}") == "One, two, three, four."
+    many = "".join(f"<div>t{i:05d}, u." for i in range(20_000))
+    assert html_text.main_text(many) == " ".join(f"t{i:05d}, u." for i in range(20_000))
+
+
+def test_html_formulas_are_text():
+    page = "<article><p>Let <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> be, <label>say</label>, one.</p></article>"
+    assert html_text.main_text(page) == "Let x=1 be, say, one."
+    assert html_text.main_text(f"<form><label>Mail</label><input></form>{page}") == "Let x=1 be, say, one."
+
+
 def test_html_table(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet").withColumn("text", F.lit("clash"))
     out = html_text.extract(pages)
@@ -282,6 +297,33 @@ def test_licence_tags_of_one_line():
     assert licenses.scan(f"{tag} {tag} MIT")["labels"] == ["mit"]
 
 
+def test_licence_prose_is_no_label():
+    for text, names, worth in (
+        ("MIT and see the file", ["mit"], 1.0), ("LicenseRef-x or later", ["licenseref-x"], 0.0), ("see LICENSE", [], 0.0), ("MIT or gpl-2.0-only.", ["gpl-2.0-only", "mit"], 1.0),
+        ("MIT with thanks to all", ["mit"], 1.0), ("GPL-2.0-only with Classpath-exception-2.0 and more", ["gpl-2.0-only"], 0.5), ("MIT AND whatever", ["mit"], 0.0),
+        ("(MIT or Artistic-2.0) and is shipped", ["artistic-2.0", "mit"], 1.0), ("Zlib and (Ruby or BSD-3-Clause)", ["bsd-3-clause", "ruby", "zlib"], 1.0), ("", [], 0.0),
+    ):
+        assert (licenses.evaluate(text)[0], round(licenses.evaluate(text)[1], 6)) == (names, worth), text
+    found = licenses.scan("SPDX-License-Identifier: MIT and see the file, all rights reserved")
+    assert found["labels"] == ["mit", "reserved"] and found["permission"] == 1.0
+
+
+def test_licence_places_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["cc", "by", "sa", "general", "public", "license", "all", "rights", "reserved", "CC-BY", "General Public\nLicense", "x", "7", "\u00e9by", "_", "", ".", "cc by cc by"]
+    texts = [rng.choice([" ", "-", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "cc by " * 40_000]
+    rows = licenses.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id] or ""))
+        places = [(i, n) for p, n in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        at = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(at, default=None), max(at, default=None))
+        assert r.base_labels == sorted({n for _, n in places}) and set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1
+    assert len(rows) == len(texts)
+
+
 def ids_of(text):
     return tokens.encoder()._raw([text or ""])[0].tobytes() + np.uint32(0).tobytes()
 
