@@ -54,3 +54,24 @@ def test_stages(spark, data):
             want = tokens.encoder()._raw([t])[0].tobytes() + np.uint32(0).tobytes()
             assert b"".join(x for _, x in sorted(ids[i])[:: times[i]]) == want
     assert results[5].agg(F.countDistinct("sequence_id")).first()[0] == results[5].count()
+
+
+def odd_rows(spark, data):
+    """Rows with null, repeated and clashing values, in the columns of documents and one more."""
+    like = spark.read.parquet(f"{data}/documents.parquet").limit(1)
+    body = "\n".join(" ".join(f"w{(i * 31 + j * 7) % 997}" for i in range(12)) for j in range(6))
+    other = body.replace("w", "v")
+    rows = [(1, body), (None, body), (1, body), (2, body + " end"), (1, other), (None, other), (None, other.upper()), (None, body[::-1]), (None, body[::-1]), (7, None), (8, ""), (9, " \n ")]
+    docs = spark.createDataFrame(rows, "new_id long, new_text string").crossJoin(like)
+    docs = docs.withColumn("doc_id", F.col("new_id").cast(like.schema["doc_id"].dataType)).withColumn("text", F.col("new_text"))
+    return docs.select(*like.columns, F.lit("clash").alias("component_id"))
+
+
+def test_one_row_of_a_group_stays(spark, data):
+    docs = odd_rows(spark, data)
+    kept = corpus_pipeline.near_duplicates(spark, docs, data)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "")[:4]) for r in kept.collect())
+    body = docs.collect()[0].text
+    assert got == sorted([("1", body[:4]), ("1", body.replace("w", "v")[:4]), ("None", body[::-1][:4]), ("7", ""), ("8", ""), ("9", " \n ")])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), data).count() == 0
