@@ -8,14 +8,15 @@ least 75 percent. The join is exact up to collisions of 64-bit hashes.
    documents hold a shared one if the sets link. Shingles with low hashes, at least three tenths of all, come first, the
    rarer the earlier; so a passage that many documents share is no meeting point while rarer shingles are left.
    The document frequency is counted over all documents.
-3. Star step: in each group of a key, members are compared with one hub, the member with the fewest shingles of its own.
-   That links most of a family of copies with as many pairs as members.
-4. Groups that still hold several components go to the tree. Tokens are hashed into 128 groups; the group counts of a
-   document are its point. Members are dealt to leaves by component and size, leaf pairs that
-   cannot hold a new link go, and each remaining pair of leaves is one task: an R-tree over its points is searched for each
-   point, where the sum of coordinate minima with a node's upper corner bounds the overlap with all below it. A pair is
+3. Tokens are hashed into 128 groups; the group counts of a document are its point. The sum of coordinate minima with
+   the upper corner of a tree node bounds the overlap with all points below it.
+4. Star search: the members of a key's group are packed into nodes by size and searched for one hub, the member with the
+   fewest shingles of its own. That links most of a family of copies with at most as many pairs as members.
+5. Groups that still hold several components are searched for every point. Members are dealt to leaves by component and
+   size, leaf pairs that cannot hold a new link go, and each remaining pair of leaves is one task with an R-tree. A pair is
    put out by the first key that both share.
-5. Surviving pairs are verified on whole texts; links are closed to components.
+6. Pairs that the bound lets through are verified on the shingle sets of whole texts, which are cut once per
+   document and step; links are closed to components.
 
 No step gathers a group: a class is cut to one row per task before the shuffle, hot groups are split into leaf pairs.
 
@@ -224,6 +225,35 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, parts: np.ndarray, left:
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def hub_search(hub: np.ndarray, n: np.ndarray, hub_n: np.ndarray, own: np.ndarray, of_hub: np.ndarray) -> np.ndarray:
+    """Which rows can link with their hub, by the bound; rows lie in the order of hub and size.
+
+    Each run of one hub is a packed tree with ``NODE`` rows to a node; rows of a node that fails are not looked at.
+    """
+    if not len(hub):
+        return np.zeros(0, bool)
+    begin = np.flatnonzero(np.r_[True, hub[1:] != hub[:-1]])
+    place = np.arange(len(hub)) - np.repeat(begin, np.diff(np.r_[begin, len(hub)]))
+    starts = np.flatnonzero(place % NODE == 0)
+    upper = np.maximum.reduceat(own, starts, axis=0)
+    need = 3 * (hub_n[starts] + np.maximum(n[starts], (3 * hub_n[starts] + 3) // 4))
+    open_ = _bounded(upper, of_hub, np.arange(len(starts)), starts, need)
+    good = np.repeat(open_, np.diff(np.r_[starts, len(hub)]))
+    rows = np.flatnonzero(good)
+    good[rows] = _bounded(own, of_hub, rows, rows, 3 * (n[rows] + hub_n[rows]))
+    return good
+
+
+def _starred(batches):
+    """Rows (hub, f, n, hub_n, vector, hub_vector) in the order of hub and n: the pairs (a, b) that the bound lets through."""
+    for batch in batches:
+        hub, f, n, hub_n = (column(batch, c) for c in range(4))
+        own, of_hub = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(len(hub), -1).astype("i4") for c in (4, 5))
+        good = hub_search(hub, n, hub_n, own, of_hub)
+        a, b = np.minimum(hub[good], f[good]), np.maximum(hub[good], f[good])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _searched(batches):
     """Rows (key, l, r, side, f, n, component, vector, earlier) in the order of key, l, r: candidate pairs of each pair of leaves.
 
@@ -301,11 +331,12 @@ def leaf_tasks(members: DataFrame, leaf: int = LEAF) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link."""
-    left = pairs.join(texts.select(F.col("f").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("f").alias("b"), F.col("text").alias("y")), "b")
-    sets = once(once(both, "p", shingles(F.col("x"))), "q", shingles(F.col("y"))).select("a", "b", "p", "q")
-    sizes = once(sets, "o", F.size(F.array_intersect("p", "q")))
+    """The pairs (a, b), a written table, whose texts link."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
+    sets = staged(once(texts.join(wanted, "f", "left_semi"), "h", shingles(F.col("text"))).select("f", "h"), "sets")
+    left = pairs.join(sets.select(F.col("f").alias("a"), F.col("h").alias("p")), "a")
+    both = left.join(sets.select(F.col("f").alias("b"), F.col("h").alias("q")), "b")
+    sizes = once(both, "o", F.size(F.array_intersect("p", "q")))
     return sizes.where(100 * F.col("o") >= 75 * (F.size("p") + F.size("q") - F.col("o"))).select("a", "b")
 
 
@@ -341,7 +372,11 @@ def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
     hubs = rows.groupBy("key").agg(F.min(F.struct("own", "f", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     rows = rows.join(hubs.select("key", "hub"), "key")
     star = rows.where("f != hub.f and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
-    star = star.select(F.least("f", "hub.f").alias("a"), F.greatest("f", "hub.f").alias("b")).distinct()
+    star = star.groupBy(F.least("f", "hub.f").alias("a"), F.greatest("f", "hub.f").alias("b")).agg(F.min("hub.f").alias("hub"))
+    star = star.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("f"))
+    star = star.join(points.select(F.col("f").alias("hub"), F.col("n").alias("hub_n"), F.col("vector").alias("hub_vector")), "hub")
+    star = star.join(points.select("f", "n", "vector"), "f").select("hub", "f", "n", "hub_n", "vector", "hub_vector")
+    star = staged(star.sortWithinPartitions("hub", "n").mapInArrow(_starred, "a long, b long"), "stars")
 
     # One document of each class that shares a key; ids can be null or repeated, so the text found must have the fingerprint.
     name, mark = fresh("id"), fresh("f")
@@ -363,7 +398,7 @@ def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
     earlier = F.slice("keys", 1, (F.array_position("keys", F.col("key")) - 1).cast("int")).alias("earlier")
     tasks = tasks.join(known, "f").select("key", "l", "r", "side", "f", "n", "component", "vector", earlier)
     searched = tasks.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_searched, "a long, b long").distinct()
-    second = _verified(searched, texts)
+    second = _verified(staged(searched, "searched"), texts)
     return staged(first.unionByName(second), "links")
 
 

@@ -73,6 +73,25 @@ def test_jaccard_join(docs, none):
     assert jaccard_join.join_classes(none).count() == 0
 
 
+def test_hub_search_keeps_all_that_can_link():
+    """The star search by nodes lets through just what the bound allows pair by pair."""
+    rng = np.random.default_rng(5)
+    hubs = np.sort(rng.integers(0, 6, 400))
+    base = rng.poisson(2, (6, 16))
+    own = np.maximum(base[hubs] + rng.integers(-1, 2, (400, 16)) * (rng.random((400, 1)) < 0.7) * (rng.random((400, 16)) < 0.5), 0).astype("i4")
+    n, hub_n = own.sum(axis=1), base.sum(axis=1)[hubs]
+    order = np.lexsort((n, hubs))
+    hubs, own, n, hub_n = hubs[order], own[order], n[order], hub_n[order]
+    fit = 4 * np.minimum(n, hub_n) >= 3 * np.maximum(n, hub_n)
+    hubs, own, n, hub_n = hubs[fit], own[fit], n[fit], hub_n[fit]
+    got = jaccard_join.hub_search(hubs, n, hub_n, own, base[hubs].astype("i4"))
+    want = 7 * np.minimum(own, base[hubs]).sum(axis=1) >= 3 * (n + hub_n)
+    assert got.tolist() == want.tolist()
+    assert 0 < want.sum() < len(want)
+    none = np.zeros(0, "i8")
+    assert jaccard_join.hub_search(none, none, none, np.zeros((0, 16), "i4"), np.zeros((0, 16), "i4")).tolist() == []
+
+
 def test_jaccard_hot_group(spark):
     """A family of edited copies behind one hot passage, split over many leaves."""
     rng = np.random.RandomState(3)
