@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,24 +104,37 @@ def table_files(spark: SparkSession, root: str, table: str) -> list[str]:
     return chunks if table in CHUNKED_TABLES and chunks else single + chunks
 
 
+def headers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``file, header`` of each file that is not empty: its first line, without a byte-order mark.
+
+    One job over the files, so that the driver opens none.
+    """
+    lines = read_lines(spark, files).where("line_no.block = 0")
+    first = lines.groupBy("file").agg(F.min(F.struct("line_no", "value"))["value"].alias("header"))
+    return first.select("file", F.regexp_replace("header", "^\ufeff|\r$", "").alias("header"))
+
+
 def scan_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All files of a table; files of equal header are read together, gaps are NULL."""
+    """All files of a table; files of equal header are read together, gaps are NULL.
+
+    The driver gets the names of the files by header, as many as its listing holds. Files without a line count for nothing.
+    """
     files = table_files(spark, root, table)
     if not files:
         raise FileNotFoundError(f"no files for {table} below {root}")
-    by_header: dict[str, list[str]] = {}
-    for path in files:
-        by_header.setdefault(_first_line(spark, path), []).append(path)
+    groups = headers(spark, files).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     parts = []
-    for header, paths in by_header.items():
-        columns = header.rstrip("\r").split("\t")
-        schema = ", ".join(f"`{c}` string" for c in columns)
+    for group in sorted(groups.collect(), key=lambda g: g["files"]):
+        schema = ", ".join(f"`{c}` string" for c in group["header"].split("\t"))
         reader = spark.read.option("header", True).option("sep", "\t").option("nullValue", "\\N").option("escape", '"')
-        parts.append(reader.schema(schema).csv(paths))
+        # File names in the metadata are written as addresses.
+        parts.append(reader.schema(schema).csv([unquote(f) for f in group["files"]]))
+    if not parts:
+        raise ValueError(f"no header line for {table} below {root}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines with file and an order inside it.
 
     The order is the byte block, then the row inside the task's share of it.
@@ -200,39 +214,49 @@ def read_assembly_stats(spark: SparkSession, path: str) -> DataFrame:
     return assembly_statistics(first.select("j.*"))
 
 
-def _pick(columns: list[str], names: list[str], default: int | None) -> int | None:
-    def packed(name: str) -> str:
-        return name.lower().replace(" ", "").replace("_", "")
+def _place(head: Column, names: list[str], default: int) -> Column:
+    """Position of a column in a header line, by the first of ``names`` that it has; of equal ones the last.
+
+    Exact names go before names without blanks and underscores.
+    """
+    fields = F.transform(F.split(head, "\t"), lambda c: F.lower(c))
+
+    def packed(name: Column) -> Column:
+        return F.translate(name, " _", "")
+
+    def last(columns: Column, name: Column) -> Column:
+        at = F.array_position(F.reverse(columns), name)
+        return F.when(at > 0, F.size(columns) - at)
 
-    for form in (lambda c: c.lower().strip(), packed):
-        have = {form(c): i for i, c in enumerate(columns)}
-        for name in names:
-            if form(name) in have:
-                return have[form(name)]
-    return default
+    exact = [last(F.transform(fields, lambda c: F.trim(c)), F.lit(n.lower())) for n in names]
+    loose = [last(F.transform(fields, packed), packed(F.lit(n.lower()))) for n in names]
+    return F.coalesce(*exact, *loose, F.lit(default)).cast("int")
 
 
-def parse_full_table(lines: DataFrame, columns: list[str] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def parse_full_table(lines: DataFrame, columns: list[str] | None = None, keys: tuple[str, ...] = (), head: str | None = None) -> DataFrame:
     """Gene models from gene-table lines (``value, line_no``, and ``keys``).
 
+    The layout of a line is ``columns``, or its header line in the column ``head``, else the default.
     Exon tokens are ``start_end_strand``; ends are put in order, tokens of
     another form or strand are dropped and make ``valid`` false. Gene ends
     default to those of the exons. The last line of a gene counts.
     """
-    names = columns or GENE_TABLE_LAYOUT
+    layout = F.lit("\t".join(columns or GENE_TABLE_LAYOUT))
+    if head is not None:
+        layout = F.coalesce(F.col(head), layout)
     at = {
-        "gene": _pick(names, ["Gene"], 0),
-        "status": _pick(names, ["Status"], 1),
-        "sequence_id": _pick(names, ["Sequence", "Chromosome", "Contig"], 2),
-        "strand": _pick(names, ["Strand"], 5),
-        "start": _pick(names, ["Gene Start", "Start"], 9),
-        "end": _pick(names, ["Gene End", "End"], 10),
-        "codons": _pick(names, ["Codons", "Coordinates", "Exons"], 12),
+        "gene": _place(layout, ["Gene"], 0),
+        "status": _place(layout, ["Status"], 1),
+        "sequence_id": _place(layout, ["Sequence", "Chromosome", "Contig"], 2),
+        "strand": _place(layout, ["Strand"], 5),
+        "start": _place(layout, ["Gene Start", "Start"], 9),
+        "end": _place(layout, ["Gene End", "End"], 10),
+        "codons": _place(layout, ["Codons", "Coordinates", "Exons"], 12),
     }
-    needed = max(at[c] for c in ("gene", "status", "sequence_id", "strand"))
+    needed = F.greatest(*[at[c] for c in ("gene", "status", "sequence_id", "strand")])
 
     def field(name: str) -> Column:
-        return F.coalesce(F.trim(F.get(F.split("value", "\t"), F.lit(at[name]))), F.lit(""))
+        return F.coalesce(F.trim(F.get(F.split("value", "\t"), at[name])), F.lit(""))
 
     text = F.col("value")
     kept = lines.where((text != "") & ~text.startswith("#") & (F.lower(F.split(text, "\t")[0]) != "gene"))
@@ -276,14 +300,11 @@ def parse_full_table(lines: DataFrame, columns: list[str] | None = None, keys: t
 def read_full_table(spark: SparkSession, path: str, layout: list[str] | None = None) -> DataFrame:
     """Gene models of gene-table files, by ``file`` and gene.
 
-    A file's layout is the given one, else that of its first header line, else the default. Files of one header are
-    read together; there are few different headers, however many files.
+    A file's layout is the given one, else that of its first header line, else the default. Each line meets its file's
+    header by a join, so all files are parsed in one pass, whatever their headers.
     """
     lines = read_lines(spark, path)
     if layout is not None:
         return parse_full_table(lines, layout, ("file",))
     first = lines.where(F.lower(F.trim(F.split("value", "\t")[0])) == "gene").groupBy("file").agg(F.min(F.struct("line_no", "value"))["value"].alias("head"))
-    heads = [r["head"] for r in first.select("head").distinct().orderBy("head").collect()]
-    headed = lines.join(first, "file", "left")
-    parts = [parse_full_table(headed.where(F.col("head") == h), h.split("\t"), ("file",)) for h in heads]
-    return reduce(DataFrame.unionByName, parts, parse_full_table(headed.where("head IS NULL"), GENE_TABLE_LAYOUT, ("file",)))
+    return parse_full_table(lines.join(first, "file", "left"), keys=("file",), head="head")

@@ -92,6 +92,26 @@ def test_chunks_win_over_stale_file(spark, tmp_path):
     assert rows == {"new": (None, None), "newer": ("2", "3")}
 
 
+def test_scan_groups_files_by_header(spark, tmp_path):
+    """Headers come from a job: marks, line ends, empty files and names with blanks and signs do no harm."""
+    folder = tmp_path / "a b%20c" / "natural_history"
+    os.makedirs(folder)
+    (folder / "1.tsv").write_bytes("\ufeffa\tb\r\n1\t2\r\n".encode())
+    (folder / "2.tsv").write_text("a\tb\n" + "".join(f"{i}\t{i}\n" for i in range(10, 500)))
+    (folder / "3.tsv").write_text("c\ta\n7\t8\n")
+    (folder / "4.tsv").write_text("")
+    df = TB.scan_table(spark, str(tmp_path / "a b%20c"), "natural_history")
+    assert df.columns == ["a", "b", "c"]
+    got = {tuple(r) for r in df.collect()}
+    assert got == {("1", "2", None), ("8", None, "7")} | {(str(i), str(i), None) for i in range(10, 500)}
+    with pytest.raises(FileNotFoundError):
+        TB.scan_table(spark, str(tmp_path), "no_such_table")
+    os.makedirs(tmp_path / "void" / "natural_history")
+    (tmp_path / "void" / "natural_history" / "1.tsv").write_text("")
+    with pytest.raises(ValueError):
+        TB.scan_table(spark, str(tmp_path / "void"), "natural_history")
+
+
 def test_links_from_tar(spark, tmp_path):
     (tmp_path / "links_to_ODB12.txt").write_text("1at2\tname\turl\nbroken\n")
     with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as tar:
@@ -122,6 +142,22 @@ def test_full_tables_of_several_files(spark, tmp_path):
     ]
 
 
+def test_full_table_columns_by_loose_names(spark, tmp_path):
+    """Names without blanks and underscores count after exact ones; of equal names the last column counts."""
+    (tmp_path / "a.tsv").write_text("gene\tSTATUS\tContig\tstrand\tgene_start\tGeneEnd\tExons\tStatus\ng1\tno\tc\t+\t2\t9\t2_9_+\tSingle\n")
+    rows = TB.read_full_table(spark, str(tmp_path / "a.tsv")).collect()
+    assert [(r["gene"], r["status"], r["sequence_id"], r["start"], r["end"], r["valid"]) for r in rows] == [("g1", "Single", "c", 2, 9, True)]
+
+
+def test_full_tables_are_read_in_one_pass(spark, tmp_path):
+    """The number of scans does not grow with the number of headers."""
+    for i in range(12):
+        (tmp_path / f"{i}.tsv").write_text("Gene\tStatus\tSequence\tStrand\tCodons" + f"\tx{i}\n" + f"g{i}\tSingle\tc\t+\t1_9_+\t0\n")
+    df = TB.read_full_table(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    assert sorted((r["gene"], r["end"]) for r in df.collect()) == sorted((f"g{i}", 9) for i in range(12))
+
+
 def test_cycle_is_an_error(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "child string, parent string")
     with pytest.raises(ValueError, match="its own ancestor"):
