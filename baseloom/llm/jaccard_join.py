@@ -332,7 +332,8 @@ def leaf_tasks(members: DataFrame, leaf: int = LEAF) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b), a written table, whose texts link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
+    # Each side is made distinct first, so that no row is made per end of a pair.
+    wanted = pairs.select(F.col("a").alias("f")).distinct().unionByName(pairs.select(F.col("b").alias("f")).distinct()).distinct()
     sets = staged(once(texts.join(wanted, "f", "left_semi"), "h", shingles(F.col("text"))).select("f", "h"), "sets")
     left = pairs.join(sets.select(F.col("f").alias("a"), F.col("h").alias("p")), "a")
     both = left.join(sets.select(F.col("f").alias("b"), F.col("h").alias("q")), "b")
