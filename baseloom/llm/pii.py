@@ -405,6 +405,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def count_kind(spans: Column, kind: int) -> Column:
+    """Number of spans of one kind. The function has one argument: a second would be given the place in the array."""
+    return F.size(F.filter(spans, lambda x: x["k"] == kind))
+
+
 @query("op4_pii")
 def op4_pii(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -412,7 +417,7 @@ def op4_pii(spark, d):
     base, narrow = F.col("base"), lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     return out.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda x, n=n: x["k"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)],
+        *[count_kind(base, n).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)],
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.sort_array(F.concat(narrow(base), narrow(F.col("added"))))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),

@@ -1,3 +1,4 @@
+import hashlib
 """Edge cases and brute-force twins of the training-data operators."""
 
 import re
@@ -221,6 +222,16 @@ def test_pii_base(docs, none):
     assert pii.find(none, pii.Trees()).count() == 0
 
 
+def test_pii_counts_by_kind(spark, tmp_path, monkeypatch):
+    text = "a@b.co 1.2.3.4 c@d.org 4111 1111 1111 1111, +1 555 123 4567 or 5.6.7.8; e@f.net"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(pii, "learn", lambda documents: pii.Trees())
+    got = {r.doc_id: r for r in pii.op4_pii(spark, str(tmp_path)).collect()}
+    assert [got[1][f"n_{k}"] for k in pii.KINDS] == [3, 2, 1, 1]
+    assert [got[1].spans.split(",").count(x) for x in ("email:0:6", "ip:7:14")] == [1, 1]
+    assert [got[2][f"n_{k}"] for k in pii.KINDS] == [0, 0, 0, 0] and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def test_pii_learns(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     many = docs.unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")) if data.endswith("sf0.001") else docs
