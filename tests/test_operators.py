@@ -222,6 +222,23 @@ def test_missing_pairs_over_blocks(spark, monkeypatch):
     assert found == {(o, n) for o in orthologs for n in nodes if (o, n) not in have}
 
 
+def test_missing_pairs_form_each_missing_node_once(spark, monkeypatch):
+    """Null ends and names keep their meaning, repeated rows count once, and no missing row is stored or goes through an exchange."""
+    edges = spark.createDataFrame([("a", "n"), ("a", "n"), ("a", "m"), ("n", "r"), (None, "n"), (None, "r"), ("b", None)], "child string, parent string")
+    gc = spark.createDataFrame([("g1", "a"), ("g1", "a"), ("g1", "r"), ("g2", "n"), (None, "a"), ("g3", None)], "ortholog string, node string")
+    monkeypatch.setattr(D, "stored", lambda df: pytest.fail("missing rows are stored"))
+    pairs = D.missing_pairs(gc, edges)
+    tree, have = {tuple(r) for r in edges.collect()}, {tuple(r) for r in gc.collect()}
+    want = []
+    for o in {o for o, _ in have}:
+        lost = {n for e in tree for n in e if n and (o is None or (o, n) not in have)}
+        want += [(o, c, "CHILD_MISSING") for c in {c for c, _ in tree} & lost]
+        want += [(o, c, f"PARENT_MISSING:{p}") for c, p in tree if p in lost and (c not in lost or o is None)]
+    null_last = lambda r: [x or "~" for x in r]
+    # An unnamed ortholog has both reasons for an edge, as before.
+    assert sorted(map(tuple, pairs.collect()), key=null_last) == sorted(want, key=null_last)
+
+
 def brute_updates(existing, new):
     rows = {a: dict(sp=s, cur=c, by=b) for a, s, c, b in existing}
     events = []
