@@ -11,21 +11,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from baseloom.session import stored
+
 BLOCK_BYTES = 32 * 1024 * 1024
 SLAB_BYTES = 4 * 1024 * 1024
 # The first step of the search for a line's start.
 LOOK_BACK = 64 * 1024
+# More tasks than this are formed only of whole blocks of ``BLOCK_BYTES``.
+MANY_TASKS = 256
 # File suffixes of alignments and genomes.
 FASTA_SUFFIXES = (".fa", ".faa", ".fasta", ".fas", ".fna")
 
-SEGMENT_SCHEMA = "file string, offset bigint, header string, n_bases bigint, bases string"
+# Rows and bytes of text that a batch of the reader holds at most (or one slab).
+BATCH_ROWS, BATCH_BYTES = 8192, 1024 * 1024
+
+SEGMENT_SCHEMA = "file string, begin bigint, offset bigint, name string, record bigint, start0 bigint, n_bases bigint, bases string"
 
 
 class FastaSegments(DataSource):
     """Byte ranges of FASTA files as rows of at most one slab of bases.
 
-    Options: ``path`` (file, folder or pattern), ``block`` (bytes per task),
-    ``bases`` (``false`` leaves the text out and gives lengths only).
+    ``begin`` is where the range starts, ``record`` numbers the headers met in it (0: before the first), ``name``
+    is the last of them and ``start0`` counts the bases since it, or since the range began.
+
+    Options: ``path`` (file, folder or pattern), ``block`` (bytes per range),
+    ``rows``: ``bases`` (the default), ``lengths`` (without the text) or ``ends`` (one row per range: the state at its end).
     """
 
     @classmethod
@@ -50,37 +60,60 @@ class _SegmentReader(DataSourceReader):
         self.path = options["path"]
         self.block = int(options.get("block", BLOCK_BYTES))
         self.slab = int(options.get("slab", SLAB_BYTES))
-        self.with_bases = str(options.get("bases", "true")).lower() == "true"
+        self.rows = options.get("rows", "bases")
 
     def partitions(self):
-        """Large files are split into ranges, small ones share a task."""
-        parts, shared, room = [], [], self.block
-        for path, size in list_files(self.path):
+        """Large files are split into ranges. A task takes several ranges where they are many, so that their number
+        does not grow with the bytes while a task has less than ``BLOCK_BYTES``."""
+        files = list_files(self.path)
+        task = max(self.block, min(BLOCK_BYTES, sum(size for _, size in files) // MANY_TASKS))
+        parts, shared, room = [], [], task
+        for path, size in files:
             if path.endswith(".gz"):
                 parts.append(_Ranges([(path, 0, None)]))
-            elif size > self.block:
-                parts += [
-                    _Ranges([(path, a, min(a + self.block, size))]) for a in range(0, size, self.block)
-                ]
-            else:
-                if size > room and shared:
+                continue
+            for a in range(0, size, self.block):
+                b = min(a + self.block, size)
+                if b - a > room and shared:
                     parts.append(_Ranges(shared))
-                    shared, room = [], self.block
-                shared.append((path, 0, size))
-                room -= size
+                    shared, room = [], task
+                shared.append((path, a, b))
+                room -= b - a
         if shared:
             parts.append(_Ranges(shared))
         return parts or [_Ranges([])]
 
     def read(self, partition):
-        import pyarrow as pa
-
-        names = ["file", "offset", "header", "n_bases", "bases"]
-        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        for path, begin, end in partition.ranges:
+        rows, held = [], 0
+        for row in self._rows(partition.ranges):
+            rows.append(row)
+            held += len(row[3] or "") + len(row[7] or "")
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, ranges):
+        for path, begin, end in ranges:
+            record, name, start0, found = 0, None, 0, False
             for offset, header, bases in _segments(path, begin, end, self.slab):
-                row = [path, offset, header, len(bases), bases.decode("ascii") if self.with_bases else None]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+                found = True
+                if header is not None:
+                    record, name, start0 = record + 1, header, 0
+                if self.rows != "ends":
+                    yield path, begin, offset, name, record, start0, len(bases), bases.decode("ascii") if self.rows == "bases" else None
+                start0 += len(bases)
+            if found and self.rows == "ends":
+                yield path, begin, begin, name, record, start0, 0, None
+
+
+def _batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
+    types = [pa.string() if c.endswith("string") else pa.int64() for c in SEGMENT_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
 
 
 def _filesystem(path: str):
@@ -192,9 +225,9 @@ def _segments(path: str, begin: int, end: int | None, slab_bytes: int):
             yield header_at, header, b""
 
 
-def read_segments(spark: SparkSession, path: str, block: int | None = None, bases: bool = True, slab: int | None = None) -> DataFrame:
+def read_segments(spark: SparkSession, path: str, block: int | None = None, rows: str = "bases", slab: int | None = None) -> DataFrame:
     spark.dataSource.register(FastaSegments)
-    reader = spark.read.format("fasta_segments").option("path", path).option("bases", str(bases).lower())
+    reader = spark.read.format("fasta_segments").option("path", path).option("rows", rows)
     if block:
         reader = reader.option("block", str(block))
     if slab:
@@ -202,20 +235,40 @@ def read_segments(spark: SparkSession, path: str, block: int | None = None, base
     return reader.load()
 
 
-def place_segments(lengths: DataFrame) -> DataFrame:
-    """Record number and place of each segment, from lengths alone.
+def place_ranges(ends: DataFrame) -> DataFrame:
+    """What precedes each byte range in its file: records, bases of the record it begins in, and that record's header.
 
-    One narrow row per segment (a slab of bases) goes through the window; the
-    bases themselves are never sorted by file.
+    One narrow row per range goes through the windows; segments and bases are never sorted by file.
     """
-    in_file = Window.partitionBy("file").orderBy("offset")
-    numbered = lengths.select("file", "offset", "header", "n_bases").withColumn(
-        "record_no", F.count("header").over(in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    in_file = Window.partitionBy("file").orderBy("begin")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Ranges from one with a header to the next: their last bases belong to one record.
+    same = Window.partitionBy("file", "_group").orderBy("begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grouped = ends.select(
+        "file",
+        "begin",
+        "start0",
+        F.coalesce(F.sum("record").over(before), F.lit(0)).alias("_records"),
+        F.last("name", ignorenulls=True).over(before).alias("_name"),
+        F.count_if(F.col("record") > 0).over(upto).alias("_group"),
     )
-    before = Window.partitionBy("file", "record_no").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    record = Window.partitionBy("file", "record_no")
-    return numbered.withColumn("start0", F.coalesce(F.sum("n_bases").over(before), F.lit(0))).withColumn(
-        "long_name", F.max("header").over(record)
+    summed = grouped.withColumn("_sum", F.sum("start0").over(same))
+    return summed.select("file", "begin", "_records", "_name", F.coalesce(F.lag("_sum").over(in_file), F.lit(0)).alias("_bases"))
+
+
+def placed_segments(spark: SparkSession, path: str, block: int | None, slab: int | None, rows: str = "bases") -> DataFrame:
+    """Segments with the number, header and place in its record, from what precedes their range."""
+    ranges = stored(place_ranges(read_segments(spark, path, block, "ends", slab)))
+    carried = F.col("record") == 0
+    return read_segments(spark, path, block, rows, slab).join(ranges, ["file", "begin"]).select(
+        "file",
+        "offset",
+        (F.col("_records") + F.col("record")).alias("record_no"),
+        F.when(carried, F.col("_name")).otherwise(F.col("name")).alias("long_name"),
+        (F.col("start0") + F.when(carried, F.col("_bases")).otherwise(0)).alias("start0"),
+        "n_bases",
+        "bases",
     )
 
 
@@ -225,24 +278,17 @@ def _sequence_id(header):
 
 def fasta_catalogue(spark: SparkSession, path: str, block: int | None = None, slab: int | None = None) -> DataFrame:
     """File, identifier (first word), full header and length of each record."""
-    placed = place_segments(read_segments(spark, path, block, bases=False, slab=slab))
+    placed = placed_segments(spark, path, block, slab, "lengths")
     return placed.where("record_no > 0").groupBy("file", "record_no", "long_name").agg(
         F.sum("n_bases").alias("sequence_length")
     ).select("file", "record_no", _sequence_id(F.col("long_name")).alias("sequence_id"), "long_name", "sequence_length")
 
 
-def _placed_bases(spark: SparkSession, path: str, block: int | None, slab: int | None) -> DataFrame:
-    placed = place_segments(read_segments(spark, path, block, bases=False, slab=slab))
-    return read_segments(spark, path, block, slab=slab).select("file", "offset", "bases").join(
-        placed.drop("header"), ["file", "offset"]
-    )
-
-
 def read_fasta_chunks(
     spark: SparkSession, path: str, chunk_bp: int = 300_000, block: int | None = None, slab: int | None = None
 ) -> DataFrame:
     """Genome FASTA as rows of ``chunk_bp`` bases: file, record, identifier, chunk number."""
-    segments = _placed_bases(spark, path, block, slab).where("record_no > 0 AND n_bases > 0")
+    segments = placed_segments(spark, path, block, slab).where("record_no > 0 AND n_bases > 0")
     end0 = F.col("start0") + F.col("n_bases")
     pieces = (
         segments.withColumn(
@@ -266,7 +312,7 @@ def _whole_records(spark: SparkSession, path: str, block: int | None, slab: int
     """Whole short records (genes, aligned sequences)."""
     parts = F.array_sort(F.collect_list(F.struct("start0", "bases")))
     return (
-        _placed_bases(spark, path, block, slab)
+        placed_segments(spark, path, block, slab)
         .groupBy("file", "record_no", "long_name")
         .agg(F.array_join(F.transform(parts, lambda p: p["bases"]), "").alias("seq"))
         .withColumn("id", _sequence_id(F.col("long_name")))
@@ -288,10 +334,15 @@ def read_alignments(spark: SparkSession, path: str, block: int | None = None, sl
 
     Repeated names, empty headers and bases before the first header are errors.
     """
-    rows = _whole_records(spark, path, block, slab)
+    lengths = (
+        placed_segments(spark, path, block, slab, "lengths")
+        .groupBy("file", "record_no", "long_name")
+        .agg(F.sum("n_bases").alias("w"))
+        .withColumn("id", _sequence_id(F.col("long_name")))
+    )
     bad = (
-        rows.groupBy("file", "id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("record_no").alias("r"), F.max(F.length("seq")).alias("w"))
+        lengths.groupBy("file", "id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("record_no").alias("r"), F.max("w").alias("w"))
         .where("n > 1 OR (r = 0 AND w > 0) OR (r > 0 AND id = '')")
         .orderBy("file", "id")
         .limit(5)
@@ -300,4 +351,4 @@ def read_alignments(spark: SparkSession, path: str, block: int | None = None, sl
     if bad:
         raise ValueError("; ".join(f"{r['file']}: bad record {r['id']!r}" for r in bad))
     name = F.element_at(F.split("file", "/"), -1)
-    return rows.where("record_no > 0").select(name.alias("alignment"), F.col("id").alias("sequence_id"), "seq")
+    return _whole_records(spark, path, block, slab).where("record_no > 0").select(name.alias("alignment"), F.col("id").alias("sequence_id"), "seq")

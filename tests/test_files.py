@@ -52,6 +52,35 @@ def test_long_headers_over_blocks(tmp_path, block):
     assert records == [["a", 4], ["b", 200_000]]
 
 
+def test_fasta_records_over_many_ranges(spark, tmp_path):
+    """Records that run over several ranges, headers without bases, and bases before the first header, in two files."""
+    want = {}
+    for file, lead in (("a.fa", "ACGT\nAC\n"), ("b.fa", "")):
+        text, last = lead, {}
+        for i in range(60):
+            seq = "ACGTN"[: i % 5 + 1] * (i * i % 23 if i % 6 else 0)
+            text += f">r{i % 50} n{i}\n" + "".join(seq[k : k + 10] + "\n" for k in range(0, len(seq), 10))
+            last[f"r{i % 50}"] = seq
+            want[file, i + 1] = (f"r{i % 50} n{i}", len(seq))
+        want[file] = last
+        (tmp_path / file).write_text(text)
+    base = lambda r: os.path.basename(r["file"])
+    for block, slab in ((37, 11), (100, 1000)):
+        found = FA.fasta_catalogue(spark, str(tmp_path), block, slab).collect()
+        assert len(found) == 120 and all(want[base(r), r["record_no"]] == (r["long_name"], r["sequence_length"]) for r in found)
+        genes = FA.read_gene_fasta(spark, str(tmp_path), block, slab).collect()
+        assert len(genes) == 100 and all(want[base(r)][r["gene"]] == r["seq"] for r in genes)
+
+
+def test_short_records_share_batches_and_tasks(tmp_path):
+    (tmp_path / "a.fa").write_text("".join(f">g{i}\nACGT\n" for i in range(20_000)))
+    reader = FA._SegmentReader({"path": str(tmp_path), "block": "100", "slab": "50"})
+    parts = reader.partitions()
+    assert len(parts) <= 2 * FA.MANY_TASKS
+    sizes = [b.num_rows for p in parts for b in reader.read(p)]
+    assert sum(sizes) >= 20_000 and len(sizes) == len(parts)
+
+
 def test_fasta_chunks_and_gzip(spark, tmp_path):
     (tmp_path / "a.fna").write_text(FASTA)
     with gzip.open(tmp_path / "b.fa.gz", "wt") as f:
