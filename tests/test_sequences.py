@@ -165,3 +165,28 @@ def test_bad_alignment_stops(spark):
     df = spark.createDataFrame([("a", "x", "ACG"), ("a", "y", "AC"), ("b", "x", "ACG")], "alignment string, sequence_id string, seq string")
     with pytest.raises(ValueError, match="a: unequal_lengths;length_not_divisible_by_3"):
         A.require_valid_alignments(df)
+
+
+def test_kernels_work_in_slabs(monkeypatch):
+    """Working memory is a multiple of a slab, not of the batch; the slab's size does not change the counts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from baseloom.functions import kernels as K
+    from workload import inputs as I
+
+    plain = lambda f: getattr(f, "func", f)
+    few = pa.array(["ACGTAA", None, "", "ac-gtNtaa" * 30, "ATGGCCTAA"])
+    kernels = [plain(K.cds_counts), plain(K.codon_words("-!N")), plain(I.dna_of)]
+    whole = [k(few).to_pylist() for k in kernels]
+    assert whole[2][:3] == ["ACGTAA", None, ""]
+    many = pa.array(["ACGTTGCAGGTACC" * 500] * 1200)
+    for kernel in kernels:
+        tracemalloc.start()
+        kernel(many)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 160 * K.SLAB_BASES, kernel
+    monkeypatch.setattr(K, "SLAB_BASES", 7)
+    assert [k(few).to_pylist() for k in kernels] == whole
