@@ -315,3 +315,11 @@ def test_labels_by_substring(spark):
 def test_scope_labels():
     assert W.scope_label(["Scaffold", "chromosome"]) == "chromosome_plus_scaffold"
     assert W.scope_label(["x", "chromosome"]) == "chromosome_plus_x"
+
+
+def test_merge_diagnostics_form_the_values_once(spark, data, monkeypatch):
+    from workload import divergence_queries as Q
+
+    calls, whole = [], Q.I.node_gc
+    monkeypatch.setattr(Q.I, "node_gc", lambda spark, d: calls.append(d) or whole(spark, d))
+    assert Q.diagnostics(spark, data).count() == 8 and len(calls) == 1

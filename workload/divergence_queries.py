@@ -139,8 +139,8 @@ MASTER_SQL = f"""{BASE}, {GC3_SQL}, {DIANC_SQL}, {GC4_SQL}, {META_SQL}, tipgc AS
 _DOUBLES = "round(mean_gc3, 6) AS mean_gc3, round(sd_gc3, 6) AS sd_gc3, round(mean_gc4, 6) AS mean_gc4, round(sd_gc4, 6) AS sd_gc4, round(dianc, 6) AS dianc"
 
 
-def master(spark, d, all_species=False):
-    gc = stored(I.node_gc(spark, d))
+def master(spark, d, all_species=False, gc=None):
+    gc = stored(I.node_gc(spark, d)) if gc is None else gc
     return D.master_table(
         D.gc3_summary(gc), D.dianc(gc), gc4_input(spark, d), D.species_metadata(*metadata_sources(spark, d)), all_species
     )
@@ -202,9 +202,9 @@ def master_wide(spark, d):
   UNION ALL SELECT 'metadata_species_missing_gc_results', count(*) FROM meta WHERE genus_species NOT IN (SELECT genus_species FROM tipgc)""",
 )
 def diagnostics(spark, d):
-    gc3 = D.gc3_summary(stored(I.node_gc(spark, d)))
+    gc = stored(I.node_gc(spark, d))
     meta = D.species_metadata(*metadata_sources(spark, d))
-    return D.merge_diagnostics(stored(master(spark, d)), gc3, meta, ["accession", "mean_gc4", "dianc"])
+    return D.merge_diagnostics(stored(master(spark, d, gc=gc)), D.gc3_summary(gc), meta, ["accession", "mean_gc4", "dianc"])
 
 
 @query(
