@@ -14,6 +14,9 @@ from baseloom.sources.chunk_store import ChunkStore
 
 SITE = ["genome_pk", "sequence_id"]
 
+# Bases of one block of chunks, unless a single chunk is longer.
+BLOCK_BP = 32_768
+
 # Flank sets as (key, name, upstream bases, downstream bases).
 FLANK_SETS = [
     (1, "50_up_50_down", 50, 50),
@@ -82,6 +85,75 @@ def slice_intervals(chunks: DataFrame | ChunkStore, intervals: DataFrame, chunk_
     )
 
 
+def _extents(chunks: DataFrame | ChunkStore, chunk_bp: int) -> DataFrame:
+    """The sequences that have bases, with a bound ``_bp`` of their length."""
+    if isinstance(chunks, ChunkStore):
+        return chunks.sequences.select(*SITE, F.col("sequence_length").alias("_bp"))
+    ends = chunks.groupBy(*SITE).agg(F.min("chunk_no").alias("_low"), ((F.max("chunk_no") + 1) * chunk_bp).alias("_bp"))
+    return ends.where("_low = 0").drop("_low")
+
+
+def _cut_of(start: Column, end: Column, chunk_bp: int) -> Column:
+    """Bases from ``start`` to ``end`` in the gathered ``_chunks`` of a row, glued in order; empty where there are none."""
+    stop = F.least(end, "_bp")
+    first = F.floor((F.greatest(start, F.lit(1)) - 1) / chunk_bp)
+    last = F.floor((stop - 1) / chunk_bp)
+
+    def low(c: Column) -> Column:
+        return F.greatest(start - c["chunk_no"] * chunk_bp, F.lit(1))
+
+    def high(c: Column) -> Column:
+        return F.least(end - c["chunk_no"] * chunk_bp, F.length(c["bases"]))
+
+    def piece(c: Column) -> Column:
+        text = c["bases"].substr(low(c).cast("int"), (high(c) - low(c) + 1).cast("int"))
+        return F.struct(c["chunk_no"].alias("chunk_no"), text.alias("piece"))
+
+    hit = F.filter("_chunks", lambda c: (c["chunk_no"] >= first) & (c["chunk_no"] <= last) & (high(c) >= low(c)))
+    glued = F.array_join(F.transform(F.array_sort(F.transform(hit, piece)), lambda p: p["piece"]), "")
+    return F.coalesce(F.when((stop >= start) & (end >= 1), glued), F.lit(""))
+
+
+def cut_spans(
+    chunks: DataFrame | ChunkStore, intervals: DataFrame, chunk_bp: int, spans: dict[str, tuple[Column, Column]]
+) -> DataFrame:
+    """Rows with the bases of spans (name: start, end) on their sequence, plus strand, beside all their columns.
+
+    Chunks are gathered to blocks, and a row goes to the block it lies on: there it is cut whole, so no base that was cut
+    moves and nothing is looked up by key. Only rows that reach over several blocks are glued, by all their columns. Rows on
+    unknown sequences are left out; spans that lie wholly beyond the ends give the empty text. Rows may repeat.
+    """
+    per_block = max(1, BLOCK_BP // chunk_bp)
+    bases = chunks.bases if isinstance(chunks, ChunkStore) else chunks
+    blocks = bases.groupBy(*SITE, F.floor(F.col("chunk_no") / per_block).alias("_block")).agg(
+        F.collect_list(F.struct("chunk_no", "bases")).alias("_chunks")
+    )
+    # Bounds may be missing: least and greatest pass over nulls.
+    low = F.greatest(F.least(*[s for s, _ in spans.values()], F.lit(None)), F.lit(1))
+    high = F.least(F.greatest(*[e for _, e in spans.values()], F.lit(None)), "_bp")
+    given = intervals.columns
+    located = intervals.join(_extents(chunks, chunk_bp), SITE).withColumns(
+        {
+            "_block": F.when(high >= low, F.floor((low - 1) / (chunk_bp * per_block))),
+            "_to": F.when(high >= low, F.floor((high - 1) / (chunk_bp * per_block))),
+        }
+    )
+    texts = [_cut_of(start, end, chunk_bp).alias(name) for name, (start, end) in spans.items()]
+    within = located.where(F.col("_block").eqNullSafe(F.col("_to"))).join(blocks, [*SITE, "_block"], "left").select(*given, *texts)
+    over = (
+        located.where("_block < _to")
+        .withColumn("_block", F.explode(F.sequence("_block", "_to")))
+        .join(blocks, [*SITE, "_block"], "left")
+        .select(*given, "_block", *texts)
+        .groupBy(*given)
+        .agg(F.array_sort(F.collect_set(F.struct("_block", *spans))).alias("_parts"), F.count(F.lit(1)).alias("_n"))
+        # Equal rows fell together here.
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / F.size("_parts")).cast("int"))))
+        .select(*given, *[F.array_join(F.col("_parts")[name], "").alias(name) for name in spans])
+    )
+    return within.unionByName(over)
+
+
 def explode_exons(models: DataFrame) -> DataFrame:
     """One row per exon; the position follows the sorted starts."""
     kept = [c for c in models.columns if c not in ("exons", "start", "end")]
@@ -255,12 +327,21 @@ def validate_introns(reported: DataFrame, chunks: DataFrame | ChunkStore, chunk_
     """Cut each reported intron again and compare length and bases.
 
     ``reported`` has ``genome_pk, intron_id, sequence_id, strand, start, end,
-    length, seq``. With ``boundary`` the bases around both ends are added.
+    length, seq``, and each of its rows is checked for itself. With ``boundary``
+    the bases around both ends are added.
     """
     key = ["genome_pk", "intron_id"]
-    again = slice_intervals(chunks, reported.drop("seq"), chunk_bp, key).select(*key, F.upper("seq").alias("expected"))
-    expected_bp = F.col("end") - F.col("start") + 1
-    out = reported.withColumn("seq", F.upper("seq")).join(again, key).select(
+    start, end = F.col("start"), F.col("end")
+    spans = {"expected": (start, end)}
+    if boundary > 0:
+        spans["left_boundary_sequence"] = (F.greatest(F.lit(1), start - boundary), start + boundary - 1)
+        spans["right_boundary_sequence"] = (F.greatest(F.lit(1), end - boundary + 1), end + boundary)
+    asked = reported.where(F.col("intron_id").isNotNull()).select(
+        *key, "sequence_id", "strand", "start", "end", "length", F.upper("seq").alias("seq")
+    )
+    cut = cut_spans(chunks, asked, chunk_bp, spans).withColumn("expected", F.upper(orient(F.col("expected"), F.col("strand"))))
+    expected_bp = end - start + 1
+    return cut.select(
         *key,
         F.col("length").alias("reported_length"),
         expected_bp.alias("expected_length"),
@@ -272,34 +353,8 @@ def validate_introns(reported: DataFrame, chunks: DataFrame | ChunkStore, chunk_
         F.left("expected", F.lit(20)).alias("expected_first_20"),
         F.right("seq", F.lit(20)).alias("reported_last_20"),
         F.right("expected", F.lit(20)).alias("expected_last_20"),
+        *[n for n in spans if n != "expected"],
     )
-    if boundary <= 0:
-        return out
-    ends = reported.select(
-        *key,
-        "sequence_id",
-        F.lit("+").alias("strand"),
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("left").alias("side"),
-                    F.greatest(F.lit(1), F.col("start") - boundary).alias("start"),
-                    (F.col("start") + boundary - 1).alias("end"),
-                ),
-                F.struct(
-                    F.lit("right").alias("side"),
-                    F.greatest(F.lit(1), F.col("end") - boundary + 1).alias("start"),
-                    (F.col("end") + boundary).alias("end"),
-                ),
-            )
-        ),
-    )
-    cut = slice_intervals(chunks, ends, chunk_bp, [*key, "side"])
-
-    def side(name: str) -> Column:
-        return F.max(F.when(F.col("side") == name, F.col("seq"))).alias(f"{name}_boundary_sequence")
-
-    return out.join(cut.groupBy(*key).agg(side("left"), side("right")), key, "left")
 
 
 def validation_summary(checked: DataFrame) -> DataFrame:

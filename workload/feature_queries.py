@@ -224,10 +224,9 @@ def extract_flanks(spark, d, models=I.models):
 def reported_introns(spark, d, models=I.models):
     """Introns as a file may report them: some with a wrong length or base."""
     introns = IV.infer_introns(models(spark, d))
-    key = ["genome_pk", "intron_id"]
-    texts = IV.slice_intervals(I.chunk_store(spark, d, C), introns, C, key).select(*key, "seq")
-    return stored(
-        introns.join(texts, key)
+    cut = IV.cut_spans(I.chunk_store(spark, d, C), introns, C, {"seq": (F.col("start"), F.col("end"))})
+    return (
+        cut.withColumn("seq", S.orient(F.col("seq"), F.col("strand")))
         .withColumn("length", F.when(F.col("start") % 10 == 0, F.col("length") + 1).otherwise(F.col("length")))
         .withColumn("seq", F.when(F.col("start") % 9 == 0, F.concat(F.lit("N"), F.substring("seq", 2, 1 << 20))).otherwise(F.col("seq")))
     )
