@@ -262,8 +262,9 @@ def validation_summary(spark, d, models=I.models):
 
 def orthologs(spark, d, models_of=I.models):
     """Quality, sequences and models of all genes; some genes lack one of them."""
-    models = models_of(spark, d)
-    cds = IV.extract_cds(models, I.chunk_store(spark, d, C), C)
+    # Three steps start from the models and two from the sequences: both are formed once.
+    models = stored(models_of(spark, d))
+    cds = stored(IV.extract_cds(models, I.chunk_store(spark, d, C), C))
     number = F.substring("gene", 2, 20).cast("bigint")
     quality = FT.cds_quality(cds.where(number % 9 != 4)).where("passes_raw_cds_qc IS NOT NULL")
     return stored(FT.assemble_orthologs(quality, cds.where(number % 9 != 5), models.where(number % 9 != 6)))
