@@ -301,10 +301,11 @@ def read_full_table(spark: SparkSession, path: str, layout: list[str] | None = N
     """Gene models of gene-table files, by ``file`` and gene.
 
     A file's layout is the given one, else that of its first header line, else the default. Each line meets its file's
-    header by a join, so all files are parsed in one pass, whatever their headers.
+    header by a join, so all files are parsed in one pass, whatever their headers. There is one row per file that has a header,
+    and it goes to the lines: else all lines of a file would meet in one task.
     """
     lines = read_lines(spark, path)
     if layout is not None:
         return parse_full_table(lines, layout, ("file",))
     first = lines.where(F.lower(F.trim(F.split("value", "\t")[0])) == "gene").groupBy("file").agg(F.min(F.struct("line_no", "value"))["value"].alias("head"))
-    return parse_full_table(lines.join(first, "file", "left"), keys=("file",), head="head")
+    return parse_full_table(lines.join(F.broadcast(first), "file", "left"), keys=("file",), head="head")

@@ -85,8 +85,8 @@ def full_table_lines(spark, d):
 )
 def full_table(spark, d):
     path = scratch_path(spark, "full-table")
-    lines = full_table_lines(spark, d).repartition("n").sortWithinPartitions("n", "line_no")
-    lines.select("value").write.text(path)
+    # The lines of a gene come from one row, so they follow each other in the file as they are.
+    full_table_lines(spark, d).select("value").write.text(path)
     parsed = TB.read_full_table(spark, path)
     return parsed.select("gene", "status", "sequence_id", "strand", "start", "end", F.size("exons").cast("bigint").alias("n_exons"), "valid")
 
