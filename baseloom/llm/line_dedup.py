@@ -17,13 +17,18 @@ texts' hashes where places tie. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from baseloom.llm.components import components
-from baseloom.llm.jaccard_join import _shared, leaf_tasks
+from baseloom.llm.components import column, components
+from baseloom.llm.jaccard_join import LEAF, _shared, leaf_tasks, small_pairs
 from baseloom.llm.registry import fresh, query, staged, table
 
 SHINGLE = 12
@@ -131,24 +136,48 @@ def distinct(lines: list[str]) -> list[int]:
 
 def lines_of(documents: DataFrame) -> DataFrame:
     """(doc_id, t, place, line, f): lines with a word, t the hash of their text, f their class."""
-    lines = documents.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.withColumn("line", F.trim(F.col("line"), F.lit(_EDGES))).where(F.col("line") != "")
+    # The hash is made before the lines, else it is made, and the text copied, for each of them.
+    lines = documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("t"))
+    lines = lines.select("doc_id", "t", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    # Trimming looks at every character, so only lines with something to trim go there.
+    line = F.col("line")
+    edged = reduce(or_, [end(F.lit(c)) for c in _EDGES for end in (line.startswith, line.endswith)])
+    lines = lines.withColumn("line", F.when(edged, F.trim(line, F.lit(_EDGES))).otherwise(line)).where(F.col("line") != "")
     return lines.withColumn("f", F.xxhash64("line"))
 
 
-def _signed(batches):
-    """Rows (key, f) of the bands; a class is put out once per task."""
+def _placed(batches):
+    """Rows (doc_id, t, place, f, size, head, keys) for rows (doc_id, t, place, f, line): the line's length, whether it is its document row's
+    first, and its bands. A class has bands once per task.
+    """
     seen: set[int] = set()
+    last = None
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
-            f, lines = [], []
             part = batch.slice(at, 2000)
-            for value, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            t, place, f = (column(part, c) for c in (1, 2, 3))
+            # The lines of one row lie one after the other by place, also where equal rows follow each other.
+            head = np.r_[last is None or last[0] != t[0] or last[1] >= place[0], (t[1:] != t[:-1]) | (place[1:] <= place[:-1])]
+            last = t[-1], place[-1]
+            new = np.zeros(len(f), bool)
+            for i, value in enumerate(f.tolist()):
                 if value not in seen:
-                    seen.add(value), f.append(value), lines.append(line)
-            if f:
-                keys = _bands(signatures(lines))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1), pa.int64()), pa.array(np.repeat(np.array(f, "i8"), BANDS), pa.int64())], names=["key", "f"])
+                    seen.add(value)
+                    new[i] = True
+            lines = part.column(4).filter(pa.array(new, pa.bool_())).to_pylist()
+            keys = _bands(signatures(lines)).reshape(-1)
+            keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(new * BANDS)], pa.int32()), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:4], pc.cast(pc.utf8_length(part.column(4)), pa.int32()), pa.array(head, pa.bool_()), keys],
+                names=["doc_id", "t", "place", "f", "size", "head", "keys"],
+            )
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """(doc_id, t, place, f, size, head, keys), written: see ``_placed``."""
+    rows = lines.select("doc_id", "t", "place", "f", "line")
+    made = [T.StructField("size", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    return staged(rows.mapInArrow(_placed, T.StructType([*rows.schema.fields[:4], *made])), "places")
 
 
 def _described(batches):
@@ -197,62 +226,90 @@ def _checked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingle hashes of each line."""
+    out, at = [], 0
+    while at < len(lines):
+        end, held = at, 0
+        while end < len(lines) and (held < 100_000 or end == at):
+            held += len(lines[end])
+            end += 1
+        h, starts = _hashes(lines[at:end])
+        out.extend(np.unique(x) for x in np.split(h, starts[1:]))
+        at = end
+    return out
+
+
 def _paired(batches):
-    """Rows (key, l, r, side, f, component, sketch, bands, line) in the order of key, l, r: links of components by verified pairs.
+    """Rows (key, l, r, side, f, component, sketch, bands, line) in the order of key, l, r, side, f: links of components by verified pairs.
 
     A pair is looked at by its first common band, if the sketches agree in ``AGREE`` of their values or more; then the shingle sets are compared.
-    Pairs that links found in the same task join already are passed over, so a task puts out a forest.
+    Small groups are compared many at once. Pairs that links found in the same block of rows join already are passed over.
     """
 
-    def pairs(rows):
-        key, same = rows[0][0], rows[0][1] == rows[0][2]
-        f, part = np.array([x[4] for x in rows], "i8"), np.array([x[5] for x in rows], "i8")
-        if (part == part[0]).all():
-            return
-        s = np.frombuffer(b"".join(x[6] for x in rows), "<u4").reshape(len(rows), -1)
-        bands = np.frombuffer(b"".join(x[7] for x in rows), "<i8").reshape(len(rows), -1)
-        side = np.array([x[3] for x in rows])
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        sets: dict[int, np.ndarray] = {}
-
-        def shingles(i):
-            if i not in sets:
-                sets[i] = np.unique(_hashes([rows[i][8]])[0])
-            return sets[i]
-
-        for i in left:
-            ok = right[part[right] != part[i]]
-            ok = ok[f[ok] > f[i]] if same else ok
-            ok = ok[(s[ok] == s[i]).sum(axis=1) >= AGREE * s.shape[1]] if len(ok) else ok
-            if not len(ok):
-                continue
-            first = bands[i][np.argmax(bands[ok] == bands[i], axis=1)]
-            for j in ok[first == key]:
-                a, b = sorted((int(part[i]), int(part[j])))
-                if a != b:
-                    p, q = shingles(i), shingles(j)
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if 100 * both >= 75 * (len(p) + len(q) - both):
-                        part[part == b] = a
-                        yield a, b
-
-    def frame(found):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
-
-    rows, found = [], []
+    def near(s, bands, key, i, j):
+        good = np.zeros(len(i), bool)
+        for at in range(0, len(i), 8192):
+            p, q = i[at : at + 8192], j[at : at + 8192]
+            some = np.flatnonzero((s[p] == s[q]).sum(axis=1) >= AGREE * s.shape[1])
+            p = p[some]
+            first = np.argmax(bands[p] == bands[q[some]], axis=1)
+            good[at + some[bands[p, first] == key[p]]] = True
+        return i[good], j[good]
+
+    def found(held):
+        key, l, r, side, f, part = (column(held, c) for c in range(6))
+        s = np.frombuffer(b"".join(held.column(6).to_pylist()), "<u4").reshape(len(key), -1)
+        bands = np.frombuffer(b"".join(held.column(7).to_pylist()), "<i8").reshape(len(key), -1)
+        task = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
+        i, j, long = small_pairs(task)
+        fit = (part[i] != part[j]) & ((l[i] == r[i]) | (side[i] != side[j]))
+        pairs = [near(s, bands, key, i[fit], j[fit])]
+        for t in np.unique(task[long]):
+            lo, hi = np.searchsorted(task, [t, t + 1])
+            rows = np.arange(lo, hi)
+            left = rows[side[lo:hi] == 0]
+            right = left if l[lo] == r[lo] else rows[side[lo:hi] == 1]
+            for x in left:
+                other = right[(part[right] != part[x]) & ((right > x) | (l[lo] != r[lo]))]
+                pairs.append(near(s, bands, key, np.full(len(other), x), other))
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        # A class is in several groups; its set is cut once.
+        wanted = np.unique(np.r_[i, j])
+        _, first = np.unique(f[wanted], return_index=True)
+        wanted = wanted[first]
+        sets = dict(zip(f[wanted].tolist(), _sets(held.column(8).take(pa.array(wanted, pa.int64())).to_pylist())))
+        up: dict[int, int] = {}
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        out = []
+        for x, y, a, b in zip(f[i].tolist(), f[j].tolist(), part[i].tolist(), part[j].tolist()):
+            a, b = sorted((root(a), root(b)))
+            if a != b:
+                p, q = sets[x], sets[y]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= 75 * (len(p) + len(q) - both):
+                    up[b] = a
+                    out.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+    held = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[:3] != rows[0][:3]:
-                found.extend(pairs(rows))
-                rows = []
-            rows.append(row)
-            if len(found) >= 20_000:
-                yield frame(found)
-                found = []
-    if rows:
-        found.extend(pairs(rows))
-    yield frame(found)
+        held = batch if held is None else pa.concat_batches([held, batch])
+        if held.num_rows < LEAF:
+            continue
+        key, l, r = (column(held, c) for c in range(3))
+        # The last group may go on in the next batch.
+        edge = int(np.flatnonzero((key == key[-1]) & (l == l[-1]) & (r == r[-1]))[0])
+        if edge:
+            yield found(held.slice(0, edge))
+            held = held.slice(edge)
+    if held is not None and held.num_rows:
+        yield found(held)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -261,9 +318,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_checked, "a long, b long")
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """(f, component) of all classes that share a band with another."""
-    signed = lines.select("f", "line").mapInArrow(_signed, "key long, f long")
+def line_components(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """(f, component) of all classes that share a band with another; ``places`` are the ``lines`` as ``placed`` writes them."""
+    signed = places.select(F.explode("keys").alias("key"), "f")
     shared = staged(signed.repartition("key").sortWithinPartitions("key", "f").mapInArrow(_shared, "key long, f long, df long"), "bands")
     involved = shared.select("f").distinct()
     texts = lines.select("f", "line").join(involved, "f", "left_semi").dropDuplicates(["f"])
@@ -287,19 +344,23 @@ def line_components(lines: DataFrame) -> DataFrame:
 def removed_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, t, n_lines, n_chars, removed): per document its lines with a word, the characters of those that stay, and the places of those that go."""
     lines = lines_of(documents)
-    linked = line_components(lines)
-    places = staged(lines.select("doc_id", "t", "place", "f", F.length("line").alias("size")), "places")
-    first = places.groupBy("f").agg(F.min(F.struct("doc_id", "place", "t")).alias("first"))
-    first = first.join(linked, "f", "left").withColumn("component", F.coalesce("component", "f"))
-    keep = first.groupBy("component").agg(F.min("first").alias("first"))
-    keep = first.select("f", "component").join(keep, "component").select("f", "first")
-    gone = ~F.struct("doc_id", "place", "t").eqNullSafe(F.col("first"))
-    flagged = places.join(keep, "f").withColumn("gone", gone)
-    return flagged.groupBy("doc_id", "t").agg(
-        F.countDistinct("place").alias("n_lines"),
-        # A row that is there n times has each of its places n times.
-        F.expr("sum(CASE WHEN gone THEN 0 ELSE size END) DIV (count(1) DIV count(DISTINCT place))").alias("n_chars"),
-        F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("place")))).alias("removed"),
+    places = placed(lines)
+    # A row that is there n times has each of its places n times, and n of them are heads.
+    per = places.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("chars"), F.count_if("head").alias("copies"))
+    # Only lines of classes that come twice or have a link can go.
+    classes = places.groupBy("f").agg(F.count(F.lit(1)).alias("rows")).join(line_components(lines, places), "f", "left")
+    classes = classes.where("rows > 1 or component is not null").select("f", F.coalesce("component", "f").alias("component"))
+    rows = places.join(classes, "f").select("component", F.struct("doc_id", "place", "t").alias("row"), "size")
+    first = rows.groupBy("component").agg(F.min("row").alias("first"))
+    gone = rows.join(first, "component").where(~F.col("row").eqNullSafe(F.col("first"))).select("row.*", "size")
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.sum("size").alias("less"), F.array_sort(F.collect_set("place")).alias("removed"))
+    found = per.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left")
+    return found.select(
+        "doc_id",
+        "t",
+        F.expr("rows DIV copies").alias("n_lines"),
+        F.expr("(chars - coalesce(less, 0L)) DIV copies").alias("n_chars"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )
 
 
