@@ -16,7 +16,7 @@ least 75 percent. The join is exact up to collisions of 64-bit hashes.
    size, leaf pairs that cannot hold a new link go, and each remaining pair of leaves is one task with an R-tree. A pair is
    put out by the first key that both share.
 6. Pairs that the bound lets through are verified on the shingle sets of whole texts, which are cut once per
-   document and step; links are closed to components.
+   document and written by bucket, so that only pairs move; links are closed to components.
 
 No step gathers a group: a class is cut to one row per task before the shuffle, hot groups are split into leaf pairs.
 
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from baseloom.llm.components import column, components
 from baseloom.llm.registry import WORD, fresh, let, lower_ascii, once, query, staged, table
+from baseloom.session import scratch_path
 
 N = 5
 DIMENSIONS = 128
@@ -60,15 +61,31 @@ def shingles(text: Column, n: int = N) -> Column:
     return let(F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), build)
 
 
+def packed_counts(h: np.ndarray) -> bytes:
+    """The counts per token group, one byte each where they fit, else four."""
+    counts = np.bincount((h & (DIMENSIONS - 1)).astype("i8"), minlength=DIMENSIONS)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def counts_of(vectors: pa.Array) -> np.ndarray:
+    """One row of counts for each of the ``packed_counts``."""
+    rows = vectors.to_pylist()
+    out = np.empty((len(rows), DIMENSIONS), "i4")
+    wide = np.array([len(x) > DIMENSIONS for x in rows], bool)
+    for which, kind in ((~wide, "u1"), (wide, "<u4")):
+        out[which] = np.frombuffer(b"".join(x for x, w in zip(rows, which) if w), kind).reshape(-1, DIMENSIONS)
+    return out
+
+
 def _prepared(batches):
-    """Rows (doc_id, f, h): per document its class and set size; with the first of a class in a task also the
+    """Rows (doc_id, f, t, h): per document its class, its text's hash and its set size; with the first of a class in a task also the
     number of ranked shingles, the counts per token group, and the shingles that can be keys. Copies carry nothing more.
     """
     seen: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            lists = part.column(2)
+            lists = part.column(3)
             flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             offsets = offsets - offsets[0]
             low, vectors, keys = [], [], []
@@ -81,11 +98,11 @@ def _prepared(batches):
                 a = int(np.searchsorted(h, _CUT))
                 low.append(a)
                 keys.append(h[: max(a, len(h) // 4 + 1)])
-                vectors.append(np.bincount((h & (DIMENSIONS - 1)).astype("i8"), minlength=DIMENSIONS).astype("<u4").tobytes())
+                vectors.append(packed_counts(h))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(low, pa.int64()),
+                [part.column(0), part.column(1), part.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(low, pa.int64()),
                  pa.array(vectors, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "f", "n", "a", "vector", "keys"],
+                names=["doc_id", "f", "t", "n", "a", "vector", "keys"],
             )
 
 
@@ -248,23 +265,24 @@ def _starred(batches):
     """Rows (hub, f, n, hub_n, vector, hub_vector) in the order of hub and n: the pairs (a, b) that the bound lets through."""
     for batch in batches:
         hub, f, n, hub_n = (column(batch, c) for c in range(4))
-        own, of_hub = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(len(hub), -1).astype("i4") for c in (4, 5))
+        own, of_hub = (counts_of(batch.column(c)) for c in (4, 5))
         good = hub_search(hub, n, hub_n, own, of_hub)
         a, b = np.minimum(hub[good], f[good]), np.maximum(hub[good], f[good])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _searched(batches):
-    """Rows (key, l, r, side, f, n, component, vector, earlier) in the order of key, l, r: candidate pairs of each pair of leaves.
+    """Rows (key, l, r, side, f, n, component, vector, earlier, room) in the order of key, l, r: candidate pairs of each pair of leaves.
 
-    Earlier are a document's keys before this one; a pair that shares one of them was put out there.
+    Earlier are a document's hopeful keys before this one; a pair that shares one of them was looked at there. Room bounds the overlap as
+    in ``_hopeful``.
 
     Groups of at most ``NODE`` points are one node of a tree; many of them are compared at once.
     """
 
     def found(held):
         key, l, r, side, f, n, part = (held.column(c).to_numpy(zero_copy_only=False) for c in range(7))
-        vectors = np.frombuffer(b"".join(held.column(7).to_pylist()), "<u4").reshape(len(key), -1).astype("i4")
+        vectors, room = counts_of(held.column(7)), column(held, 9)
         lists = held.column(8)
         values, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
@@ -284,7 +302,9 @@ def _searched(batches):
             once_only = (p < q) | (l[lo] != r[lo])
             first.append(p[once_only]), second.append(q[once_only])
         a, b, sets, orders = [], [], {}, {}
-        for p, q in zip(np.concatenate(first).tolist(), np.concatenate(second).tolist()):
+        i, j = np.concatenate(first), np.concatenate(second)
+        fit = 7 * np.minimum(room[i], room[j]) >= 3 * (n[i] + n[j])
+        for p, q in zip(i[fit].tolist(), j[fit].tolist()):
             if p not in sets:
                 sets[p] = set(values[offsets[p] : offsets[p + 1]].tolist())
             if q not in orders:
@@ -330,11 +350,16 @@ def leaf_tasks(members: DataFrame, leaf: int = LEAF) -> DataFrame:
     return side("l", 0).unionByName(side("r", 1).where("l != r"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b), a written table, whose texts link."""
-    # Each side is made distinct first, so that no row is made per end of a pair.
-    wanted = pairs.select(F.col("a").alias("f")).distinct().unionByName(pairs.select(F.col("b").alias("f")).distinct()).distinct()
-    sets = staged(once(texts.join(wanted, "f", "left_semi"), "h", shingles(F.col("text"))).select("f", "h"), "sets")
+def _bucketed(df: DataFrame, key: str) -> str:
+    """Write a table bucketed by a key, so that joins on it move the other side only; returns its name in the catalogue."""
+    spark, name = df.sparkSession, fresh("sets").strip("_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, f"llm-{name}")).saveAsTable(name)
+    return name
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (f, h) link."""
     left = pairs.join(sets.select(F.col("f").alias("a"), F.col("h").alias("p")), "a")
     both = left.join(sets.select(F.col("f").alias("b"), F.col("h").alias("q")), "b")
     sizes = once(both, "o", F.size(F.array_intersect("p", "q")))
@@ -342,10 +367,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def prepare(documents: DataFrame) -> DataFrame:
-    """(doc_id, f, n, a, vector, keys): see ``_prepared``; f is the fingerprint of a document's set, null for an empty one."""
-    sets = once(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "h", shingles(F.col("text")))
-    sets = sets.select("doc_id", F.when(F.size("h") > 0, F.xxhash64("h")).alias("f"), "h")
-    return staged(sets.mapInArrow(_prepared, "doc_id long, f long, n long, a long, vector binary, keys array<long>"), "prepared")
+    """(doc_id, f, t, n, a, vector, keys): see ``_prepared``; f is the fingerprint of a document's set, null for an empty one."""
+    sets = once(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text"), "h", shingles(F.col("text")))
+    sets = sets.select("doc_id", F.when(F.size("h") > 0, F.xxhash64("h")).alias("f"), "t", "h")
+    return staged(sets.mapInArrow(_prepared, "doc_id long, f long, t long, n long, a long, vector binary, keys array<long>"), "prepared")
 
 
 def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
@@ -379,14 +404,18 @@ def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
     star = star.join(points.select("f", "n", "vector"), "f").select("hub", "f", "n", "hub_n", "vector", "hub_vector")
     star = staged(star.sortWithinPartitions("hub", "n").mapInArrow(_starred, "a long, b long"), "stars")
 
-    # One document of each class that shares a key; ids can be null or repeated, so the text found must have the fingerprint.
-    name, mark = fresh("id"), fresh("f")
-    some = prepared.groupBy("f").agg(F.min_by(F.struct("doc_id"), F.col("doc_id").isNull())["doc_id"].alias(name))
-    some = some.join(points.select("f"), "f", "left_semi").withColumnRenamed("f", mark)
-    texts = documents.select("doc_id", "text").join(some, F.col("doc_id").cast("long").eqNullSafe(F.col(name))).select(F.col(mark).alias("f"), "text")
-    texts = once(texts, mark, F.xxhash64(shingles(F.col("text")))).where(F.col(mark) == F.col("f"))
-    texts = staged(texts.select("f", "text").dropDuplicates(["f"]), "texts")
-    first = staged(_verified(star, texts), "star")
+    # One document of each class that shares a key; ids can be null or repeated, so the text found must have the hash of the one that is meant.
+    name, mark = fresh("id"), fresh("t")
+    some = prepared.groupBy("f").agg(F.min_by(F.struct("doc_id", "t"), F.col("doc_id").isNull()).alias(name)).join(points.select("f"), "f", "left_semi")
+    some = some.select("f", F.col(name)["doc_id"].alias(name), F.col(name)["t"].alias(mark))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        some, F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(mark))
+    )
+    # Sets are cut once and moved no more: both verifications read them by bucket.
+    cut = once(texts.select("f", "text").dropDuplicates(["f"]), "h", shingles(F.col("text"))).select("f", "h")
+    kept = _bucketed(cut, "f")
+    sets = documents.sparkSession.table(kept)
+    first = staged(_verified(star, sets), "star")
     linked = components(first)
 
     # Groups that hold several components, dealt to leaves by component and size.
@@ -395,12 +424,20 @@ def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
     members = known.select(F.posexplode("keys").alias("at", "key"), "f", "n", "before", "component")
     members = members.select("key", "f", "n", (F.col("n") - F.col("before") - F.col("at")).alias("room"), "component")
     hopeful = members.repartition("key").sortWithinPartitions("key").mapInArrow(_hopeful, "key long, f long, n long, room long, component long")
-    tasks = leaf_tasks(staged(hopeful.drop("room"), "hopeful"))
-    earlier = F.slice("keys", 1, (F.array_position("keys", F.col("key")) - 1).cast("int")).alias("earlier")
-    tasks = tasks.join(known, "f").select("key", "l", "r", "side", "f", "n", "component", "vector", earlier)
+    hopeful = staged(hopeful, "hopeful")
+    tasks = leaf_tasks(hopeful.drop("room"))
+    # A pair that links is hopeful, on both sides, at the first key that it shares; so only hopeful keys go along.
+    order = hopeful.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("room", "key")), asc=False).alias("order"))
+    known = known.join(order, "f").select("f", "n", "component", "vector", F.col("order")["key"].alias("keys"), F.col("order")["room"].alias("rooms"))
+    place = F.array_position("keys", F.col("key")).cast("int")
+    tasks = tasks.join(known, "f").select(
+        "key", "l", "r", "side", "f", "n", "component", "vector", F.slice("keys", 1, place - 1).alias("earlier"), F.element_at("rooms", place).alias("room")
+    )
     searched = tasks.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_searched, "a long, b long").distinct()
-    second = _verified(staged(searched, "searched"), texts)
-    return staged(first.unionByName(second), "links")
+    second = _verified(staged(searched, "searched"), sets)
+    out = staged(first.unionByName(second), "links")
+    documents.sparkSession.sql(f"DROP TABLE IF EXISTS {kept}")
+    return out
 
 
 def join_classes(documents: DataFrame) -> DataFrame:
