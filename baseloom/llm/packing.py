@@ -39,10 +39,11 @@ def lengths(n: int, most: int = MOST) -> list[int]:
     return out
 
 
-def pack(documents: DataFrame, most: int = MOST, tokenizer: str | None = None, with_ids: bool = True, cached: int = CACHED_PIECES) -> DataFrame:
+def pack(documents: DataFrame, most: int = MOST, tokenizer: str | None = None, with_ids: bool = True, cached: int = CACHED_PIECES, keep: bool = True) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the token ids (uint32, little-endian).
 
-    ``cached`` bounds the pieces whose ids a worker remembers; it affects time and memory only.
+    ``cached`` bounds the pieces whose ids a worker remembers; without ``keep`` it forgets them after each task, so that workers that stay
+    hold nothing while other stages run. Both affect time and memory only.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the sequence length must be a power of two")
@@ -51,7 +52,8 @@ def pack(documents: DataFrame, most: int = MOST, tokenizer: str | None = None, w
     schema += ", ids binary" if with_ids else ""
 
     def run(batches):
-        encode, part = encoder(tokenizer, cached).encode, TaskContext.get().partitionId()
+        coder = encoder(tokenizer, cached)
+        encode, part = coder.encode, TaskContext.get().partitionId()
         if part >> _PART_BITS:
             raise ValueError("too many input partitions for sequence ids")
         count = [0] * most.bit_length()
@@ -75,6 +77,8 @@ def pack(documents: DataFrame, most: int = MOST, tokenizer: str | None = None, w
                         begin += k
                 columns = [ids.take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, size, crc, total, seq)), pa.array(np.zeros(len(row), "i8"))]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(data, pa.binary())] if with_ids else [])], names=[c.split()[0] for c in schema.split(", ")])
+        if not keep:
+            coder.forget()
 
     return documents.select("doc_id", F.col("text")).mapInArrow(run, schema)
 

@@ -8,11 +8,14 @@ string of a special token, other kinds of tokenizers) are encoded whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 END = 0
 CACHED_PIECES = 1_200_000
@@ -61,6 +64,13 @@ class Encoder:
         self.most, self.first, self.later = cached, _Known(), _Known()
         self.split = re.compile(r"(?<=\S) (?=\S)").split
 
+    def forget(self) -> None:
+        """Give the memory of the cached pieces back."""
+        self.first, self.later = _Known(), _Known()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
     def _raw(self, texts):
         return [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -58,8 +58,8 @@ def packed(spark, docs, sf_dir):
 
     A null text is its end token alone. Repeated rows are packed each on its own; an empty table gives no sequence.
     """
-    # Workers stay after the stage; a smaller cache leaves room for the stages of a next run.
-    return packing.pack(docs, cached=1_000_000)
+    # Workers stay after the stage; an empty cache leaves room for the stages of a next run.
+    return packing.pack(docs, cached=500_000, keep=False)
 
 
 STAGES = [
