@@ -12,13 +12,15 @@ least 75 percent. The join is exact up to collisions of 64-bit hashes.
    the upper corner of a tree node bounds the overlap with all points below it.
 4. Star search: the members of a key's group are packed into nodes by size and searched for one hub, the member with the
    fewest shingles of its own. That links most of a family of copies with at most as many pairs as members.
-5. Groups that still hold several components are searched for every point. Members are dealt to leaves by component and
-   size, leaf pairs that cannot hold a new link go, and each remaining pair of leaves is one task with an R-tree. A pair is
-   put out by the first key that both share.
-6. Pairs that the bound lets through are verified on the shingle sets of whole texts, which are cut once per
-   document and written by bucket, so that only pairs move; links are closed to components.
+5. Groups that still hold several components are searched for every point. Up to ``NODE`` members are paired where they
+   meet. More are dealt to leaves by component and size, leaf pairs that cannot hold a new link go, and each remaining
+   pair of leaves is one task with an R-tree. A pair is put out by the first key of such groups that both share.
+6. Pairs are verified on the shingle sets of whole texts, which are cut once per document and written by bucket, so that
+   only pairs move. Most pairs of step 5 link nothing; they are first compared by 16 bits of each shingle, which bounds
+   the overlap, so that few whole sets go along. Links are closed to components.
 
 No step gathers a group: a class is cut to one row per task before the shuffle, hot groups are split into leaf pairs.
+Texts that no pair needs are left out by a bitmap of hashes before they would move.
 
 Defined cases: A-Z count as lower case. Null texts and texts without words have an empty set and link with nothing;
 with fewer than five words the whole sequence is the one shingle. Repeated rows fall in one class. An empty table gives an empty result.
@@ -43,6 +45,8 @@ NODE = 32
 # Share of the hash range whose shingles are ordered by document frequency.
 RANKED = 0.3
 _CUT = -(2**63) + int(RANKED * 2**64)
+# Bits of the largest bitmap that sifts texts: 8 MB. Beyond that more texts move than need to.
+MOST_BITS = 26
 # A run of one key longer than this passes the size check whole.
 LONG_RUN = 100_000
 # A run of one key longer than this counts as equally frequent with all such runs, so that a run need not be held.
@@ -147,15 +151,75 @@ def small_pairs(key: np.ndarray, most: int = NODE) -> tuple[np.ndarray, np.ndarr
     return i, i + 1 + np.arange(len(i)) - first, long
 
 
-def _with_partner(batch):
-    key, n, room, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4))
-    i, j, good = small_pairs(key)
+def _partners(batch):
+    """Index pairs that could link in groups of at most ``NODE`` rows, and which rows lie in longer ones."""
+    key, n, room, part = (column(batch, c) for c in (0, 2, 3, 4))
+    i, j, long = small_pairs(key)
     fit = (part[i] != part[j]) & (7 * np.minimum(room[i], room[j]) >= 3 * (n[i] + n[j])) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
-    good[i[fit]] = True
-    good[j[fit]] = True
+    return i[fit], j[fit], long
+
+
+def _with_partner(batch):
+    i, j, good = _partners(batch)
+    good[i] = True
+    good[j] = True
     return batch.filter(pa.array(good, pa.bool_()))
 
 
+def _met(batches):
+    """Rows (key, f, n, room, component, other): the ``_hopeful`` rows of groups of more than ``NODE``, without other; and of the smaller groups
+    each pair (f, other) that could link, once in a batch.
+    """
+    held, hot = None, None
+
+    def out(batch, parts):
+        i, j, long = _partners(batch)
+        # Of these runs, other parts lie in the batches before and after.
+        long |= np.isin(column(batch, 0), [k for k in parts if k is not None])
+        i, j = i[~long[i]], j[~long[i]]
+        f = column(batch, 1)
+        pairs = np.unique(np.stack([np.minimum(f[i], f[j]), np.maximum(f[i], f[j])], axis=1), axis=0)
+        rows, none = batch.filter(pa.array(long, pa.bool_())), pa.nulls(len(pairs), pa.int64())
+        columns = [(none, c) for c in rows.columns]
+        columns[1] = (pa.array(pairs[:, 0], pa.int64()), rows.column(1))
+        columns.append((pa.array(pairs[:, 1], pa.int64()), pa.nulls(rows.num_rows, pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["key", "f", "n", "room", "component", "other"])
+
+    for batch in _hopeful(batches):
+        held = batch if held is None else pa.concat_batches([held, batch])
+        if not held.num_rows:
+            continue
+        key = column(held, 0)
+        edge = int(np.searchsorted(key, key[-1]))
+        if held.num_rows - edge > NODE or key[-1] == hot:
+            edge, last = held.num_rows, key[-1]
+        else:
+            last = None
+        if edge:
+            yield out(held.slice(0, edge), (hot, last))
+            held = held.slice(edge)
+            hot = last
+    if held is not None and held.num_rows:
+        yield out(held, (hot,))
+
+
+def _hubbed(batches):
+    """Rows (key, f, n, own) in the order of key, own and f: (hub, f) for each member of a group that could link with the group's first, its hub."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, f, n = (column(batch, c) for c in range(3))
+        starts = np.flatnonzero(np.r_[last is None or key[0] != last[0], key[1:] != key[:-1]])
+        # The run that goes on from the batch before keeps its hub.
+        hubs, hub_ns = np.r_[0 if last is None else last[1], f[starts]], np.r_[0 if last is None else last[2], n[starts]]
+        run = np.searchsorted(starts, np.arange(len(key)), side="right")
+        hub, hub_n = hubs[run], hub_ns[run]
+        last = key[-1], hub[-1], hub_n[-1]
+        good = (f != hub) & (4 * np.minimum(n, hub_n) >= 3 * np.maximum(n, hub_n))
+        yield pa.RecordBatch.from_arrays([pa.array(hub[good], pa.int64()), pa.array(f[good], pa.int64())], names=["hub", "f"])
+
+
 def _shared(batches):
     """Rows (key, f) in key order: those whose key has several members, with their number."""
     held_k, held_f, long_key = np.zeros(0, "i8"), np.zeros(0, "i8"), None
@@ -366,6 +430,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sizes.where(100 * F.col("o") >= 75 * (F.size("p") + F.size("q") - F.col("o"))).select("a", "b")
 
 
+def sketch(h: Column) -> Column:
+    """The distinct last 16 bits of the hashes."""
+    return F.array_distinct(F.transform(h, lambda x: (x.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can link by the sketches of their sets (f, n, s): all that do, and few others.
+
+    Shared shingles have shared bits; no more of them are lost by equal bits than a set has shingles beyond its sketch.
+    """
+    left = pairs.join(sets.select(F.col("f").alias("a"), F.col("n").alias("m"), F.col("s").alias("p")), "a")
+    both = left.join(sets.select(F.col("f").alias("b"), "n", F.col("s").alias("q")), "b")
+    most = F.size(F.array_intersect("p", "q")) + F.least(F.col("m") - F.size("p"), F.col("n") - F.size("q"))
+    return both.where(7 * most >= 3 * (F.col("m") + F.col("n"))).select("a", "b")
+
+
+def sifted(df: DataFrame, value: Column, wanted: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """Rows of a table whose hash may be one of the wanted, a table of one long column: all that are, and few others.
+
+    The wanted hashes set bits of a bitmap of 16 times as many bits, as far as ``most_bits`` allow, which is broadcast in rows of 4 KB.
+    """
+    bits = max(15, min(most_bits, (16 * wanted.count()).bit_length()))
+    place, bucket, bitmap = fresh("place"), fresh("bucket"), fresh("bitmap")
+    cut = lambda c: c.bitwiseAND((1 << bits) - 1)
+    placed = wanted.select(cut(F.col(wanted.columns[0])).alias(place))
+    maps = placed.groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bitmap))
+    at = F.bitmap_bit_position(cut(value))
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return df.join(F.broadcast(maps), (F.bitmap_bucket_number(cut(value)) == F.col(bucket)) & hit, "left_semi")
+
+
 def prepare(documents: DataFrame) -> DataFrame:
     """(doc_id, f, t, n, a, vector, keys): see ``_prepared``; f is the fingerprint of a document's set, null for an empty one."""
     sets = once(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text"), "h", shingles(F.col("text")))
@@ -381,7 +477,7 @@ def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
         "shared",
     )
     # The prefix of each document: unique shingles first, then the ranked ones by frequency, then the others by hash.
-    nodes = prepared.groupBy("f").agg(F.first("n").alias("n"), F.first("a").alias("a"), F.first("vector").alias("vector"))
+    nodes = prepared.groupBy("f").agg(F.first("n").alias("n"), F.first("a").alias("a"), F.first("vector").alias("vector"), F.first("t").alias("t"))
     ranked = F.col("key") < _CUT
     found = shared.groupBy("f").agg(
         F.sort_array(F.collect_list(F.when(ranked, F.struct("df", "key")))).alias("low"),
@@ -390,52 +486,52 @@ def links(documents: DataFrame, everything: DataFrame) -> DataFrame:
     own = F.col("a") - F.size("low")
     room = F.greatest(F.floor(F.col("n") / 4) + 1 - own, F.lit(0)).cast("int")
     prefix = F.concat(F.slice("low", 1, room)["key"], F.col("high"))
-    points = staged(
-        nodes.join(found, "f").select("f", "n", "vector", own.alias("before"), (own / F.greatest("a", F.lit(1))).alias("own"), prefix.alias("keys")).where(F.size("keys") > 0),
-        "points",
+    points = nodes.join(found, "f").select(
+        F.col("t").alias("f"), F.col("f").alias("class"), "n", "vector", own.alias("before"), (own / F.greatest("a", F.lit(1))).alias("own"), prefix.alias("keys")
     )
+    # From here to the end, the hash of one of its texts stands for a class, so that a text moves once, by its own hash.
+    points = staged(points.where(F.size("keys") > 0), "points")
     rows = points.select(F.explode("keys").alias("key"), "f", "n", "own")
-    hubs = rows.groupBy("key").agg(F.min(F.struct("own", "f", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = rows.join(hubs.select("key", "hub"), "key")
-    star = rows.where("f != hub.f and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
-    star = star.groupBy(F.least("f", "hub.f").alias("a"), F.greatest("f", "hub.f").alias("b")).agg(F.min("hub.f").alias("hub"))
+    star = rows.repartition("key").sortWithinPartitions("key", "own", "f").mapInArrow(_hubbed, "hub long, f long")
+    star = star.groupBy(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b")).agg(F.min("hub").alias("hub"))
     star = star.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("f"))
     star = star.join(points.select(F.col("f").alias("hub"), F.col("n").alias("hub_n"), F.col("vector").alias("hub_vector")), "hub")
     star = star.join(points.select("f", "n", "vector"), "f").select("hub", "f", "n", "hub_n", "vector", "hub_vector")
     star = staged(star.sortWithinPartitions("hub", "n").mapInArrow(_starred, "a long, b long"), "stars")
 
-    # One document of each class that shares a key; ids can be null or repeated, so the text found must have the hash of the one that is meant.
-    name, mark = fresh("id"), fresh("t")
-    some = prepared.groupBy("f").agg(F.min_by(F.struct("doc_id", "t"), F.col("doc_id").isNull()).alias(name)).join(points.select("f"), "f", "left_semi")
-    some = some.select("f", F.col(name)["doc_id"].alias(name), F.col(name)["t"].alias(mark))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        some, F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(mark))
-    )
+    # One text of each class that shares a key.
+    texts = sifted(documents.select("text"), F.xxhash64("text"), points.select("f")).select(F.xxhash64("text").alias("f"), "text").dropDuplicates(["f"])
+    texts = texts.join(points.select("f"), "f", "left_semi")
     # Sets are cut once and moved no more: both verifications read them by bucket.
-    cut = once(texts.select("f", "text").dropDuplicates(["f"]), "h", shingles(F.col("text"))).select("f", "h")
+    cut = once(texts, "h", shingles(F.col("text"))).select("f", F.size("h").alias("n"), sketch(F.col("h")).alias("s"), "h")
     kept = _bucketed(cut, "f")
     sets = documents.sparkSession.table(kept)
-    first = staged(_verified(star, sets), "star")
+    first = staged(_verified(staged(_alike(star, sets), "alike"), sets), "star")
     linked = components(first)
 
     # Groups that hold several components, dealt to leaves by component and size.
-    known = points.join(linked.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
+    known = points.drop("class").join(linked.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     known = staged(known, "known")
     members = known.select(F.posexplode("keys").alias("at", "key"), "f", "n", "before", "component")
     members = members.select("key", "f", "n", (F.col("n") - F.col("before") - F.col("at")).alias("room"), "component")
-    hopeful = members.repartition("key").sortWithinPartitions("key").mapInArrow(_hopeful, "key long, f long, n long, room long, component long")
-    hopeful = staged(hopeful, "hopeful")
+    met = members.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, f long, n long, room long, component long, other long")
+    met = staged(met, "met")
+    near, hopeful = met.where("other is not null").select(F.col("f").alias("a"), F.col("other").alias("b")), met.where("other is null").drop("other")
     tasks = leaf_tasks(hopeful.drop("room"))
-    # A pair that links is hopeful, on both sides, at the first key that it shares; so only hopeful keys go along.
+    # A pair that links is hopeful, on both sides, at the first key that it shares; there it is one of the near pairs, or the key goes along.
     order = hopeful.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("room", "key")), asc=False).alias("order"))
     known = known.join(order, "f").select("f", "n", "component", "vector", F.col("order")["key"].alias("keys"), F.col("order")["room"].alias("rooms"))
     place = F.array_position("keys", F.col("key")).cast("int")
     tasks = tasks.join(known, "f").select(
         "key", "l", "r", "side", "f", "n", "component", "vector", F.slice("keys", 1, place - 1).alias("earlier"), F.element_at("rooms", place).alias("room")
     )
-    searched = tasks.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_searched, "a long, b long").distinct()
-    second = _verified(staged(searched, "searched"), sets)
-    out = staged(first.unionByName(second), "links")
+    searched = tasks.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "side").mapInArrow(_searched, "a long, b long")
+    searched = staged(searched.unionByName(near).distinct(), "searched")
+    second = _verified(staged(_alike(searched, sets), "alike"), sets)
+    out = first.unionByName(second)
+    for end in ("a", "b"):
+        out = out.join(points.select(F.col("f").alias(end), "class"), end).drop(end).withColumnRenamed("class", end)
+    out = staged(out, "links")
     documents.sparkSession.sql(f"DROP TABLE IF EXISTS {kept}")
     return out
 
