@@ -239,6 +239,30 @@ def test_missing_pairs_form_each_missing_node_once(spark, monkeypatch):
     assert sorted(map(tuple, pairs.collect()), key=null_last) == sorted(want, key=null_last)
 
 
+@pytest.mark.parametrize("sent", [1 << 19, 0])
+def test_missing_pairs_move_what_is_there_and_come_by_block(spark, monkeypatch, sent):
+    """No exchange holds a row per ortholog and node block, and a task puts out block after block, whatever the orthologs."""
+    for name, value in (("NODE_BLOCK", 4), ("BLOCKS_TOGETHER", 2), ("ORTHOLOGS_TOGETHER", 5), ("NAMES_SENT", sent)):
+        monkeypatch.setattr(D, name, value, raising=False)
+    tree = [(f"n{i:02}", f"n{(i - 1) // 2:02}") for i in range(1, 41)] + [("n05", "n01"), ("x", "beside")]
+    have = {(f"g{g}", f"n{i:02}") for g in range(12) for i in range(41) if (i * 7 + g * 3) % 11 > g} | {("g77", "elsewhere"), ("g78", "x")}
+    want = [(o, c, "CHILD_MISSING") for o in {o for o, _ in have} for c in {c for c, _ in tree} if (o, c) not in have]
+    want += [(o, c, f"PARENT_MISSING:{p}") for o, n in have for c, p in tree if n == c and (o, p) not in have]
+    gc = spark.createDataFrame(sorted(have) * 3, "ortholog string, node string")
+    edges = spark.createDataFrame(tree, "child string, parent string")
+    pairs = D.missing_pairs(gc, edges)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
+    assert sorted(tuple(r) for r in D.missing_nodes(gc, edges).collect()) == sorted((o, n) for o in {o for o, _ in have} for n in {n for e in tree for n in e} if (o, n) not in have)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(node" not in plan and "every" not in plan and "_has" not in plan
+    if sent:
+        place = {c: k // 4 for k, c in enumerate(sorted({c for c, _ in tree}))}
+        rows = pairs.where("reason = 'CHILD_MISSING'").select(F.spark_partition_id().alias("task"), "child", "ortholog").collect()
+        runs = [(r.task, place[r.child]) for r in rows]
+        starts = [x for k, x in enumerate(runs) if k == 0 or runs[k - 1] != x]
+        assert len(starts) == len(set(starts)) < len(rows) / 3
+
+
 def brute_updates(existing, new):
     rows = {a: dict(sp=s, cur=c, by=b) for a, s, c, b in existing}
     events = []
