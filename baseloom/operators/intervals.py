@@ -17,6 +17,9 @@ SITE = ["genome_pk", "sequence_id"]
 # Bases of one block of chunks, unless a single chunk is longer.
 BLOCK_BP = 32_768
 
+# Bases of half a block of the lowest level in `slice_intervals`, unless a single chunk is longer.
+HALF_BP = 4_096
+
 # Flank sets as (key, name, upstream bases, downstream bases).
 FLANK_SETS = [
     (1, "50_up_50_down", 50, 50),
@@ -71,18 +74,46 @@ def join_pieces(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 
 def slice_intervals(chunks: DataFrame | ChunkStore, intervals: DataFrame, chunk_bp: int, keys: list[str]) -> DataFrame:
-    """Strand-oriented bases of each interval; ``keys`` identify an interval.
+    """Strand-oriented bases of each interval; ``keys`` are columns that go along.
 
-    Intervals on unknown sequences are left out; those that lie wholly beyond
-    the ends give the empty text.
+    An interval is cut whole from one block of chunks, so its text is neither moved nor glued. Blocks overlap by half and
+    double in length from level to level; an interval goes to the lowest level where it is no longer than half a block, so
+    some block there holds it, and no block is longer than four of its intervals or the smallest block. Of a block only the
+    chunks that its intervals reach are gathered: a chunk moves at most twice per level, however many intervals lie on it.
+    Intervals on unknown sequences are left out; those that lie wholly beyond the ends give the empty text. Rows may repeat.
     """
-    given = [*keys, *SITE, "strand", "start", "end"]
-    pieces = slice_pieces(chunks, intervals.select(*given), chunk_bp)
-    glued = join_pieces(pieces, keys, ["chunk_no"])
-    located = located_on(chunks, intervals.select(*given))
-    return located.join(glued, keys, "left").withColumn(
-        "seq", orient(F.coalesce("seq", F.lit("")), F.col("strand"))
+    given = list(dict.fromkeys([*keys, *SITE, "strand", "start", "end"]))
+    block = [*SITE, "_level", "_block"]
+    half = max(1, HALF_BP // chunk_bp)
+    start, end = F.col("start"), F.col("end")
+    stop = F.least(end, "_bp")
+    first = F.floor((F.greatest(start, F.lit(1)) - 1) / chunk_bp).cast("bigint")
+    last = F.floor((stop - 1) / chunk_bp).cast("bigint")
+    placed = (
+        intervals.select(*given)
+        .join(_extents(chunks, chunk_bp), SITE)
+        .withColumns({"_first": F.when((stop >= start) & (end >= 1), first), "_last": last})
+        .withColumn("_halves", F.expr(f"(_last - _first) div {half}"))
+        .withColumn("_level", F.when(F.col("_halves") > 0, F.length(F.bin("_halves"))).otherwise(F.lit(0)))
+        .withColumn("_block", F.expr(f"_first div ({half} * shiftleft(1L, _level))"))
+        .drop("_halves")
+    )
+    wanted = placed.where("_block IS NOT NULL").groupBy(*block).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    wanted = wanted.select(*block, F.explode(F.sequence("_first", "_last")).alias("chunk_no"))
+    bases = chunks.bases if isinstance(chunks, ChunkStore) else chunks
+    gathered = bases.select(*SITE, "chunk_no", "bases").join(wanted, [*SITE, "chunk_no"]).groupBy(*block).agg(
+        F.array_sort(F.collect_list(F.struct("chunk_no", "bases"))).alias("_chunks")
     )
+    numbers = F.transform("_chunks", lambda c: c["chunk_no"])
+    at = F.get("_chunks", F.lit(0))["chunk_no"]
+    # The first number if each number up to the last is there once: then a chunk's place is known.
+    whole = (F.element_at(numbers, -1) - at + 1 == F.size(numbers)) & (F.size(F.array_distinct(numbers)) == F.size(numbers))
+    gathered = gathered.withColumn("_base", F.when(whole, at))
+    place = (F.col("_first") - F.col("_base") + 1).cast("int")
+    near = F.slice("_chunks", place, (F.col("_last") - F.col("_first") + 1).cast("int"))
+    among = F.when(F.col("_first") >= F.col("_base"), near).otherwise(F.col("_chunks"))
+    cut = placed.join(gathered, block, "left").withColumn("seq", _cut_of(start, end, chunk_bp, among))
+    return cut.withColumn("seq", orient(F.col("seq"), F.col("strand"))).select(*given, "seq")
 
 
 def _extents(chunks: DataFrame | ChunkStore, chunk_bp: int) -> DataFrame:
@@ -93,8 +124,8 @@ def _extents(chunks: DataFrame | ChunkStore, chunk_bp: int) -> DataFrame:
     return ends.where("_low = 0").drop("_low")
 
 
-def _cut_of(start: Column, end: Column, chunk_bp: int) -> Column:
-    """Bases from ``start`` to ``end`` in the gathered ``_chunks`` of a row, glued in order; empty where there are none."""
+def _cut_of(start: Column, end: Column, chunk_bp: int, among: Column | str = "_chunks") -> Column:
+    """Bases from ``start`` to ``end`` in the gathered chunks of a row, glued in order; empty where there are none."""
     stop = F.least(end, "_bp")
     first = F.floor((F.greatest(start, F.lit(1)) - 1) / chunk_bp)
     last = F.floor((stop - 1) / chunk_bp)
@@ -109,7 +140,7 @@ def _cut_of(start: Column, end: Column, chunk_bp: int) -> Column:
         text = c["bases"].substr(low(c).cast("int"), (high(c) - low(c) + 1).cast("int"))
         return F.struct(c["chunk_no"].alias("chunk_no"), text.alias("piece"))
 
-    hit = F.filter("_chunks", lambda c: (c["chunk_no"] >= first) & (c["chunk_no"] <= last) & (high(c) >= low(c)))
+    hit = F.filter(among, lambda c: (c["chunk_no"] >= first) & (c["chunk_no"] <= last) & (high(c) >= low(c)))
     glued = F.array_join(F.transform(F.array_sort(F.transform(hit, piece)), lambda p: p["piece"]), "")
     return F.coalesce(F.when((stop >= start) & (end >= 1), glued), F.lit(""))
 

@@ -88,6 +88,35 @@ def test_slices_equal_those_of_plain_chunks(spark, store):
         assert a == b and len(a) > 100
 
 
+def test_slices_are_cut_where_they_lie(spark, store, no_broadcast, monkeypatch):
+    """No text goes through an exchange; intervals of all lengths, that repeat, have no bounds, or lie on odd chunks."""
+    monkeypatch.setattr(IV, "HALF_BP", 14, raising=False)
+    turn, rng = str.maketrans("ACGTN", "TGCAN"), random.Random(8)
+    asked = [(1, f"k{i}", rng.choice([*TEXT, "unknown"]), rng.choice("+-"), a, a + rng.choice([0, 3, 6, 7, 13, 14, 15, 40, 100, 400, 10**12])) for i in range(300) for a in [rng.randint(-5, 360)]]
+    asked += [(1, "k0", "s5", "+", a, b) for a, b in ((1, 5), (2, 333), (2, 333), (9, 3), (None, 4), (4, None), (334, 340), (8, 7 * 28), (330, 10**12))]
+    asked += [(None, "k0", "s5", "+", 1, 2), (1, None, "s5", "-", 3, 30)]
+    rows = spark.createDataFrame(asked, "genome_pk long, name string, sequence_id string, strand string, start long, end long")
+    chunks = store.bases.select("genome_pk", "sequence_id", "chunk_no", "bases")
+    want = []
+    for g, k, s, strand, a, b in asked:
+        if g and TEXT.get(s):
+            text = "" if a is None or b is None or b < 1 else TEXT[s][max(a, 1) - 1 : b]
+            want.append((g, k, s, strand, a, b, text[::-1].translate(turn) if strand == "-" else text))
+    for source in (store, chunks):
+        out = IV.slice_intervals(source, rows, BP, ["genome_pk", "name"])
+        assert out.columns == ["genome_pk", "name", "sequence_id", "strand", "start", "end", "seq"]
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+        exchanges, _ = moved(out)
+        assert exchanges and not any(re.search(r"\b(piece|seq)#", e) for e in exchanges)
+    # Chunks that are there twice, or not at all.
+    odd = chunks.where("sequence_id = 's5' AND chunk_no NOT IN (3, 4)").unionByName(chunks.where("sequence_id = 's5' AND chunk_no = 2"))
+    got = {r.name: r.seq for r in IV.slice_intervals(odd, rows.where("sequence_id = 's5' AND strand = '+' AND genome_pk = 1 AND name <> 'k0'"), BP, ["name"]).collect()}
+    assert len(got) > 10
+    for _, k, _, _, a, b in (r for r in asked if r[1] in got):
+        text = "".join(TEXT["s5"][max(a - 1, c * BP) : min(b, (c + 1) * BP)] * (2 if c == 2 else 1) for c in range(48) if c not in (3, 4) and max(a - 1, c * BP) < b)
+        assert got[k] == text
+
+
 def test_cds_by_hand(spark, store):
     turn = str.maketrans("ACGTN", "TGCAN")
     for r in models(spark).alias("m").collect():
